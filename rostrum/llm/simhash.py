@@ -63,7 +63,7 @@ def near_pairs(fps: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> Dat
     tables = table.where(F.col("n") <= bucket_limit).select("seg", "val", "g").unionByName(table.where(F.col("n") > bucket_limit).select("seg", "val", F.lit(None).cast("long").alias("g")).distinct())
     probes = entries.select("fp", "seg", F.explode(flips(F.col("val"), 32)).alias("val"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("g")))
-    met = stage_table(probes.join(tables, ["seg", "val"]).where(F.col("g").isNull() | ((F.col("fp") < F.col("g")) & (apart <= max_bits))).select("fp", "g").distinct(), "met")
+    met = stage_table(probes.join(tables.hint("merge"), ["seg", "val"]).where(F.col("g").isNull() | ((F.col("fp") < F.col("g")) & (apart <= max_bits))).select("fp", "g").distinct(), "met")
     crowded = met.where(F.col("g").isNull()).select("fp")
     between = crowded.select("fp", F.explode(flips(F.col("fp"), 64)).alias("mid"))
     stars = between.groupBy("mid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a < b")
