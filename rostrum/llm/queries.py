@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import mixing, simhash
+from rostrum.llm import mixing, packing, resampling, rules, simhash
+from rostrum.session import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,10 +21,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), shards.alias("shards"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    names = {"rule_words": "n_words", "rule_chars": "word_chars", "rule_symbols": "n_symbols", "rule_dup_lines": "n_dup_lines", "rule_repeats": "n_repeat_words", "rule_base_failed": "base_failed", "rule_kept": "kept"}
+    return out.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.col("dsir_weight").alias("log_weight"), F.col("dsir_key").alias("sample_key"), F.col("dsir_kept").alias("kept"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op1_mixing, op5_quality_rules, op8_packing, op9_importance_resampling, op10_simhash)}
 ORACLES: dict[str, str] = {}
