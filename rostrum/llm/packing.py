@@ -9,6 +9,8 @@ that is cut where a window is full; the stream's last words fill windows of powe
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -22,30 +24,69 @@ from rostrum.llm.common import running_total, small_batches, stage_table
 
 #: Words that a worker remembers the ids of; when there are more, it starts afresh. About 300 MB.
 REMEMBERED = 1_200_000
+#: Letters whose lower case depends on what surrounds them, or is more than one letter.
+CASED_ALONE = re.compile("[\u03a3\u0130]")
+#: Letters, then ASCII punctuation but for the apostrophe, which may begin a piece of its own.
+STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 #: Combinations that the solver may choose from, whatever the corpus; they bound the plan that is broadcast.
 MAX_PATTERNS = 20_000
 
 
-class WordIds:
-    """Ids of whole texts, word by word: white space is dropped and never joins two words, so words stand alone."""
+class WordIds(dict):
+    """Ids of words: white space is dropped and never joins two words, so words stand alone. A word that is new is split
+    by the tokenizer's own model: directly where it is letters and then ASCII punctuation, else in full."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned numbers of array type self.code."""
-        words = [(x or "").encode().split() for x in texts]
-        new = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = array(self.code, e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        self.tails: dict[str, bytes] = {}
+        # the printable stand-ins of byte-level models: bytes that aren't printable follow from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.stand_ins = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.direct = self.tokenizer.model.tokenize if self.lowers_letters() else None
+
+    def full(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def lowers_letters(self) -> bool:
+        """Whether letters alone reach the model as one lower-cased piece in stand-ins; asked of a few words."""
+        try:
+            tries = ["Abstraction", "größe", "ÉLÈVE", "señora", "x", "Привет"]
+            return all(self.split(w.lower(), self.tokenizer.model.tokenize) == self.full(w) and self.full(w + m) == self.full(w) + self.full(m) for w in tries for m in (",", "%$", ".##"))
+        except Exception:  # a model of another kind: every word goes the full way
+            return False
+
+    def split(self, word: str, tokenize) -> bytes:
+        piece = word if word.isascii() else "".join(map(self.stand_ins.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in tokenize(piece)]).tobytes()
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = STEM.fullmatch(word := key.decode()) if self.direct else None
+        if found is None or not found[1].isalpha() or not (word.isascii() or (unicodedata.is_normalized("NFC", word) and not CASED_ALONE.search(word))):
+            ids = self.full(word)
+        else:
+            stem, tail = found.groups()
+            low = stem.lower()
+            ids = self.get(low.encode()) if low != word else None
+            if ids is None:
+                ids = self.split(low, self.direct)
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.full(tail)
+                ids += self.tails[tail]
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.tails.clear()
+        self[key] = ids
+        return ids
+
+    def __call__(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned numbers of array type self.code."""
+        return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -70,7 +111,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for pdf in batches:
             for a in range(0, len(pdf), 250):
                 part = pdf.iloc[a : a + 250]
-                out = [x + end for x in ids(part["text"].tolist())]
+                out = [ids(x) + end for x in part["text"].tolist()]
                 yield pd.DataFrame({"uid": np.arange(at, at + len(out)), "doc_id": part["doc_id"].to_numpy(), "n": [len(x) // len(end) for x in out], "ids": out})
                 at += len(out)
 
