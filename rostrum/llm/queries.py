@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import mixing, packing, resampling, rules, simhash
+from rostrum.llm import licenses, mixing, packing, ppm, resampling, rules, simhash, wordpiece
 from rostrum.session import ship_package
 
 
@@ -21,12 +21,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), shards.alias("shards"))
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), held="pmod(crc32(cast(doc_id as string)), 7) = 2")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     names = {"rule_words": "n_words", "rule_chars": "word_chars", "rule_symbols": "n_symbols", "rule_dup_lines": "n_dup_lines", "rule_repeats": "n_repeat_words", "rule_base_failed": "base_failed", "rule_kept": "kept"}
     return out.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -42,5 +54,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op5_quality_rules, op8_packing, op9_importance_resampling, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_ppm, op4_license_scan, op5_quality_rules, op7_token_counts, op8_packing, op9_importance_resampling, op10_simhash)}
 ORACLES: dict[str, str] = {}
