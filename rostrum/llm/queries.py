@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import licenses, mixing, packing, ppm, resampling, rules, simhash, wordpiece
+from rostrum.llm import html_extract, licenses, mixing, packing, ppm, resampling, rules, search, simhash, wordpiece
 from rostrum.session import ship_package
 
 
@@ -21,6 +21,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), shards.alias("shards"))
 
 
+def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, asked)
+
+
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), held="pmod(crc32(cast(doc_id as string)), 7) = 2")
 
@@ -35,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -54,5 +64,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_ppm, op4_license_scan, op5_quality_rules, op7_token_counts, op8_packing, op9_importance_resampling, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_bm25_search, op3_ppm, op4_license_scan, op5_quality_rules, op6_html_text, op7_token_counts, op8_packing, op9_importance_resampling, op10_simhash)}
 ORACLES: dict[str, str] = {}
