@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rostrum.plans import civic
+
+QUERIES = {**civic.QUERIES}
+ORACLES = {**civic.ORACLES}
