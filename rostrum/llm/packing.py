@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from rostrum.llm.common import running_total, small_batches, stage_table
 
-#: Words that a worker remembers the ids of; when there are more, it starts afresh. About 300 MB.
-REMEMBERED = 1_200_000
+#: Words that a worker remembers the ids of; when there are more, it starts afresh. About 150 MB. Between tasks it keeps
+#: them only while they are fewer than KEPT, so that an idle worker holds little.
+REMEMBERED = 800_000
+KEPT = 150_000
 #: Letters whose lower case depends on what surrounds them, or is more than one letter.
 CASED_ALONE = re.compile("[\u03a3\u0130]")
 #: Letters, then ASCII punctuation but for the apostrophe, which may begin a piece of its own.
@@ -41,7 +43,6 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.tails: dict[str, bytes] = {}
         # the printable stand-ins of byte-level models: bytes that aren't printable follow from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -50,7 +51,7 @@ class WordIds(dict):
         self.direct = self.tokenizer.model.tokenize if self.lowers_letters() else None
 
     def full(self, word: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def lowers_letters(self) -> bool:
         """Whether letters alone reach the model as one lower-cased piece in stand-ins; asked of a few words."""
@@ -62,7 +63,7 @@ class WordIds(dict):
 
     def split(self, word: str, tokenize) -> bytes:
         piece = word if word.isascii() else "".join(map(self.stand_ins.__getitem__, word.encode()))
-        return array(self.code, [t.id for t in tokenize(piece)]).tobytes()
+        return array("I", [t.id for t in tokenize(piece)]).tobytes()
 
     def __missing__(self, key: bytes) -> bytes:
         found = STEM.fullmatch(word := key.decode()) if self.direct else None
@@ -85,7 +86,7 @@ class WordIds(dict):
         return ids
 
     def __call__(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned numbers of array type self.code."""
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 
@@ -101,12 +102,12 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(uid, doc_id, n, ids): each row's ids and end_id, as unsigned 16-bit numbers where the vocabulary allows, else 32."""
+    """(uid, doc_id, n, ids): each row's ids and end_id, as unsigned 32-bit little-endian numbers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = word_ids(path)
-        end = array(ids.code, [end_id]).tobytes()
+        end = array("I", [end_id]).tobytes()
         at = TaskContext.get().partitionId() << 40
         for pdf in batches:
             for a in range(0, len(pdf), 250):
@@ -114,6 +115,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 out = [ids(x) + end for x in part["text"].tolist()]
                 yield pd.DataFrame({"uid": np.arange(at, at + len(out)), "doc_id": part["doc_id"].to_numpy(), "n": [len(x) // len(end) for x in out], "ids": out})
                 at += len(out)
+        if len(ids) > KEPT:
+            ids.clear()
+            ids.tails.clear()
 
     return docs.select("doc_id", "text").mapInPandas(run, f"uid long, doc_id {kind}, n long, ids binary")
 
@@ -219,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
     sent = spark.sparkContext.broadcast((plan, taken, edges))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Where each remainder goes: its slot in a repetition, or 'stream'."""
+        """The slot of each remainder in a repetition, or sequence -1: the stream."""
         plan, taken, _ = sent.value
         keys = (plan[:, 0] << 44) + plan[:, 1]
         for pdf in batches:
@@ -227,48 +231,35 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
             slot = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             inside = rank < taken[length]
             at = plan[np.where(inside, slot, 0)] if len(plan) else np.zeros((len(pdf), 5), np.int64)
-            yield pd.DataFrame({"uid": pdf["uid"], "_rest": pdf["_rest"], "_hash": pdf["_hash"], "seq": np.where(inside, at[:, 3] + rank - at[:, 1], -1), "off": at[:, 4]})
+            yield pdf.drop(columns="_rank").assign(sequence_id=np.where(inside, at[:, 3] + rank - at[:, 1], -1), offset=at[:, 4])
 
-    rests = running_total(narrow.where("_rest > 0"), ["_rest"], "_hash", ["uid"], F.lit(1), "_rank", 256)
-    slots = stage_table(rests.select("uid", "_rest", "_hash", "_rank").mapInPandas(placed, "uid long, _rest int, _hash long, seq long, off long"), "slots")
-    loose = running_total(slots.where("seq < 0").withColumn("_all", F.lit(0)), ["_all"], "_hash", ["uid"], F.col("_rest").cast("long"), "_from")
-    fulls = running_total(narrow.where("_full > 0"), ["_all"], "_hash", ["uid"], F.col("_full"), "_from")
-    first_tail = n_filled + whole
-    first_full = first_tail + len(edges)
-    where = slots.where("seq >= 0").select("uid", F.lit("slot").alias("kind"), F.col("seq").alias("a"), F.col("off").alias("b"))
-    where = where.unionByName(loose.select("uid", F.lit("stream").alias("kind"), F.col("_from").alias("a"), F.lit(0).cast("long").alias("b")))
-    where = where.unionByName(fulls.select("uid", F.lit("full").alias("kind"), (F.col("_from") + first_full).alias("a"), F.lit(0).cast("long").alias("b")))
-    places = where.groupBy("uid").agg(F.collect_list(F.struct("kind", "a", "b")).alias("places"))  # two at most
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    width = 2 if word_ids(tokenizer).code == "H" else 4
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The pieces of remainders in the stream, which begin at _from in it and end where a sequence does."""
         edges = sent.value[2]
         for pdf in batches:
             out = []
-            for doc, n, ids, found in zip(pdf["doc_id"], pdf["n"], pdf["ids"], pdf["places"], strict=True):
-                n, head = int(n), int(n) // window * window
-                for p in found:
-                    a = int(p["a"])
-                    if p["kind"] == "full":
-                        out += [(doc, k * window, window, ids, a + k, 0, n) for k in range(n // window)]
-                    elif p["kind"] == "slot":
-                        out.append((doc, head, n - head, ids, a, int(p["b"]), n))
+            for uid, n, rest, at in zip(pdf["uid"], pdf["n"], pdf["_rest"], pdf["_from"], strict=True):
+                start, at = n - rest, int(at)
+                while start < n:
+                    if at < whole * window:
+                        end, seq, off = (at // window + 1) * window, n_filled + at // window, at % window
                     else:
-                        at, start = a, head
-                        while start < n:
-                            if at < whole * window:
-                                end, seq, off = (at // window + 1) * window, n_filled + at // window, at % window
-                            else:
-                                k = next(i for i, e in enumerate(edges) if at < e)
-                                end, seq = edges[k], first_tail + k
-                                off = at - (edges[k - 1] if k else whole * window)
-                            m = min(n - start, end - at)
-                            out.append((doc, start, m, ids, seq, off, n))
-                            at, start = at + m, start + m
-            got = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "sequence_id", "offset", "doc_tokens"])
-            got["ids"] = [np.frombuffer(i, f"<u{width}", count=m, offset=s * width).astype("<u4").tobytes() for i, s, m in zip(got["ids"], got["start"], got["length"], strict=True)]
-            yield got
-
-    joined = table.join(places, "uid").select("doc_id", "n", "ids", "places")
-    return joined.mapInPandas(cut, f"doc_id {kind}, start long, length long, ids binary, sequence_id long, offset long, doc_tokens long")
+                        k = next(i for i, e in enumerate(edges) if at < e)
+                        end, seq = edges[k], first_tail + k
+                        off = at - (edges[k - 1] if k else whole * window)
+                    m = min(n - start, end - at)
+                    out.append((uid, start, m, seq, off))
+                    at, start = at + m, start + m
+            yield pd.DataFrame(out, columns=["uid", "start", "length", "sequence_id", "offset"])
+
+    first_tail = n_filled + whole
+    first_full = first_tail + len(edges)
+    rests = running_total(narrow.where("_rest > 0"), ["_rest"], "_hash", ["uid"], F.lit(1), "_rank", 256)
+    slots = stage_table(rests.select("uid", "n", "_rest", "_hash", "_rank").mapInPandas(placed, "uid long, n long, _rest int, _hash long, sequence_id long, offset long"), "slots")
+    pieces = slots.where("sequence_id >= 0").select("uid", (F.col("n") - F.col("_rest")).alias("start"), F.col("_rest").cast("long").alias("length"), "sequence_id", "offset")
+    loose = running_total(slots.where("sequence_id < 0").withColumn("_all", F.lit(0)), ["_all"], "_hash", ["uid"], F.col("_rest").cast("long"), "_from")
+    pieces = pieces.unionByName(loose.select("uid", "n", "_rest", "_from").mapInPandas(streamed, "uid long, start long, length long, sequence_id long, offset long"))
+    fulls = running_total(narrow.where("_full > 0"), ["_all"], "_hash", ["uid"], F.col("_full"), "_from").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1)))
+    pieces = pieces.unionByName(fulls.select("uid", (F.col("_k") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.col("_from") + F.col("_k") + first_full).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    ids = F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return table.join(pieces.hint("merge"), "uid").select("doc_id", "start", "length", ids.alias("ids"), "sequence_id", "offset", F.col("n").alias("doc_tokens"))
