@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rostrum.plans import civic
+from rostrum.plans import civic, texts
 
-QUERIES = {**civic.QUERIES}
-ORACLES = {**civic.ORACLES}
+PARTS = (civic, texts)
+QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in PARTS for k, v in p.ORACLES.items()}

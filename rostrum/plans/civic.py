@@ -9,25 +9,13 @@ from rostrum.functions import text as X
 from rostrum.operators import mentions as M
 from rostrum.operators import relational as R
 from rostrum.operators import retrieval as V
-from rostrum.sources.tables import load, with_tables
+from rostrum.plans.registry import registry
+from rostrum.sources.tables import load
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES, query = registry()
 AS_OF = "1999-06-30"
 
 
-def query(tables: str = "", oracle: str | None = None):
-    """Register a query under its name; `oracle` is SQL over base tables and the named logical ones."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = with_tables(tables, oracle) if tables else oracle
-        return f
-
-    return register
-
-
 @query("meetings items", "SELECT m.meeting_id, m.title, count(i.item_id) AS n_items FROM meetings m LEFT JOIN items i USING (meeting_id) GROUP BY 1, 2")
 def a01_item_counts(s: SparkSession, d: str) -> DataFrame:  # A01
     return R.count_per_parent(load(s, d, "meetings").select("meeting_id", "title"), load(s, d, "items").select("meeting_id"), "meeting_id", "n_items")
