@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.functions.text import bind
+
 # Fixed values: (value, low, high) of the models' assumptions.
 ASSUMPTIONS = {
     "occupancy_rate": (0.95, 0.90, 0.97),
@@ -56,12 +58,17 @@ def assumed(name: str) -> Column:
     return interval(*ASSUMPTIONS[name])
 
 
+def _both(a: Column, b: Column, body) -> Column:
+    """body of two intervals, each evaluated once: nested operations would double their expressions at every level."""
+    return bind(a, lambda x: bind(b, lambda y: body(x, y)))
+
+
 def add(a: Column, b: Column) -> Column:
-    return interval(a["value"] + b["value"], a["low"] + b["low"], a["high"] + b["high"])
+    return _both(a, b, lambda x, y: interval(x["value"] + y["value"], x["low"] + y["low"], x["high"] + y["high"]))
 
 
 def sub(a: Column, b: Column) -> Column:
-    return interval(a["value"] - b["value"], a["low"] - b["high"], a["high"] - b["low"])
+    return _both(a, b, lambda x, y: interval(x["value"] - y["value"], x["low"] - y["high"], x["high"] - y["low"]))
 
 
 def _corners(a: Column, b: Column, op) -> list[Column]:
@@ -69,16 +76,23 @@ def _corners(a: Column, b: Column, op) -> list[Column]:
 
 
 def mul(a: Column, b: Column) -> Column:
-    c = _corners(a, b, lambda x, y: x * y)
-    return interval(a["value"] * b["value"], F.least(*c), F.greatest(*c))
+    def body(x: Column, y: Column) -> Column:
+        c = _corners(x, y, lambda p, q: p * q)
+        return interval(x["value"] * y["value"], F.least(*c), F.greatest(*c))
+
+    return _both(a, b, body)
 
 
 def div(a: Column, b: Column) -> Column:
     """a / b; reading a row whose divisor's range holds zero fails."""
-    c = _corners(a, b, F.try_divide)
-    bad = (b["low"] <= 0) & (b["high"] >= 0)
-    value = F.when(bad, F.raise_error(F.lit("interval division by a range with zero")).cast("double")).otherwise(F.try_divide(a["value"], b["value"]))
-    return interval(value, F.least(*c), F.greatest(*c))
+
+    def body(x: Column, y: Column) -> Column:
+        c = _corners(x, y, F.try_divide)
+        bad = (y["low"] <= 0) & (y["high"] >= 0)
+        value = F.when(bad, F.raise_error(F.lit("interval division by a range with zero")).cast("double")).otherwise(F.try_divide(x["value"], y["value"]))
+        return interval(value, F.least(*c), F.greatest(*c))
+
+    return _both(a, b, body)
 
 
 def scale(a: Column, k) -> Column:
@@ -88,8 +102,12 @@ def scale(a: Column, k) -> Column:
 def power(a: Column, exponent: float) -> Column:
     if exponent < 0:
         raise ValueError("interval power: exponents from 0")
-    value = F.when(a["low"] <= 0, F.raise_error(F.lit("interval power of a base that isn't positive")).cast("double")).otherwise(F.pow(a["value"], F.lit(exponent)))
-    return interval(value, F.pow(a["low"], F.lit(exponent)), F.pow(a["high"], F.lit(exponent)))
+
+    def body(x: Column) -> Column:
+        value = F.when(x["low"] <= 0, F.raise_error(F.lit("interval power of a base that isn't positive")).cast("double")).otherwise(F.pow(x["value"], F.lit(exponent)))
+        return interval(value, F.pow(x["low"], F.lit(exponent)), F.pow(x["high"], F.lit(exponent)))
+
+    return bind(a, body)
 
 
 def in_order(a: Column) -> Column:

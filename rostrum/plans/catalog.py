@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rostrum.plans import civic, texts
+from rostrum.plans import civic, pipeline_queries, space, texts
 
-PARTS = (civic, texts)
+PARTS = (civic, texts, space, pipeline_queries)
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PARTS for k, v in p.ORACLES.items()}
