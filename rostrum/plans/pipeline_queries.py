@@ -74,10 +74,10 @@ def k11_run_log(s, d):  # K11
     return K.run_log(load(s, d, "orders"), 7, ["clip 9: timeout"])
 
 
-@query("items", """WITH k AS (SELECT * FROM items WHERE meeting_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY meeting_id, label ORDER BY item_no) = 1)
+@query("items", """WITH k AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY meeting_id, label ORDER BY item_no) = 1)
     SELECT meeting_id, 'member ' || CAST(member AS VARCHAR) AS name, string_agg('[' || label || '] ' || title, ' ' ORDER BY item_no) AS update_text, max_by(outcome, item_no) FILTER (outcome IS NOT NULL) AS status_after, min_by(label, item_no) AS first_label FROM k GROUP BY meeting_id, member""")
 def e08_apply_extraction(s, d):  # E08, N09, A12, T17
-    i = load(s, d, "items").where("meeting_id % 10 = 0")
+    i = load(s, d, "items")
     entity = F.struct(F.lit("person").alias("entity_type"), F.concat(F.lit("member "), F.col("member").cast("string")).alias("name"), F.lit("mover").alias("role"), F.col("title").alias("update_text"), F.col("outcome").alias("status_after"))
     vote = F.struct(F.col("title").alias("description"), F.col("motion_result"), F.create_map(F.lit("a"), F.lit("yes")).alias("vote_breakdown"))
     item = F.struct("item_no", F.to_json(F.struct("label", "title", "outcome", F.array(vote).alias("votes"), F.array(entity).alias("entities"))).alias("x"))
@@ -94,12 +94,12 @@ def w13_rate_limit(s, d):  # W13, R03
     return T.rate_limit(load(s, d, "hits"), 3, 7 * 86400)
 
 
-SUBS = "SELECT 'user' || CAST(c_custkey % 40 AS VARCHAR) || '@example.org' AS email, CAST(1 + c_custkey % 60 AS BIGINT) AS entity_id, c_custkey % 5 <> 0 AS confirmed, CAST((c_custkey % 7) * 5000000000 AS BIGINT) AS last_update_id FROM customer WHERE c_custkey <= 120"
+SUBS = "SELECT 'user' || CAST(c_custkey % 400 AS VARCHAR) || '@example.org' AS email, CAST(1 + c_custkey AS BIGINT) AS entity_id, c_custkey % 5 <> 0 AS confirmed, CAST((c_custkey % 7) * 5000000000 AS BIGINT) AS last_update_id FROM customer"
 
 
 def subs(s, d):
     k = F.col("c_custkey")
-    return load(s, d, "customer").where(k <= 120).select(F.concat(F.lit("user"), (k % 40).cast("string"), F.lit("@example.org")).alias("email"), (1 + k % 60).alias("entity_id"), (k % 5 != 0).alias("confirmed"), ((k % 7) * 5000000000).alias("last_update_id"))
+    return load(s, d, "customer").select(F.concat(F.lit("user"), (k % 400).cast("string"), F.lit("@example.org")).alias("email"), (1 + k).alias("entity_id"), (k % 5 != 0).alias("confirmed"), ((k % 7) * 5000000000).alias("last_update_id"))
 
 
 @query("updates", f"SELECT email, entity_id, list(update_id ORDER BY update_id) AS update_ids FROM ({SUBS}) AS s JOIN updates USING (entity_id) WHERE confirmed AND update_id > last_update_id GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as X
 from rostrum.operators import identity as I
 from rostrum.operators import relational as R
+from rostrum.operators.relational import few
 from rostrum.plans.registry import registry
 from rostrum.sources import parse as P
 from rostrum.sources.tables import load
@@ -99,20 +100,20 @@ def f17_durations(s, d):  # F17, D02
     return o.select(k.alias("id"), X.duration_seconds(long).alias("seconds"), X.archive_date(day).alias("day"), X.meeting_start(at).alias("starts_at"))
 
 
-@query(oracle="SELECT doc_id, CASE WHEN length(regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')) >= 0.85 * length(t) THEN regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g') END AS clean FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN repeat(chr(7), 40) || left(text, 100) ELSE chr(1) || text END AS t FROM documents)")
+@query(oracle="SELECT doc_id, CASE WHEN length(regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')) >= 0.85 * length(t) THEN regexp_replace(t, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g') END AS clean FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN repeat(chr(7), 100 + length(text)) || text ELSE chr(1) || text END AS t FROM documents)")
 def f19_sanitize(s, d):  # F19
-    t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit("\x07"), 40), F.left("text", F.lit(100)))).otherwise(F.concat(F.lit("\x01"), F.col("text")))
+    t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit("\x07"), 100 + F.length("text")), F.col("text"))).otherwise(F.concat(F.lit("\x01"), F.col("text")))
     return load(s, d, "documents").select("doc_id", X.sanitize(t).alias("clean"))
 
 
 KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(oracle=f"""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({KEY.format('d.text')}, {KEY.format("array_to_string(string_split(b.text, ' ')[1:4], ' ')")}) WHERE d.lang = 'en'""")
+@query(oracle=f"""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({KEY.format('d.text')}, {KEY.format("array_to_string(string_split(b.text, ' ')[1:4], ' ')")})""")
 def f22_quote_check(s, d):  # F22, F23
     quotes = load(s, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("quote")).where(X.verbatim(F.col("quote"), F.col("quote")))
-    docs = load(s, d, "documents").where("lang = 'en'").select("doc_id", X.quote_key(F.col("text")).alias("key"))
-    return docs.join(F.broadcast(quotes.limit(1000)), F.contains("key", X.quote_key(F.col("quote")))).select("item_id", "doc_id")
+    docs = load(s, d, "documents").select("doc_id", X.quote_key(F.col("text")).alias("key"))
+    return docs.join(few(quotes), F.contains("key", X.quote_key(F.col("quote")))).select("item_id", "doc_id")
 
 
 @query(oracle="SELECT doc_id, left(sha256(text), 16) AS hash FROM documents")
@@ -151,34 +152,37 @@ def j15_token_dup(s, d):  # J15, U06
     return I.token_duplicates(p.where(k % 10 != 0).select(k.alias("id"), F.when(k % 3 == 0, F.col("p_name")).otherwise(both).alias("name")), official)
 
 
-@query(oracle=f"""WITH RECURSIVE m AS (SELECT p_type AS kind, p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS name, p_partkey AS id FROM part WHERE p_partkey <= 400), r AS (SELECT kind, name, {TOK} AS t, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM m),
+@query(oracle=f"""WITH RECURSIVE m AS (SELECT p_type AS kind, p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS name, p_partkey AS id FROM part), r AS (SELECT kind, name, {TOK} AS t, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM m),
     f AS (SELECT kind, n, name, [t] AS kept, TRUE AS ok FROM r WHERE n = 1 UNION ALL SELECT r.kind, r.n, r.name, CASE WHEN len(list_filter(f.kept, lambda k: list_has_all(k, r.t) OR list_has_all(r.t, k))) > 0 THEN f.kept ELSE list_append(f.kept, r.t) END, len(list_filter(f.kept, lambda k: list_has_all(k, r.t) OR list_has_all(r.t, k))) = 0
       FROM f JOIN r ON r.kind = f.kind AND r.n = f.n + 1) SELECT kind, name FROM f WHERE ok""")
 def j16_greedy_suppress(s, d):  # J16
-    p = load(s, d, "part").where("p_partkey <= 400")
+    p = load(s, d, "part")
     own = p.select(F.col("p_type").alias("kind"), F.concat("p_name", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("")).alias("name"), F.col("p_partkey").alias("id"))
     return I.greedy_suppress(own, "kind", ["id"])
 
 
 @query(oracle="""WITH k AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'slug-' || CAST(o_custkey % 300 AS VARCHAR) ELSE 'ALIAS ' || CAST(o_custkey % 400 AS VARCHAR) END AS key FROM orders),
-    e AS (SELECT p_partkey AS entity_id, 'slug-' || CAST(p_partkey AS VARCHAR) AS slug FROM part WHERE p_partkey <= 200), a AS (SELECT p_partkey % 200 AS entity_id, 'Alias ' || CAST(p_partkey AS VARCHAR) AS alias FROM part)
+    e AS (SELECT p_partkey AS entity_id, 'slug-' || CAST(p_partkey AS VARCHAR) AS slug FROM part), a AS (SELECT p_partkey % 200 AS entity_id, 'Alias ' || CAST(p_partkey AS VARCHAR) AS alias FROM part)
     SELECT key, coalesce((SELECT entity_id FROM e WHERE slug = key), (SELECT min(entity_id) FROM a WHERE lower(alias) = lower(key))) AS entity_id FROM k""")
 def j17_slug_alias_lookup(s, d):  # J17
     o, p = load(s, d, "orders"), load(s, d, "part")
     key = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("slug-"), (F.col("o_custkey") % 300).cast("string"))).otherwise(F.concat(F.lit("ALIAS "), (F.col("o_custkey") % 400).cast("string")))
-    e = p.where("p_partkey <= 200").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("slug-"), F.col("p_partkey").cast("string")).alias("slug"))
+    e = p.select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("slug-"), F.col("p_partkey").cast("string")).alias("slug"))
     a = p.select((F.col("p_partkey") % 200).alias("entity_id"), F.concat(F.lit("Alias "), F.col("p_partkey").cast("string")).alias("alias"))
     return I.lookup(o.select(key.alias("key")).distinct(), e, a).select("key", "entity_id")
 
 
-@query(oracle=f"""WITH RECURSIVE {NAMES}, slugs AS (SELECT id, {SLUG} AS slug FROM names0), {normal_sql('slugs')}, e AS (SELECT min(id) AS entity_id, slug FROM normal WHERE id % 2 = 0 GROUP BY slug), n AS (SELECT DISTINCT names0.name, normal.slug FROM names0 JOIN normal USING (id) WHERE id % 2 = 1 AND normal.slug <> '')
-    SELECT name, slug, entity_id, CASE WHEN entity_id IS NULL THEN 'create' ELSE 'slug' END AS how FROM n LEFT JOIN e USING (slug) WHERE slug NOT LIKE '%fy%'""")
+STRIP = ", ".join(f"'{w}'" for w in X.RESOLVE_STRIP)
+
+
+@query(oracle=f"""WITH RECURSIVE {NAMES}, slugs AS (SELECT id, {SLUG} AS slug FROM names0), {normal_sql('slugs')}, e AS (SELECT min(id) AS entity_id, slug FROM normal WHERE id % 2 = 0 GROUP BY slug), n AS (SELECT DISTINCT names0.name, normal.slug FROM names0 JOIN normal USING (id) WHERE id % 2 = 1 AND normal.slug <> ''),
+    b0 AS (SELECT DISTINCT slug, string_split(slug, '-') AS t, 0 AS depth FROM n UNION ALL SELECT slug, t[:-2], depth + 1 FROM b0 WHERE len(t) > 2 AND (t[-1] IN ({STRIP}) OR regexp_matches(t[-1], '^(19|20)\\d{{2}}$|^fy\\d+$'))),
+    b AS (SELECT b0.slug, min_by(e.entity_id, b0.depth) AS base FROM b0 JOIN e ON e.slug = array_to_string(b0.t, '-') WHERE depth > 0 GROUP BY 1)
+    SELECT name, slug, coalesce(entity_id, base) AS entity_id, CASE WHEN entity_id IS NOT NULL THEN 'slug' WHEN base IS NOT NULL THEN 'base' ELSE 'create' END AS how FROM n LEFT JOIN e USING (slug) LEFT JOIN b USING (slug)""")
 def e01_resolve(s, d):  # E01, E02, E03
     own = names(s, d).where("id % 2 = 1").select("name", F.lit("project").alias("entity_type")).distinct()
     e = names(s, d).where("id % 2 = 0").select("id", X.normalize_slug(X.slugify(F.col("name"))).alias("slug")).groupBy("slug").agg(F.min("id").alias("entity_id")).withColumn("entity_type", F.lit("project"))
-    none = s.createDataFrame([], "alias string, entity_id long")
-    out = I.resolve(own, e, none).where(~F.col("slug").like("%fy%"))
-    return out.select("name", "slug", F.when(F.col("how") == "slug", F.col("entity_id")).alias("entity_id"), F.when(F.col("how") == "slug", "slug").otherwise("create").alias("how"))
+    return I.resolve(own, e, s.createDataFrame([], "alias string, entity_id long")).select("name", "slug", "entity_id", "how")
 
 
 @query("updates", """WITH m AS (SELECT p_partkey AS source, p_partkey - p_partkey % 5 AS target FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 2 = 0 AND p_partkey > 5), x AS (SELECT coalesce(target, entity_id) AS entity_id, meeting_id, update_id, target IS NULL AS own FROM updates LEFT JOIN m ON source = entity_id)
@@ -197,10 +201,10 @@ def e05_dedupe(s, d):  # E05
     return I.dedupe_plan(e)
 
 
-@query(oracle="WITH RECURSIVE m AS (SELECT p_partkey AS source, CASE WHEN p_partkey % 4 = 0 THEN p_partkey - 4 ELSE p_partkey - 1 END AS target FROM part WHERE p_partkey < 200 AND p_partkey % 16 <> 0), f AS (SELECT source, target FROM m UNION ALL SELECT f.source, m.target FROM f JOIN m ON f.target = m.source) SELECT source, target FROM f WHERE target NOT IN (SELECT source FROM m)")
+@query(oracle="WITH RECURSIVE m AS (SELECT p_partkey AS source, CASE WHEN p_partkey % 4 = 0 THEN p_partkey - 4 ELSE p_partkey - 1 END AS target FROM part WHERE p_partkey % 16 <> 0), f AS (SELECT source, target FROM m UNION ALL SELECT f.source, m.target FROM f JOIN m ON f.target = m.source) SELECT source, target FROM f WHERE target NOT IN (SELECT source FROM m)")
 def e06_merge_chains(s, d):  # E06: batches follow chains to their end
     k = F.col("p_partkey")
-    return I.chase(load(s, d, "part").where((k < 200) & (k % 16 != 0)).select(k.alias("source"), F.when(k % 4 == 0, k - 4).otherwise(k - 1).alias("target")))
+    return I.chase(load(s, d, "part").where(k % 16 != 0).select(k.alias("source"), F.when(k % 4 == 0, k - 4).otherwise(k - 1).alias("target")))
 
 
 @query(oracle="SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), '<[^>]*>', chr(10), 'g'), '[ \\t\\r]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)) AS text FROM pages")
@@ -216,16 +220,16 @@ def s06_page_links(s, d):  # S06, F18
 ARCHIVE = "concat('<h3>City Council</h3><table class=\"listingTable\"><tr><td headers=\"Name\">', title, CASE meeting_id % 3 WHEN 0 THEN ' Special' WHEN 1 THEN ' Work Session' ELSE ' Regular' END, ' meeting</td><td headers=\"Date\">', {day}, '</td><td headers=\"Duration\">', {hours}, 'h 30m</td><td><a href=\"MediaPlayer.php?view_id=1&clip_id=', CAST(meeting_id AS STRING), '\">Video</a></td></tr></table><h3>School Board</h3><table class=\"listingTable\"><tr><td headers=\"Name\">x</td></tr></table>')"
 
 
-@query("meetings", "SELECT meeting_id AS page_id, CAST(meeting_id AS VARCHAR) AS clip_id, 'city_council' AS body, CASE meeting_id % 3 WHEN 0 THEN 'council_special' WHEN 1 THEN 'council_work_session' ELSE 'council_regular' END AS meeting_type, meeting_date, title || CASE meeting_id % 3 WHEN 0 THEN ' Special' WHEN 1 THEN ' Work Session' ELSE ' Regular' END || ' meeting' AS title, CAST(3600 * (meeting_id % 6) + 1800 AS BIGINT) AS duration_seconds FROM meetings WHERE meeting_id % 10 = 0")
+@query("meetings", "SELECT meeting_id AS page_id, CAST(meeting_id AS VARCHAR) AS clip_id, 'city_council' AS body, CASE meeting_id % 3 WHEN 0 THEN 'council_special' WHEN 1 THEN 'council_work_session' ELSE 'council_regular' END AS meeting_type, meeting_date, title || CASE meeting_id % 3 WHEN 0 THEN ' Special' WHEN 1 THEN ' Work Session' ELSE ' Regular' END || ' meeting' AS title, CAST(3600 * (meeting_id % 6) + 1800 AS BIGINT) AS duration_seconds FROM meetings")
 def s03_archive(s, d):  # S03, F15, W06
     page = F.expr(ARCHIVE.format(day="date_format(meeting_date, 'MMMM d, yyyy')", hours="CAST(meeting_id % 6 AS STRING)"))
-    pages = load(s, d, "meetings").where("meeting_id % 10 = 0").select(F.col("meeting_id").alias("page_id"), page.alias("html"))
+    pages = load(s, d, "meetings").select(F.col("meeting_id").alias("page_id"), page.alias("html"))
     return P.parse_archive(pages, "1").select("page_id", "clip_id", "body", "meeting_type", "meeting_date", "title", F.col("duration_seconds").cast("long").alias("duration_seconds"))
 
 
-@query("meetings items", "SELECT meeting_id AS page_id, item_no - 1 AS n, CASE WHEN item_no % 3 = 1 THEN CAST(item_no AS VARCHAR) ELSE CAST(item_no - (item_no - 1) % 3 AS VARCHAR) || chr(CAST(96 + (item_no - 1) % 3 AS INTEGER)) END AS label, start_seconds AS seconds FROM items WHERE meeting_id % 20 = 0")
+@query("meetings items", "SELECT meeting_id AS page_id, item_no - 1 AS n, CASE WHEN item_no % 3 = 1 THEN CAST(item_no AS VARCHAR) ELSE CAST(item_no - (item_no - 1) % 3 AS VARCHAR) || chr(CAST(96 + (item_no - 1) % 3 AS INTEGER)) END AS label, start_seconds AS seconds FROM items")
 def s05_index_points(s, d):  # S05
-    i = load(s, d, "items").where("meeting_id % 20 = 0")
+    i = load(s, d, "items")
     name = F.when(F.col("item_no") % 3 == 1, F.col("item_no").cast("string")).otherwise(F.chr(96 + (F.col("item_no") - 1) % 3))
     div = F.concat(F.lit('<div class="index-point" time="'), F.col("start_seconds").cast("string"), F.lit('">'), name, F.lit(". <b>"), F.col("title"), F.lit("</b></div>"))
     pages = i.groupBy(F.col("meeting_id").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", div.alias("x")))), lambda r: r["x"]), "\n").alias("html"))
@@ -237,10 +241,10 @@ def n01_json_flatten(s, d):  # N01, N07, S12
     return load(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query(oracle="WITH l AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z]+ing\\b'))) AS link FROM documents WHERE lang = 'en'), p AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS path FROM documents) SELECT link, count(*) AS n FROM l WHERE link NOT IN (SELECT path FROM p) GROUP BY 1")
+@query(oracle="WITH l AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[a-z]+ing\\b'))) AS link FROM documents), p AS (SELECT DISTINCT lower(split_part(text, ' ', 1)) AS path FROM documents) SELECT link, count(*) AS n FROM l WHERE link NOT IN (SELECT path FROM p) GROUP BY 1")
 def e22_lint_links(s, d):  # E22, J32, U05
     docs = load(s, d, "documents")
-    links = docs.where("lang = 'en'").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([a-z]+ing\b)"), 1))).alias("link"))
+    links = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([a-z]+ing\b)"), 1))).alias("link"))
     paths = docs.select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("link")).distinct()
     return links.join(paths, "link", "left_anti").groupBy("link").agg(F.count(F.lit(1)).alias("n"))
 
