@@ -9,7 +9,7 @@ from rostrum.functions import text as X
 from rostrum.operators import mentions as M
 from rostrum.operators import relational as R
 from rostrum.operators import retrieval as V
-from rostrum.plans.registry import registry
+from rostrum.plans.registry import joined, registry
 from rostrum.sources.tables import load
 
 QUERIES, ORACLES, query = registry()
@@ -319,6 +319,6 @@ def l10_reading_order(s, d):  # L02, L10
     return R.page(load(s, d, "entities"), [rank, F.col("name"), F.col("entity_id")], 40)
 
 
-@query("items", "SELECT meeting_id, list(item_id ORDER BY item_no) AS item_ids, count(*) AS n FROM items WHERE motion_result IS NOT NULL GROUP BY 1")
+@query("items", "SELECT meeting_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_no) AS item_ids, count(*) AS n FROM items WHERE motion_result IS NOT NULL GROUP BY 1")
 def n04_children(s, d):  # N04, E14
-    return load(s, d, "items").where("motion_result is not null").groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "item_id"))), lambda x: x["item_id"]).alias("item_ids"), F.count(F.lit(1)).alias("n"))
+    return load(s, d, "items").where("motion_result is not null").groupBy("meeting_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "item_id"))), lambda x: x["item_id"])).alias("item_ids"), F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from rostrum.operators import graph as G
 from rostrum.operators import relational as R
 from rostrum.operators import report as Q
 from rostrum.operators import spatial as S
-from rostrum.plans.registry import registry
+from rostrum.plans.registry import joined, registry
 from rostrum.sources import parse as P
 from rostrum.sources.tables import load
 
@@ -103,14 +103,14 @@ def n03_commentary(s, d):  # N03, N05: filter an array of structs by a field
     return rows.select("meeting_id", "member", F.coalesce(F.size(mine), F.lit(0)).cast("long").alias("remarks"))
 
 
-@query("meetings", """WITH a AS (SELECT meeting_id, body, CASE WHEN meeting_id % 3 = 0 THEN ['Ann Lee' || meeting_id, 'Bo Day'] ELSE [] END AS names, row_number() OVER (PARTITION BY body ORDER BY meeting_date DESC, meeting_id DESC) AS rn FROM meetings) SELECT body, min_by(names, rn) AS roster FROM a WHERE rn <= 5 AND len(names) > 0 GROUP BY 1""")
+@query("meetings", """WITH a AS (SELECT meeting_id, body, CASE WHEN meeting_id % 3 = 0 THEN ['Ann Lee' || meeting_id, 'Bo Day'] ELSE [] END AS names, row_number() OVER (PARTITION BY body ORDER BY meeting_date DESC, meeting_id DESC) AS rn FROM meetings) SELECT body, array_to_string(min_by(names, rn), ',') AS roster FROM a WHERE rn <= 5 AND len(names) > 0 GROUP BY 1""")
 def w08_current_roster(s, d):  # W08, E17, F20
     k = F.col("meeting_id")
     head = F.when(k % 3 == 0, F.concat(F.lit("Chair: X / Vice-Chair: Y / Commissioners: Ann Lee"), k.cast("string"), F.lit(", Bo Day"))).otherwise("no header")
     names = F.regexp_extract(head, r"Commissioners?:\s*([^\n]+)", 1)
     own = load(s, d, "meetings").select("meeting_id", "body", "meeting_date", F.filter(F.split(names, r",\s*"), lambda x: x != "").alias("names"))
     five = R.latest_by(own, ["body"], [F.col("meeting_date").desc(), k.desc()], 5, "rn").where(F.size("names") > 0)
-    return five.groupBy("body").agg(F.min_by("names", "rn").alias("roster"))
+    return five.groupBy("body").agg(joined(F.min_by("names", "rn")).alias("roster"))
 
 
 @query("updates meetings", "SELECT entity_id, min_by(meeting_id, (meeting_date, meeting_id)) AS first_meeting FROM updates JOIN meetings USING (meeting_id) GROUP BY 1")
@@ -119,11 +119,11 @@ def w10_first_seen(s, d):  # W10
     return u.groupBy("entity_id").agg(F.min_by("meeting_id", F.struct("meeting_date", "meeting_id")).alias("first_meeting"))
 
 
-@query("meetings updates items", """SELECT u.entity_id, m.meeting_id, m.meeting_date, u.update_text, coalesce(v.votes, []) AS votes FROM updates u JOIN meetings m USING (meeting_id) LEFT JOIN (SELECT meeting_id, list(item_id ORDER BY item_no) AS votes FROM items WHERE motion_result = 'failed' GROUP BY 1) v ON v.meeting_id = m.meeting_id""")
+@query("meetings updates items", """SELECT u.entity_id, m.meeting_id, m.meeting_date, u.update_text, coalesce(v.votes, '') AS votes FROM updates u JOIN meetings m USING (meeting_id) LEFT JOIN (SELECT meeting_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_no) AS votes FROM items WHERE motion_result = 'failed' GROUP BY 1) v ON v.meeting_id = m.meeting_id""")
 def e14_timeline(s, d):  # E14, O5: votes nested in each entry
     votes = load(s, d, "items").where("motion_result = 'failed'").groupBy("meeting_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "item_id"))), lambda x: x["item_id"]).alias("votes"))
     u = load(s, d, "updates").join(load(s, d, "meetings").select("meeting_id", "meeting_date"), "meeting_id").join(votes, "meeting_id", "left")
-    return u.select("entity_id", "meeting_id", "meeting_date", "update_text", F.coalesce("votes", F.array().cast("array<long>")).alias("votes"))
+    return u.select("entity_id", "meeting_id", "meeting_date", "update_text", joined(F.coalesce("votes", F.array().cast("array<long>"))).alias("votes"))
 
 
 @query("entities updates", "SELECT entity_id, name FROM entities e WHERE entity_type = 'project' AND (entity_id % 8 = 1 OR (SELECT count(*) FROM updates u WHERE u.entity_id = e.entity_id) >= 2)")
@@ -165,10 +165,10 @@ def e19_payload(s, d):  # E19, N01: modules' metrics, flattened and tagged
     return load(s, d, "nation").select(k.alias("evaluation"), F.inline(flat))
 
 
-@query(oracle="SELECT source AS path, list(doc_id ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS pages FROM documents GROUP BY 1")
+@query(oracle="SELECT source AS path, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS pages FROM documents GROUP BY 1")
 def e20_wiki_payload(s, d):  # E20, L10, N08
     row = F.struct(F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2), "doc_id")
-    return load(s, d, "documents").groupBy(F.col("source").alias("path")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["doc_id"]).alias("pages"))
+    return load(s, d, "documents").groupBy(F.col("source").alias("path")).agg(joined(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["doc_id"])).alias("pages"))
 
 
 @query(oracle="SELECT doc_id, doc_id % 3 <> 0 AS kept FROM documents")

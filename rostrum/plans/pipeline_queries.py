@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum.operators import upsert as K
-from rostrum.plans.registry import registry
+from rostrum.plans.registry import joined, registry
 from rostrum.sources.tables import load
 from rostrum.streaming import streams as T
 
@@ -102,9 +102,9 @@ def subs(s, d):
     return load(s, d, "customer").select(F.concat(F.lit("user"), (k % 400).cast("string"), F.lit("@example.org")).alias("email"), (1 + k).alias("entity_id"), (k % 5 != 0).alias("confirmed"), ((k % 7) * 5000000000).alias("last_update_id"))
 
 
-@query("updates", f"SELECT email, entity_id, list(update_id ORDER BY update_id) AS update_ids FROM ({SUBS}) AS s JOIN updates USING (entity_id) WHERE confirmed AND update_id > last_update_id GROUP BY 1, 2")
+@query("updates", f"SELECT email, entity_id, string_agg(CAST(update_id AS VARCHAR), ',' ORDER BY update_id) AS update_ids FROM ({SUBS}) AS s JOIN updates USING (entity_id) WHERE confirmed AND update_id > last_update_id GROUP BY 1, 2")
 def r02_digest(s, d):  # R01, R02, A33
-    return T.digests(subs(s, d), load(s, d, "updates").select("entity_id", "update_id"))
+    return T.digests(subs(s, d), load(s, d, "updates").select("entity_id", "update_id")).withColumn("update_ids", joined(F.col("update_ids")))
 
 
 @query("updates", f"WITH n AS (SELECT entity_id, max(update_id) AS m FROM updates GROUP BY 1) SELECT email, entity_id, confirmed, CASE WHEN confirmed AND email <> 'user3@example.org' THEN greatest(last_update_id, coalesce(m, last_update_id)) ELSE last_update_id END AS last_update_id FROM ({SUBS}) LEFT JOIN n USING (entity_id)")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from rostrum.sources.tables import with_tables
 
 
+def joined(values: Column) -> Column:
+    """An array as one string, which any engine compares alike."""
+    return F.array_join(values.cast("array<string>"), ",")
+
+
 def registry():
     """(queries, oracles, query): `query(tables, oracle)` registers a function under its name; oracle is SQL over base tables
     and the named logical ones."""

@@ -8,7 +8,7 @@ from rostrum.functions import text as X
 from rostrum.operators import identity as I
 from rostrum.operators import relational as R
 from rostrum.operators.relational import few
-from rostrum.plans.registry import registry
+from rostrum.plans.registry import joined, registry
 from rostrum.sources import parse as P
 from rostrum.sources.tables import load
 
@@ -58,9 +58,9 @@ def f03_normalize_slug(s, d):  # F03-F05, T18
 GENERIC = ", ".join(f"'{w}'" for w in X.GENERIC_TOKENS)
 
 
-@query(oracle=f"WITH {NAMES} SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: x NOT IN ({GENERIC})))) AS tokens FROM names0")
+@query(oracle=f"WITH {NAMES} SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda x: x NOT IN ({GENERIC})))), ',') AS tokens FROM names0")
 def f06_tokens(s, d):  # F06
-    return names(s, d).select("id", F.array_sort(X.distinctive_tokens(F.col("name"))).alias("tokens"))
+    return names(s, d).select("id", joined(F.array_sort(X.distinctive_tokens(F.col("name")))).alias("tokens"))
 
 
 @query(oracle=f"WITH {NAMES} SELECT id, CASE WHEN (regexp_matches(name, '^\\d{{3,5}}\\s') AND NOT regexp_matches(name, '^(19|20)\\d{{2}}\\s')) OR regexp_matches(name, '{X.DEVELOPMENT_WORDS}') THEN 'development' ELSE 'civic' END AS category FROM names0")
@@ -126,10 +126,10 @@ def f29_ics_escape(s, d):  # F29
     return load(s, d, "part").select(F.col("p_partkey").alias("id"), X.ics_escape(F.concat("p_name", F.lit("; a, b\\c\n"), F.col("p_type"))).alias("escaped"))
 
 
-@query(oracle="SELECT p_partkey AS id, list_sort(list_distinct([p_partkey % 7, p_size % 7])) AS cited FROM part")
+@query(oracle="SELECT p_partkey AS id, array_to_string(list_sort(list_distinct([p_partkey % 7, p_size % 7])), ',') AS cited FROM part")
 def f30_citations(s, d):  # F30
     t = F.concat(F.lit("As in ["), (F.col("p_partkey") % 7).cast("string"), F.lit("] and ["), (F.col("p_size") % 7).cast("string"), F.lit("], not [x]."))
-    return load(s, d, "part").select(F.col("p_partkey").alias("id"), X.citations(t).alias("cited"))
+    return load(s, d, "part").select(F.col("p_partkey").alias("id"), joined(X.citations(t)).alias("cited"))
 
 
 @query(oracle="SELECT c_custkey AS id, CASE WHEN x < 0 THEN '−$' ELSE '$' END || CASE WHEN abs(x) >= 1000000 THEN printf('%.1f', abs(x) / 1000000) || 'M' WHEN abs(x) >= 1000 THEN printf('%.0f', abs(x) / 1000) || 'k' ELSE printf('%.0f', abs(x)) END AS shown FROM (SELECT c_custkey, (floor(c_acctbal) + 0.25) * (CASE WHEN c_custkey % 3 = 0 THEN 1000 ELSE 1 END) AS x FROM customer)")
