@@ -53,6 +53,7 @@ def parse(page: str) -> list[Node]:
     come before children, in page order. Every string is closed where it ends, so any text can be parsed."""
     nodes = [Node("html", -1)]
     stack = [(0, "html")]  # inline elements are on the stack with their block's node
+    opened: dict[str, int] = {}  # how often a tag is on the stack, so that deep pages aren't searched in vain
     run, links, at, n = -1, 0, 0, len(page)
 
     def add(text: str) -> None:
@@ -70,11 +71,14 @@ def parse(page: str) -> list[Node]:
         nonlocal links, run
         for _ in range(count):
             _, tag = stack.pop()
+            opened[tag] -= 1
             links -= tag == "a"
             if tag in BLOCKS:
                 run = -1
 
     def close_to(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
+        if not any(opened.get(t) for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][1] in tags:
                 close(len(stack) - k)
@@ -95,7 +99,7 @@ def parse(page: str) -> list[Node]:
             add(m[0][9:].removesuffix("]]>"))
         elif end:
             end = end.lower()
-            if any(t == end for _, t in stack[1:]):
+            if opened.get(end):
                 close_to({end}, frozenset())
             elif end == "br":
                 add(" ")
@@ -107,7 +111,7 @@ def parse(page: str) -> list[Node]:
                 close_to(*CLOSES[tag])
             if tag[0] == "h" and tag[1:] in "123456" and stack[-1][1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 close(1)
-            if tag in ("html", "body") and any(t == tag for _, t in stack):
+            if tag == "html" or (tag == "body" and opened.get(tag)):
                 continue
             if tag in BLOCKS or tag in UNSEEN:
                 run = -1
@@ -127,11 +131,13 @@ def parse(page: str) -> list[Node]:
                     at = n
                 elif tag not in VOID:
                     stack.append((len(nodes) - 1, tag))
+                    opened[tag] = opened.get(tag, 0) + 1
             elif tag == "br" or tag == "wbr" or tag == "img":
                 if run >= 0:
                     add(" " if tag == "br" else "")
             elif tag not in VOID and not rest.rstrip().endswith("/"):
                 stack.append((stack[-1][0], tag))
+                opened[tag] = opened.get(tag, 0) + 1
                 links += tag == "a"
     for v in nodes:
         if v.tag == "#":
