@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -22,14 +23,13 @@ from pyspark.sql import functions as F
 
 from rostrum.llm.common import running_total, small_batches, stage_table
 
-#: Words that a worker remembers the ids of; when there are more, it starts afresh. About 150 MB. Between tasks it keeps
-#: them only while they are fewer than KEPT, so that an idle worker holds little.
+#: Words that a worker remembers the ids of; when there are more, it starts afresh. About 150 MB, which an idle worker
+#: lets go.
 REMEMBERED = 800_000
-KEPT = 150_000
 #: Letters whose lower case depends on what surrounds them, or is more than one letter.
 CASED_ALONE = re.compile("[\u03a3\u0130]")
-#: Letters, then ASCII punctuation but for the apostrophe, which may begin a piece of its own.
-STEM = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII punctuation that makes pieces of its own after letters; the apostrophe may begin one with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Combinations that the solver may choose from, whatever the corpus; they bound the plan that is broadcast.
 MAX_PATTERNS = 20_000
 
@@ -44,6 +44,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tails: dict[str, bytes] = {}
+        self.tasks = 0
         # the printable stand-ins of byte-level models: bytes that aren't printable follow from U+0100 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -66,25 +67,41 @@ class WordIds(dict):
         return array("I", [t.id for t in tokenize(piece)]).tobytes()
 
     def __missing__(self, key: bytes) -> bytes:
-        found = STEM.fullmatch(word := key.decode()) if self.direct else None
-        if found is None or not found[1].isalpha() or not (word.isascii() or (unicodedata.is_normalized("NFC", word) and not CASED_ALONE.search(word))):
+        word = key.decode()
+        stem = word.rstrip(MARKS)
+        if self.direct is None or not stem.isalpha() or not (stem.isascii() or (unicodedata.is_normalized("NFC", stem) and not CASED_ALONE.search(stem))):
             ids = self.full(word)
         else:
-            stem, tail = found.groups()
             low = stem.lower()
             ids = self.get(low.encode()) if low != word else None
             if ids is None:
                 ids = self.split(low, self.direct)
-            if tail:
+            if stem != word:
+                tail = word[len(stem) :]
                 if tail not in self.tails:
                     self.tails[tail] = self.full(tail)
                 ids += self.tails[tail]
         if len(self) >= REMEMBERED:
-            self.clear()
-            self.tails.clear()
+            self.forget()
         self[key] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.tails.clear()
+
+    def forget_when_idle(self, seconds: float = 3.0) -> None:
+        """Let the words go unless another task of this worker starts soon."""
+        seen = self.tasks
+
+        def check() -> None:
+            if self.tasks == seen:
+                self.forget()
+
+        timer = threading.Timer(seconds, check)
+        timer.daemon = True
+        timer.start()
+
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
@@ -107,6 +124,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = word_ids(path)
+        ids.tasks += 1
         end = array("I", [end_id]).tobytes()
         at = TaskContext.get().partitionId() << 40
         for pdf in batches:
@@ -115,9 +133,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 out = [ids(x) + end for x in part["text"].tolist()]
                 yield pd.DataFrame({"uid": np.arange(at, at + len(out)), "doc_id": part["doc_id"].to_numpy(), "n": [len(x) // len(end) for x in out], "ids": out})
                 at += len(out)
-        if len(ids) > KEPT:
-            ids.clear()
-            ids.tails.clear()
+        ids.forget_when_idle()
 
     return docs.select("doc_id", "text").mapInPandas(run, f"uid long, doc_id {kind}, n long, ids binary")
 
