@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple[SparkSession, str] | None] = []
 _own_dir: list[str] = []
 
 
@@ -38,15 +38,31 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def drop_staged() -> None:
-    while _staged:
-        spark, path = _staged.pop()
+def staged_count() -> int:
+    return len(_staged)
+
+
+def reads_staged(df: DataFrame, start: int, end: int) -> bool:
+    """Whether df reads any of the staged tables from the start-th to the end-th."""
+    names = [entry[1].rsplit("/", 1)[-1] for entry in _staged[start:end] if entry]
+    return bool(names) and any(n in f for f in df.inputFiles() for n in names)
+
+
+def drop_staged(start: int = 0, end: int | None = None) -> None:
+    """Delete the staged tables from the start-th to the end-th; nothing may read them any more."""
+    for i, entry in enumerate(_staged[start:end], start):
+        if entry is None:
+            continue
+        spark, path = entry
+        _staged[i] = None
         with contextlib.suppress(Exception):  # the JVM may be gone already
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+atexit.register(drop_staged)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, so that a batch of very long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
