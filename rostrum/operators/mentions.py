@@ -1,7 +1,6 @@
 """Who is named where: substring matches of name variants in texts, and rankings of them.
 
-Variants are few beside texts and are held as one array; each text is lower-cased once and tested against each name with a
-literal search. One hit counts for an entity and a text, however many of its variants match."""
+Each entity's variants are held as one array; each text is lower-cased once and tested with a literal search. One hit counts for an entity and a text, however many of its variants match."""
 
 from __future__ import annotations
 
@@ -19,15 +18,23 @@ def variants(names: DataFrame, entity: str = "entity_id", columns: tuple[str, ..
     return own.groupBy(entity).agg(F.array_sort(F.collect_set("v")).alias("variants"))
 
 
-def matches(texts: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
-    """Each row of texts with each entity that it names, and the longest variant it has (the first of equal ones).
+def matches(texts: DataFrame, named: DataFrame, text: str = "text", key: str = "chunk_id", entity: str = "entity_id", most: int = MAX_BROADCAST_NAMES) -> DataFrame:
+    """Each row of texts (with a unique key) with each entity that it names, and the longest variant it has (the first of
+    equal ones).
 
-    The names are broadcast only where a count proves them few; otherwise they are joined as rows."""
-    if named.limit(MAX_BROADCAST_NAMES + 1).count() <= MAX_BROADCAST_NAMES:
-        named = F.broadcast(named)
+    Names that a count proves to be at most `most` are broadcast and tested against each text. With more, texts and names
+    meet on five-character pieces: a text that contains a variant contains its first five characters, so no match is lost,
+    and nothing is crossed; what meets is then tested in full."""
     low = texts.withColumn("_low", F.lower(text))
+    named_in = F.exists("variants", lambda v: F.contains(F.col("_low"), v))
+    if named.limit(most + 1).count() <= most:
+        both = low.join(F.broadcast(named), named_in)
+    else:
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - (MIN_VARIANT - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(MIN_VARIANT))))
+        begun = named.select(entity, F.explode(F.array_distinct(F.transform("variants", lambda v: F.left(v, F.lit(MIN_VARIANT))))).alias("_piece"))
+        met = low.where(F.length("_low") >= MIN_VARIANT).select(key, F.explode(pieces).alias("_piece")).join(begun, "_piece").select(key, entity).distinct()
+        both = low.join(met, key).join(named, entity).where(named_in)
     found = F.filter("variants", lambda v: F.contains(F.col("_low"), v))
-    both = low.join(named, F.exists("variants", lambda v: F.contains(F.col("_low"), v)))
     longest = F.element_at(F.array_sort(F.transform(found, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), 1)["v"]
     return both.withColumn("variant", longest).drop("_low", "variants")
 

@@ -136,7 +136,3 @@ def duplicated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that aren't unique, with their rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
-
-def few(df: DataFrame, most: int = 20_000) -> DataFrame:
-    """df, marked for broadcast where a count proves it to have `most` rows or fewer; otherwise df as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as X
 from rostrum.operators import graph as G
+from rostrum.operators import mentions as M
 from rostrum.operators import relational as R
 from rostrum.operators import report as Q
 from rostrum.operators import spatial as S
@@ -61,11 +62,11 @@ def f09_member_names(s, d):  # F09, F10, F21
     return load(s, d, "supplier").select(k.alias("id"), X.last_name(name).alias("last"), role.alias("role"))
 
 
-@query("chunks names", """WITH t AS (SELECT c.chunk_id, n.name AS v, list_filter(string_split(c.text, chr(10)), lambda l: contains(lower(l), n.name))[1] AS line FROM chunks c JOIN names n ON length(n.name) >= 5 AND n.entity_type <> 'person' AND contains(lower(c.text), n.name)), p AS (SELECT *, instr(lower(line), v) - 1 AS at0 FROM t)
+@query("chunks names", """WITH t AS (SELECT c.chunk_id, n.name AS v, list_filter(string_split(c.text, chr(10)), lambda l: contains(lower(l), n.name))[1] AS line FROM chunks c JOIN (SELECT DISTINCT name FROM names WHERE length(name) >= 5 AND entity_type <> 'person') n ON contains(lower(c.text), n.name)), p AS (SELECT *, instr(lower(line), v) - 1 AS at0 FROM t)
     SELECT chunk_id, v AS variant, CASE WHEN at0 > 80 THEN '…' ELSE '' END || trim(regexp_replace(substr(line, greatest(0, at0 - 80) + 1, least(length(line), at0 + length(v) + 120) - greatest(0, at0 - 80)), '\\s+', ' ', 'g')) || CASE WHEN at0 + length(v) + 120 < length(line) THEN '…' ELSE '' END AS excerpt FROM p""")
 def f11_agenda_excerpt(s, d):  # F11, E15
-    names = load(s, d, "names").where("entity_type <> 'person' and length(name) >= 5").select(F.col("name").alias("variant"))
-    own = load(s, d, "chunks").select("chunk_id", "text").join(R.few(names), F.contains(F.lower("text"), F.col("variant")))
+    named = load(s, d, "names").where("entity_type <> 'person' and length(name) >= 5").select("name", F.array("name").alias("variants")).distinct()
+    own = M.matches(load(s, d, "chunks").select("chunk_id", "text"), named, entity="name")
     return own.select("chunk_id", "variant", X.agenda_excerpt(F.col("text"), F.col("variant")).alias("excerpt"))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as X
 from rostrum.operators import identity as I
+from rostrum.operators import mentions as M
 from rostrum.operators import relational as R
-from rostrum.operators.relational import few
 from rostrum.plans.registry import joined, registry
 from rostrum.sources import parse as P
 from rostrum.sources.tables import load
@@ -112,8 +112,9 @@ KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 @query(oracle=f"""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({KEY.format('d.text')}, {KEY.format("array_to_string(string_split(b.text, ' ')[1:4], ' ')")})""")
 def f22_quote_check(s, d):  # F22, F23
     quotes = load(s, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("quote")).where(X.verbatim(F.col("quote"), F.col("quote")))
-    docs = load(s, d, "documents").select("doc_id", X.quote_key(F.col("text")).alias("key"))
-    return docs.join(few(quotes), F.contains("key", X.quote_key(F.col("quote")))).select("item_id", "doc_id")
+    named = quotes.select("item_id", F.array(X.quote_key(F.col("quote"))).alias("variants")).where(F.length(F.col("variants")[0]) >= 5)
+    docs = load(s, d, "documents").select("doc_id", X.quote_key(F.col("text")).alias("text"))
+    return M.matches(docs, named, key="doc_id", entity="item_id").select("item_id", "doc_id")
 
 
 @query(oracle="SELECT doc_id, left(sha256(text), 16) AS hash FROM documents")

@@ -60,6 +60,13 @@ def test_hot_topics(spark):
     assert series == [(3, 900.0), (1, 100.0), (2, 50.0)]
 
 
+def test_many_names_meet_on_pieces(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["The Oak Street plaza", "oak streets", "nothing", None, "oak", "élan vital, élan"])], "chunk_id long, text string")
+    named = M.variants(spark.createDataFrame([(1, "Oak Street", "plaza"), (2, "street", None), (3, "élan v", "xx")], "entity_id long, name string, alias string"))
+    few, many = (sorted((r.chunk_id, r.entity_id, r.variant) for r in M.matches(texts, named, most=n).collect()) for n in (100, 0))
+    assert few == many == [(0, 1, "oak street"), (0, 2, "street"), (1, 1, "oak street"), (1, 2, "street"), (5, 3, "élan v")]
+
+
 def test_merge_segments(spark):
     rows = spark.createDataFrame([(1, i, 10.0 * i, 10.0 * i + 10, "x" * 400) for i in range(3)], "m long, o int, s double, e double, t string")
     got = [(r.part, r.start, r.end, len(r.text)) for r in R.merge_segments(rows, "m", "o", "s", "e", "t").orderBy("part").collect()]
