@@ -88,12 +88,14 @@ def dedupe_plan(entities: DataFrame) -> DataFrame:
 def token_duplicates(names: DataFrame, official: DataFrame) -> DataFrame:
     """names (id, name) with duplicate: nothing distinctive in it, or its distinctive tokens hold, or are held by, those of an
     official name. A pair shares a token, so an equi-join on tokens finds it and nothing is crossed."""
-    own = names.withColumn("_t", X.distinctive_tokens(F.col("name")))
-    theirs = official.select(F.col("id").alias("_oid"), X.distinctive_tokens(F.col("name")).alias("_o")).where(F.size("_o") > 0)
-    a = own.select("id", F.size("_t").alias("_n"), F.explode("_t").alias("token"))
-    b = theirs.select("_oid", F.size("_o").alias("_m"), F.explode("_o").alias("token"))
-    hit = a.join(b, "token").groupBy("id", "_oid", "_n", "_m").agg(F.count(F.lit(1)).alias("same")).where("same = _n or same = _m").select("id").distinct().withColumn("_hit", F.lit(True))
-    return own.join(hit, "id", "left").withColumn("duplicate", (F.size("_t") == 0) | F.coalesce("_hit", F.lit(False))).drop("_t", "_hit")
+    own = names.withColumn("_t", F.array_sort(X.distinctive_tokens(F.col("name"))))
+    ours = own.select("_t").distinct()  # many names have the same tokens: sets are compared once
+    theirs = official.select(F.array_sort(X.distinctive_tokens(F.col("name"))).alias("_o")).where(F.size("_o") > 0).distinct()
+    a = ours.select("_t", F.explode("_t").alias("token"))
+    b = theirs.select("_o", F.explode("_o").alias("token"))
+    same = a.join(b, "token").groupBy("_t", "_o").agg(F.count(F.lit(1)).alias("same"))
+    hit = same.where((F.col("same") == F.size("_t")) | (F.col("same") == F.size("_o"))).select("_t").distinct().withColumn("_hit", F.lit(True))
+    return own.join(hit, "_t", "left").withColumn("duplicate", (F.size("_t") == 0) | F.coalesce("_hit", F.lit(False))).drop("_t", "_hit")
 
 
 def greedy_suppress(names: DataFrame, group: str, order: list[str]) -> DataFrame:
