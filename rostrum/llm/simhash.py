@@ -92,12 +92,17 @@ def groups(marked: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> tupl
     """For rows (doc_id, fp, ...): each fp once, with n (its rows), root (the smallest fp connected) and component_id (the
     smallest doc_id connected); and the number of rows."""
     own = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
-    roots = components(near_pairs(own.select("fp"), max_bits, bucket_limit))
+    found = rooted_groups(own, components(near_pairs(own.select("fp"), max_bits, bucket_limit)))
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return found, total
+
+
+def rooted_groups(own: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, n, root, component_id) of own (fp, least, n) and the (node, root) of those that are connected."""
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage_table(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return stage_table(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "groups"), total
+    return stage_table(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "groups")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> DataFrame:
@@ -117,6 +122,11 @@ def keep_one(docs: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> Data
     small_batches(docs.sparkSession)
     marked = stage_table(docs.withColumn("_fp", fingerprint("text")), "printed")
     found, _ = groups(marked.select("doc_id", F.col("_fp").alias("fp")), max_bits, bucket_limit)
+    return one_of_each(docs, marked, found)
+
+
+def one_of_each(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, which marked holds with their _fp, that stand for the groups found."""
     first = marked.select("doc_id", F.col("_fp").alias("fp")).join(found.where(F.col("component_id").isNotNull()).select("fp", "root", F.col("component_id").alias("doc_id")), ["fp", "doc_id"])
     # where a document id is repeated, or all ids of a component are null, any row of its smallest fingerprint stands for it
     chosen = first.groupBy("root", "doc_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("_rows"))
