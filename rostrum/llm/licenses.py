@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions on the data's path.
 
-A paragraph is a line. Lines with a word that licences are made of (the gate) are split into word n-grams; a multinomial
+A paragraph is a line. Lines with a word that licences are made of, or that any confirmed line must have (the gate), are split into word n-grams; a multinomial
 logistic regression over n-grams, trained here from the labelled lines below, gives each family a probability. Its
 temperature is fitted on leave-one-out predictions, and a line whose best probability is below `confident` is of unknown
 licence, as is one whose n-grams don't match a template of the predicted family well enough."""
@@ -53,7 +53,7 @@ TEMPLATES: dict[str, list[str]] = {
         "She renewed her driving license at the office.", "The license fee for the hall rose again.", "He asked for permission to leave early.", "The pub lost its licence last year.", "Poetic license allows such rhymes.", "A warranty covers the washing machine for two years.", "The apache helicopter landed at noon.", "MIT researchers found a new method.", "The public domain of the town is wide.", "Permission slips are due on Friday.", "The gnu grazed by the river.",
     ],
 }
-#: A line without any of these is not scored: the model gives it to "none" by its intercept.
+#: Words licences are made of: a line without any of these has a row only if it is confirmed.
 GATE = r"licen[sc]|lizenz|copyright|permission|warrant|redistribut|\bgnu\b|\ba?l?gpl|\bmpl|\bcc0|\bcc[ -]by|creative commons|public domain|spdx|rights reserved"
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
@@ -116,16 +116,36 @@ def trained() -> tuple[list[str], list[str], np.ndarray, float]:
     return classes, names, logistic(x, y), float(temperature)
 
 
+def gate(overlap: float) -> str:
+    """A pattern that every line matches which shares `overlap` of its n-grams (Dice) with a template of a family: without
+    the words of the pattern, no template has enough n-grams left to share. GATE is part of it."""
+    if overlap <= 0:
+        return ""
+    words: set[str] = set()
+    plain = {w for x in TEMPLATES["none"] for w in grams_of(x)}
+    for x in (x for k, v in TEMPLATES.items() if k not in ("other", "none") for x in v):
+        own = grams_of(x)
+        for w in sorted((g for g in own if " " not in g and g != "#"), key=lambda w: (w in plain, -len(w), w)):
+            if sum(words.isdisjoint(g.split()) for g in own) < len(own) * overlap / (2 - overlap):
+                break
+            words.add(w)
+    return f"{GATE}|(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(words)))})(?![a-z0-9])"
+
+
 def scan(docs: DataFrame, confident: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """(doc_id, line_no, line, family, probability, similarity, confirmed): a row for each line of a document that passes the
-    gate and isn't of class "none". family is "unknown" where the classifier isn't confident, says "other", or no template
+    """(doc_id, line_no, line, family, probability, similarity, confirmed): a row for each line of a document that is
+    confirmed, or has a word of GATE and isn't of class "none". family is "unknown" where the classifier isn't confident, says "other", or no template
     of its family shares `overlap` of its n-grams (Dice) with the line.
 
     Null and empty texts have no rows, nor has an empty table; repeated rows and lines are reported each time; columns
     other than doc_id and text play no part."""
     spark = docs.sparkSession
     classes, names, weights, temperature = trained()
-    lines = docs.where(F.lower("text").rlike(GATE)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.lower("line").rlike(GATE))
+    could = gate(overlap)
+    forms_grams = sorted({g for k, v in TEMPLATES.items() if k not in ("other", "none") for x in v for g in grams_of(x)})
+    # of a confirmed line at least this share of the n-grams is in one template, so in all of them together
+    enough = let(grams(F.col("line")), lambda g: F.size(F.array_intersect(g, F.array(*map(F.lit, forms_grams)))) >= overlap / 2 * F.size(g))
+    lines = docs.where(F.lower("text").rlike(could)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.lower("line").rlike(GATE) | (F.lower("line").rlike(could) & enough))
     lines = stage_table(lines, "lines")
     distinct = stage_table(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "distinct")
     parts = stage_table(distinct.select("line", "n", grams(F.col("line")).alias("grams")), "grams").where(F.size("grams") > 0)
@@ -144,7 +164,7 @@ def scan(docs: DataFrame, confident: float = 0.5, overlap: float = 0.5) -> DataF
     near = shared.groupBy("line", "form", "size", "form_size").agg(F.count(F.lit(1)).alias("same")).groupBy("line").agg(F.max(2 * F.col("same") / (F.col("size") + F.col("form_size"))).alias("similarity"))
     judged = best.where("predicted <> 'none'").join(near, "line", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     sure = (F.col("predicted") != "other") & (F.col("probability") >= confident) & (F.col("similarity") >= overlap)
-    judged = judged.select("line", F.when(sure, F.col("predicted")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed"))
+    judged = judged.select("line", F.when(sure, F.col("predicted")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed")).where(F.col("confirmed") | F.lower("line").rlike(GATE))
     verdicts = stage_table(judged.join(distinct, "line"), "verdicts")
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return join_by_hot_key(lines, verdicts, "line", "n", total)
