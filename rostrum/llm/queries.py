@@ -24,7 +24,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return search.top_k(docs, asked)
+    return search.top_k(docs, asked).withColumn("score", F.round("score", 6))
 
 
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_bm25_search, op3_ppm, op4_license_scan, op5_quality_rules, op6_html_text, op7_token_counts, op8_packing, op9_importance_resampling, op10_simhash)}
-ORACLES: dict[str, str] = {}
+
+TOKENS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))"
+ORACLES: dict[str, str] = {
+    "op2_bm25_search": f"""
+with bags as (select doc_id, w, count(*) as c from (select doc_id, {TOKENS} as w from documents) group by doc_id, w),
+     sizes as (select doc_id, sum(c) as n from bags group by doc_id),
+     stats as (select count(*) as docs, (select sum(n) from sizes) / count(*) as mean from documents),
+     idf as (select w, ln(1 + (docs - df + 0.5) / (df + 0.5)) as idf from (select w, count(*) as df from bags group by w), stats),
+     pairs as (select q.doc_id as query_id, d.doc_id, round(sum(q.c * idf * d.c * 2.2 / (d.c + 1.2 * (0.25 + 0.75 * n / mean))), 9) as score
+               from bags q join bags d using (w) join idf using (w) join sizes s on s.doc_id = d.doc_id, stats
+               where q.doc_id % 50 = 0 group by q.doc_id, d.doc_id),
+     ranked as (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from pairs)
+select query_id, rank, doc_id, round(score, 6) as score from ranked where rank <= 10""",
+}

@@ -355,23 +355,30 @@ def test_token_counts(docs, empty):
     assert wordpiece.token_counts(empty, path).count() == 0
 
 
-def test_search(spark, docs, empty):
-    asked = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
+@pytest.mark.parametrize(("block", "common", "shard"), [(64, 24, 1_000_000), (3, 4, 400)])
+def test_search(spark, docs, empty, block, common, shard):
+    big = (1 << 60) + 1  # lost in a double
+    docs = docs.unionByName(docs.where("doc_id in (4, 15, 30)")).withColumn("doc_id", F.when(F.col("doc_id") == 30, F.lit(big)).otherwise(F.col("doc_id"))).repartition(2)
+    asked = docs.where(f"doc_id % 10 = 0 or doc_id = {big}").select(F.col("doc_id").alias("query_id"), "text")
     rows = docs.collect()
     bags = [collections.Counter(w.lower() for w in words(r.text)) for r in rows]
     size = [sum(b.values()) for b in bags]
     mean, df = sum(size) / len(rows), collections.Counter(w for b in bags for w in b)
     got = collections.defaultdict(list)
-    for r in search.top_k(docs, asked, 5).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.doc_id, r.score))
-    for q in asked.where("query_id <> 10").distinct().collect():
+    for r in search.top_k(docs, asked, 5, width=block, share=common, shard_words=shard).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.score))
+    twice = {q for q, n in collections.Counter(r.query_id for r in asked.distinct().collect()).items() if n > 1}
+    asked_rows = [q for q in asked.distinct().collect() if q.query_id not in twice]
+    assert len(asked_rows) > 10 and big in got
+    for q in asked_rows:
         scores = []
         for r, b, n in zip(rows, bags, size, strict=True):
             s = sum(c * np.log1p((len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * n / mean)) for w, c in collections.Counter(w.lower() for w in words(q.text)).items() if w in b)
             if s > 0:
                 scores.append((r.doc_id, s))
         scores.sort(key=lambda x: (-round(x[1], 9), -1 if x[0] is None else x[0]))
-        assert [x for _, x in got[q.query_id]] == pytest.approx([x for _, x in scores[:5]])
+        assert [(i, d) for i, d, _ in got[q.query_id]] == [(i, d) for i, (d, _) in enumerate(scores[:5], 1)]
+        assert [x for _, _, x in got[q.query_id]] == pytest.approx([x for _, x in scores[:5]])
     assert search.top_k(empty, asked).count() == 0 and search.top_k(docs, asked.limit(0)).count() == 0
 
 
