@@ -300,6 +300,123 @@ def test_ppm(spark, docs, empty):
     assert ppm.score(docs, held="true").where("isnan(score) or score >= 0 or n_known > 0").count() == 0
 
 
+def plain_trie(counts, ends):
+    """{context: {symbol: n}} of a PPM trie with update exclusion; the contexts of a word of more than six bytes are whole."""
+    longest = collections.defaultdict(collections.Counter)
+    for w, n in counts.items():
+        seq = b" " + w + b" "
+        for i in range(1, len(seq)):
+            longest["whole" if 6 < i <= 32 else min(i, 6), seq[:i] if i <= 32 else seq[i - 6 : i]][seq[i]] += n
+    longest[1, b" "][256] += ends
+    trie, above = {}, {}
+    for order in ["whole", 6, 5, 4, 3, 2, 1, 0]:
+        own = collections.defaultdict(collections.Counter, {k: v for k, v in longest.items() if k[0] == order})
+        for (o, c), symbols in above.items():
+            for x in symbols:
+                own[order, c[-6:] if o == "whole" else c[1:]][x] += 1
+        trie |= own
+        above = own
+    return trie
+
+
+def plain_cost(trie, context, symbol):
+    chain = [("whole", context)] if 6 < len(context) <= 32 else []
+    chain += [(n, context[len(context) - n :]) for n in range(min(6, len(context)), -1, -1)]
+    chain = chain[next((i for i, c in enumerate(chain) if c in trie), len(chain)) :]
+    gone, p = set(), 1.0
+    for c in chain:
+        own = {x: n for x, n in trie[c].items() if x not in gone}
+        if not own:
+            continue
+        total = sum(own.values())
+        if symbol in own:
+            return np.log10(p * (own[symbol] - 0.35) / total)
+        p *= 0.35 * len(own) / total
+        gone |= set(own)
+    return np.log10(p / max(1, 257 - len(gone)))
+
+
+def plain_ppm(rows, held):
+    """Scores by the definitions, one text after another."""
+    texts = [[w.lower() for w in words(r.text)] + [None] for r in rows]
+    train = [t for t, out in zip(texts, held, strict=True) if not out]
+    trie = plain_trie(collections.Counter(w for t in train for w in t[:-1]), len(train)) if train else {}
+    price = {w: sum(plain_cost(trie, (b" " + w + b" ")[:i], (b" " + w + b" ")[i]) for i in range(1, len(w) + 2)) for t in texts for w in t[:-1]}
+    price[None] = plain_cost(trie, b" ", 256)
+
+    def guesses(t):
+        last, run, out = {}, 0, [(None, 0)]
+        for i in range(1, len(t)):
+            g = last.get(t[i - 1])
+            out.append((g, min(run, 3)))
+            run = run + 1 if g is not None and t[g] == t[i] else 0
+            last[t[i - 1]] = i
+        return out
+
+    def pieces(t):
+        h = np.array([ppm.END_HASH if w is None else xxhash.xxh64_intdigest(w, 42) for w in t], np.uint64)
+        start, stop, _, _ = ppm.phrases(h, np.zeros(len(t), int))
+        return [(a, b, tuple(t[a - 4 : a]), tuple(t[a:b])) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+
+    tally = np.zeros((4, 2))
+    for t in train:
+        for w, (g, state) in zip(t, guesses(t), strict=True):
+            if g is not None:
+                tally[state, int(t[g] == w)] += 1
+    follow = collections.defaultdict(collections.Counter)
+    for t in train:
+        for _, _, c, p in pieces(t):
+            follow[c][p] += 1
+
+    def phrase_guess(c, p, out):
+        own = follow[c] if out else follow[c] - collections.Counter([p])
+        best = max(own.items(), key=lambda x: x[1], default=(None, 0))
+        return (best[0], min(best[1], 4) - 1) if 2 * best[1] > sum(own.values()) else None
+
+    ours = np.zeros((4, 2))
+    for t in train:
+        for _, _, c, p in pieces(t):
+            g = phrase_guess(c, p, False)
+            if g:
+                ours[g[1], int(g[0] == p)] += 1
+    share = lambda x: (x[:, 1] + 0.5) / (x.sum(axis=1) + 1)
+    word_right, phrase_right, scores, used = share(tally), share(ours), [], 0
+    for t, out in zip(texts, held, strict=True):
+        own = []
+        for w, (g, state) in zip(t, guesses(t), strict=True):
+            if g is None:
+                own.append(price[w])
+            elif t[g] == w:
+                own.append(np.log10(word_right[state]))
+            else:
+                own.append(price[w] + np.log10(1 - word_right[state]) - np.log10(max(1 - 10 ** price[t[g]], 1e-9)))
+        for a, b, c, p in pieces(t):
+            g = phrase_guess(c, p, out)
+            if g and g[0] == p:
+                own[a:b] = [np.log10(phrase_right[g[1]])] + [0] * (b - a - 1)
+                used += 1
+            elif g:
+                own[a] += np.log10(1 - phrase_right[g[1]])
+        scores.append(sum(own))
+    return scores, used
+
+
+@pytest.mark.parametrize("held", ["doc_id % 7 = 2", "true", "false"])
+def test_ppm_against_a_plain_one(spark, docs, held, monkeypatch):
+    monkeypatch.setattr(ppm, "PART_WORDS", 7)
+    rng = random.Random(9)
+    more = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) for _ in range(120)) for _ in range(6)]
+    more += [more[0], more[0], more[1] + " tail", "head " + more[2], more[3] + " " + more[3], "y" * 40 + " " + "y" * 40]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    rows = df.collect()
+    out = [bool(r.doc_id is not None and r.doc_id % 7 == 2) if "%" in held else held == "true" for r in rows]
+    want, used = plain_ppm(rows, out)
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in ppm.score(df, held=held).collect())
+    assert used > 20 or held == "true"
+    for x, y in zip(got, sorted((str(r.doc_id), len(words(r.text)) + 1, round(s, 6)) for r, s in zip(rows, want, strict=True)), strict=True):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-4), (x, y)
+
+
 def test_ppm_is_a_distribution():
     vocabulary = [b"banana", b"ban", b"bandana", b"an", b"nab", b"longerthansevenbytes", b"longerthansixbytes"]
     keys, after, _ = ppm.events(vocabulary * 3)
