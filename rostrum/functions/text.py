@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -29,9 +31,17 @@ TAXONOMY = (
     ("office", r"office|coworking|company|corporate|consult|lawyer|attorney|account|engineer|architect|tech.?startup|it.?service|employment.?agen"),
     ("civic", r"school|library|city.?hall|townhall|town.?hall|court.?house|post.?office|church|temple|mosque|synagogue|worship|community.?cent|government|university|college|police|fire.?station|hospital|clinic|park\b|recreation|civic"),
 )
-STREET_SUFFIXES = {"st": "street", "ave": "avenue", "blvd": "boulevard", "rd": "road", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place", "pkwy": "parkway", "hwy": "highway"}
-#: Letters with marks, and what compatibility decomposition leaves of them in a slug.
-ACCENTED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+STREET_SUFFIXES = {"st": "street", "rd": "road", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "pkwy": "parkway", "hwy": "highway", "ct": "court", "pl": "place", "cir": "circle", "ter": "terrace", "sq": "square"}
+
+
+def _marked() -> tuple[str, str]:
+    """Letters with marks, and the letter or digit that compatibility decomposition leaves of each in a slug."""
+    found = [(chr(c), [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]) for c in range(0xC0, 0x2200)]
+    plain = [(c, x[0]) for c, x in found if len(x) == 1 and x[0].isascii() and x[0].isalnum()]
+    return "".join(c for c, _ in plain), "".join(x for _, x in plain)
+
+
+ACCENTED = _marked()
 
 
 def bind(value: Column, body) -> Column:
@@ -40,13 +50,12 @@ def bind(value: Column, body) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    plain = F.regexp_replace(F.translate(name, *ACCENTED), "[,.]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(name, "[,.]", " "), r"\s+"), lambda t: t != "")
 
 
 def display_name(name: Column) -> Column:
-    """A name without one-letter initials, unless they are suffixes."""
-    return F.array_join(F.filter(name_tokens(name), lambda t: (F.length(t) > 1) | F.lower(t).isin(*PERSON_SUFFIXES)), " ")
+    """A name without one-letter initials, unless they have marks or are suffixes."""
+    return F.array_join(F.filter(name_tokens(name), lambda t: (F.length(t) > 1) | (F.translate(t, *ACCENTED) != t) | F.lower(t).isin(*PERSON_SUFFIXES)), " ")
 
 
 def slugify(name: Column) -> Column:
@@ -54,7 +63,7 @@ def slugify(name: Column) -> Column:
         first = F.coalesce(F.array_position(F.transform(tokens, lambda t: F.when(F.lower(t).isin(*ARTICLES), "x").otherwise("y")), "y"), F.lit(0)).cast("int")
         return F.when(first == 0, F.lit("")).otherwise(F.array_join(F.slice(tokens, F.greatest(first, F.lit(1)), F.size(tokens)), "-"))
 
-    slug = bind(name_tokens(display_name(name)), without_articles)
+    slug = bind(name_tokens(F.translate(display_name(name), *ACCENTED)), without_articles)
     slug = F.regexp_replace(F.regexp_replace(F.lower(slug), "[^a-z0-9-]", ""), "-+", "-")
     return F.regexp_replace(slug, "^-|-$", "")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,7 +13,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df behind a reliable checkpoint in the folder that the session names, or one of our own where it names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rostrum-graph-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rostrum-graph-"))
     return df.checkpoint()
 
 
@@ -83,11 +87,24 @@ def crossings(edges: DataFrame, least: int = 2) -> DataFrame:
 
 
 def sampled_pairs(weights: DataFrame, n: int, seed: int = 20260718) -> DataFrame:
-    """n origin-destination pairs drawn by weight: each draw takes the node with the largest of weighted Gumbel numbers."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "side", "draw", "node"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    draws = weights.where("weight > 0").crossJoin(F.broadcast(weights.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(weights.sparkSession.createDataFrame([("from",), ("to",)], "side string"))))
-    best = draws.groupBy("draw", "side").agg(F.max_by("node", F.log("weight") - F.log(-F.log(u))).alias("node"))
-    return best.groupBy("draw").pivot("side", ["from", "to"]).agg(F.first("node"))
+    """n origin-destination pairs drawn by weight. Nodes are dealt to buckets by a hash; a draw finds its bucket among the
+    buckets' running totals and its node among those of the bucket, so draws and nodes are never crossed."""
+    buckets = 1024
+    own = weights.where("weight > 0").select("node", "weight", F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int").alias("bucket"))
+    upto = Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    spans = own.withColumn("end", F.sum("weight").over(upto)).withColumn("start", F.col("end") - F.col("weight"))
+    totals = [0.0] * buckets
+    for bucket, total in own.groupBy("bucket").agg(F.sum("weight")).collect():
+        totals[bucket] = float(total)
+    starts = [0.0, *accumulate(totals)]
+    if not starts[-1]:
+        return own.select(F.lit(None).cast("long").alias("draw"), F.col("node").alias("from"), F.col("node").alias("to")).limit(0)
+    u = (F.pmod(F.xxhash64(F.lit(seed), "side", "draw"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    edges = F.array(*map(F.lit, starts[1:-1]))
+    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), F.explode(F.array(F.lit("from"), F.lit("to"))).alias("side")).withColumn("u", u * starts[-1])
+    draws = draws.withColumn("bucket", F.size(F.filter(edges, lambda e: e <= F.col("u")))).withColumn("u", F.col("u") - F.element_at(F.array(*map(F.lit, starts[:-1])), F.col("bucket") + 1))
+    met = draws.join(spans, (draws["bucket"] == spans["bucket"]) & (F.col("u") >= F.col("start")) & (F.col("u") < F.col("end")))
+    return met.groupBy("draw").pivot("side", ["from", "to"]).agg(F.first("node"))
 
 
 def top_edges(flows: DataFrame, n: int = 300) -> DataFrame:

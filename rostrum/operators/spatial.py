@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,16 @@ def equirectangular(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.sqrt(dx * dx + dy * dy)
 
 
-def within(centres: DataFrame, points: DataFrame, radius: float, centre: str, point: str) -> DataFrame:
-    """Pairs (centre's columns, point's columns prefixed p_, d) at most radius apart; both have x and y."""
+def within(centres: DataFrame, points: DataFrame, radius: float, centre: str, point: str, same: str | None = None) -> DataFrame:
+    """Pairs (centre's columns, point's columns prefixed p_, d) at most radius apart, and alike in the column `same` if it is
+    given; both have x and y."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     own = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns], cell("x").alias("_cx"), cell("y").alias("_cy"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     near = centres.withColumn("_s", F.explode(steps)).withColumn("_cx", cell("x") + F.col("_s.i")).withColumn("_cy", cell("y") + F.col("_s.j")).drop("_s")
-    both = near.join(own, ["_cx", "_cy"]).drop("_cx", "_cy")
+    if same:
+        near, own = near.withColumn("_same", F.col(same)), own.withColumn("_same", F.col(f"p_{same}"))
+    both = near.join(own, ["_cx", "_cy", *(["_same"] if same else [])]).drop("_cx", "_cy", "_same")
     return both.withColumn("d", distance(F.col("x"), F.col("y"), F.col("p_x"), F.col("p_y"))).where(F.col("d") <= radius)
 
 
@@ -40,15 +45,21 @@ def counts_near(nodes: DataFrame, points: DataFrame, radius: float, kind: str, k
     return out.select("node_id", *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(f"kind_{k}") for k in kinds])
 
 
-def nearest(from_: DataFrame, to: DataFrame, key: str, to_key: str, first: float, rings: int = 6) -> DataFrame:
-    """(key, to_key, d): the nearest of `to`, the smallest key of equal ones; rings widen fourfold until all have one."""
-    left, found = from_, None
-    for ring in range(rings):
-        radius = first * 4**ring
+def nearest(from_: DataFrame, to: DataFrame, key: str, to_key: str, first: float) -> DataFrame:
+    """(key, to_key, d): the nearest of `to`, the smallest key of equal ones; rings widen fourfold until all have one, or
+    until a ring spans all places. Rows whose place is null have none, nor has any row where `to` has no places."""
+    from rostrum.operators.graph import cut_lineage
+
+    ends = from_.select("x", "y").unionByName(to.select("x", "y")).agg(*[f(c) for c in ("x", "y") for f in (F.max, F.min)]).first()
+    span = math.hypot(*[(a - b) if a is not None else 0.0 for a, b in ((ends[0], ends[1]), (ends[2], ends[3]))])
+    left, found, radius = from_, None, first / 4
+    while found is None or radius < span:
+        radius *= 4
         best = within(left, to, radius, key, to_key).groupBy(key).agg(F.min(F.struct("d", F.col(f"p_{to_key}").alias(to_key))).alias("b")).select(key, f"b.{to_key}", "b.d")
+        best = cut_lineage(best)  # else each ring would work out all the rings before it twice
         found = best if found is None else found.unionByName(best)
         left = left.join(best.select(key), key, "left_anti")
-        if ring + 1 < rings and left.limit(1).count() == 0:
+        if radius < span and left.limit(1).count() == 0:
             break
     return found
 
@@ -56,7 +67,7 @@ def nearest(from_: DataFrame, to: DataFrame, key: str, to_key: str, first: float
 def same_name_pairs(points: DataFrame, name: str, key: str, radius: float) -> DataFrame:
     """(a, b), a < b: points of one name, which isn't empty, at most radius apart."""
     own = points.where(F.col(name) != "").select(F.col(key).alias("id"), F.col(name).alias("_n"), "x", "y")
-    pairs = within(own, own, radius, "id", "id").where((F.col("_n") == F.col("p__n")) & (F.col("id") < F.col("p_id")))
+    pairs = within(own, own, radius, "id", "id", same="_n").where(F.col("id") < F.col("p_id"))
     return pairs.select(F.col("id").alias("a"), F.col("p_id").alias("b"))
 
 

@@ -267,12 +267,15 @@ def l03_knn(s, d):  # L03, M08, T15
 
 
 @query("chunks sessions", """WITH k AS (SELECT c.chunk_id AS id FROM chunks c JOIN sessions s USING (meeting_id) WHERE contains(lower(c.text), 'the') ORDER BY s.meeting_date DESC, c.chunk_id LIMIT 20),
-    v AS (SELECT vec_id AS id FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 8)
+    q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0),
+    near AS (SELECT vec_id AS id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), e) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(e, e))), 9) AS distance FROM embeddings, q ORDER BY 2, 1 LIMIT 8),
+    v AS (SELECT id FROM near WHERE distance <= 0.55)
     SELECT 'chunk' AS kind, id, 0 AS source_rank FROM k UNION ALL SELECT 'vector', id, 1 FROM v UNION ALL SELECT 'chunk', id, 1 FROM v WHERE id NOT IN (SELECT id FROM k)""")
 def u01_hybrid_search(s, d):  # U01, T14, P11
     said = load(s, d, "chunks").join(load(s, d, "sessions").select("meeting_id", "meeting_date"), "meeting_id")
     words = V.keyword(said, F.col("text"), "the", [F.col("meeting_date").desc(), F.col("chunk_id")]).select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"))
-    near = load(s, d, "embeddings").where("label = 3").orderBy("vec_id").limit(8)
+    vectors = load(s, d, "embeddings")
+    near = V.nearest(vectors, vectors.where("vec_id = 0").first()["embedding"], 8).where("distance <= 0.55")
     both = near.select(F.explode(F.array(F.lit("vector"), F.lit("chunk"))).alias("kind"), F.col("vec_id").alias("id"))
     return V.first_of([words, both], ["kind", "id"])
 

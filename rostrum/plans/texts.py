@@ -81,7 +81,8 @@ def f13_name_key(s, d):  # F13
     return names(s, d).select("id", X.name_key(F.concat("name", F.lit("'s"))).alias("key"))
 
 
-STREET = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.STREET_SUFFIXES.items()) + " ELSE x END"
+STREET = """CASE x WHEN 'st' THEN 'street' WHEN 'rd' THEN 'road' WHEN 'ave' THEN 'avenue' WHEN 'av' THEN 'avenue' WHEN 'blvd' THEN 'boulevard' WHEN 'dr' THEN 'drive' WHEN 'ln' THEN 'lane'
+    WHEN 'pkwy' THEN 'parkway' WHEN 'hwy' THEN 'highway' WHEN 'ct' THEN 'court' WHEN 'pl' THEN 'place' WHEN 'cir' THEN 'circle' WHEN 'ter' THEN 'terrace' WHEN 'sq' THEN 'square' ELSE x END"""
 
 
 @query(oracle=f"WITH {NAMES} SELECT id, array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: {STREET}), ' ') AS street FROM names0")

@@ -244,3 +244,34 @@ def test_rest_works_without_the_corpus_operators(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")})
+
+
+def test_nearest_reaches_far_places(spark):
+    from rostrum.operators import spatial
+
+    here = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e6, 9e6), (3, None, 0.0)], "a long, x double, y double")
+    there = spark.createDataFrame([(7, 1.0, 0.0), (8, -1.0, 0.0)], "b long, x double, y double")
+    got = {r.a: (r.b, round(r.d)) for r in spatial.nearest(here, there, "a", "b", 2.0).collect()}
+    assert got == {1: (7, 1), 2: (7, 12727921)}
+    assert spatial.nearest(here, there.limit(0), "a", "b", 2.0).count() == 0
+
+
+def test_names_with_marks_and_street_suffixes(spark):
+    from pyspark.sql import functions as F
+
+    from rostrum.functions import text as X
+
+    rows = spark.createDataFrame([("Čeněk Őry",), ("É. Zoë Ñandú",), ("J. Łuk Ng",)], "n string").select(X.slugify(F.col("n")), X.display_name(F.col("n"))).collect()
+    assert [tuple(r) for r in rows] == [("cenek-ory", "Čeněk Őry"), ("e-zoe-nandu", "É Zoë Ñandú"), ("uk-ng", "Łuk Ng")]
+    streets = spark.createDataFrame([("Oak Av.",), ("Elm Cir",), ("Ivy Ter",), ("Main Sq",), ("Pine St",)], "n string").select(X.street_key(F.col("n"))).collect()
+    assert [r[0] for r in streets] == ["oak avenue", "elm circle", "ivy terrace", "main square", "pine street"]
+
+
+def test_pairs_are_drawn_by_weight(spark):
+    from rostrum.operators import graph
+
+    weights = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 0.0), (4, 6.0)], "node long, weight double")
+    rows = graph.sampled_pairs(weights, 2000).collect()
+    share = lambda k, c: sum(r[c] == k for r in rows) / len(rows)
+    assert len(rows) == 2000 and all(abs(share(k, c) - w) < 0.05 for k, w in ((1, 0.1), (2, 0.3), (3, 0), (4, 0.6)) for c in ("from", "to"))
+    assert graph.sampled_pairs(weights.where("weight = 0"), 10).count() == 0
