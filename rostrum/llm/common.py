@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="rostrum-"))
     return _own_dir[0]
@@ -63,9 +66,21 @@ def drop_staged(start: int = 0, end: int | None = None) -> None:
 atexit.register(drop_staged)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, so that a batch of very long texts fits in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def own_names(body):
+    """body(docs, ...) with docs' columns under names that can't meet those that body makes up: all but the ones it reads
+    or is told of are called user_0, user_1, ... inside, and have their names again in what it returns. A column that body
+    adds takes the place of one of the same name."""
+
+    @functools.wraps(body)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        plain = {"doc_id", "text", "lang", "source", "n_chars"} | {x for x in options.values() if isinstance(x, str)}
+        inside = [c if c in plain else f"user_{i}" for i, c in enumerate(docs.columns)]
+        out = body(docs.toDF(*inside), *args, **options)
+        names = dict(zip(inside, docs.columns, strict=True))
+        added = {c.lower() for c in out.columns if c not in names}
+        return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns if c not in names or names[c].lower() not in added])
+
+    return run
 
 
 def n_words(text: Column) -> Column:

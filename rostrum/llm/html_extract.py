@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rostrum.llm.common import small_batches
 
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li link main menu nav noscript object ol option p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -342,7 +341,6 @@ def main_text(pages: DataFrame, count: int = 500, seed: int = 3) -> DataFrame:
     Character references are decoded, white space inside a block is one space and none at its ends; nothing else is changed
     or cut. Null or empty html, and pages without content, give an empty text. Repeated rows are read each time; an empty
     table gives an empty one; other columns play no part."""
-    small_batches(pages.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     model = pages.sparkSession.sparkContext.broadcast(trained(count, seed))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.llm.common import n_words, running_total
+from rostrum.llm.common import n_words, own_names, running_total
 
 #: Sources are named and weighed one by one; more of them than this are a sign of a wrong column.
 MAX_SOURCES = 100_000
@@ -78,13 +78,14 @@ def plan(sizes: Sequence[int], weights: Sequence[float], max_repeat: int, block_
     return {"targets": targets, "takes": takes, "block": block, "quotas": quotas, "n_shards": n_shards, "ends": counts.cumsum(axis=1), "perm": [(coprime(k, rng), int(rng.integers(0, max(1, k)))) for k in quotas]}
 
 
+@own_names
 def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), weight_of: Callable[[str | None, int], float] | None = None, max_repeat: int = 3, block_words: int = 4096, shard_words: int = 1 << 22, seed: int = 7) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_taken and mix_pieces, an array of (shard, place, epoch, n_words).
 
     Sources in code-point order, null last, weigh `weights` in turn (or weight_of(source, rank)). Each source's taken
     words equal its target rounded; only the last document of a stream's last pass is taken in part. A document without
     words, or with null text, has no pieces. Repeated rows are documents of their own. An empty table gives an empty
-    one. Other columns are kept; the names mix_* and _* are ours."""
+    one. Other columns are kept; a column of ours takes the place of one of the same name."""
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     sized = docs.withColumn("mix_size", n_words(F.col("text"))).withColumn("_source", key)
@@ -116,6 +117,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), weight_of: Cal
     return out.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_pieces")
 
 
+@own_names
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: docs' columns, a row for each piece, dealt to its shard and shuffled inside it.
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import running_total, small_batches, stage_table
+from rostrum.llm.common import running_total, stage_table
 
 #: Words that a worker remembers the ids of; when there are more, it starts afresh. About 150 MB, which an idle worker
 #: lets go.
@@ -223,7 +223,6 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
     A null or empty text is a document of the end id alone. Repeated rows and repeated or null ids are documents of their
     own. An empty table gives no pieces. Columns other than doc_id and text play no part."""
     spark = docs.sparkSession
-    small_batches(spark)
     table = stage_table(tokenized(docs, tokenizer, end_id), "ids")
     narrow = table.select("uid", "n", (F.col("n") % window).cast("int").alias("_rest"), F.floor(F.col("n") / window).cast("long").alias("_full"), F.xxhash64(F.lit(seed), "uid").alias("_hash"), F.lit(0).alias("_all"))
     hist = np.zeros(window, dtype=np.int64)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.llm.common import small_batches, stage_table
+from rostrum.llm.common import own_names, stage_table
 
 BUCKETS = 1 << 15
 
@@ -81,15 +81,16 @@ def kth_largest(df: DataFrame, order: str, k: int, digit: int = 16) -> int | Non
     return struct.unpack("<q", struct.pack("<Q", (prefix & ((1 << 64) - 1)) ^ (1 << 63)))[0]
 
 
+@own_names
 def importance(docs: DataFrame, labels: DataFrame, *, keep_share: float | None = None, max_labels: int = 50_000, buckets: int = BUCKETS, seed: int = 11) -> DataFrame:
     """docs with dsir_weight (log importance), dsir_key (weight and Gumbel draw) and dsir_kept.
 
     The target model is fitted on at most max_labels labelled rows, drawn by a hash of doc_id; the raw model counts all
     rows. keep_share is the share of rows to keep; by default the share of good ones among the drawn labels of these rows.
     Without labels all rows are kept. Null and empty texts have weight 0. Rows with the same id, text and key have one
-    fate: where they tie at the cut, all of them are kept. The names dsir_* are ours; other columns are kept."""
+    fate: where they tie at the cut, all of them are kept. Other columns are kept; one of ours
+    takes the place of one of the same name."""
     spark = docs.sparkSession
-    small_batches(spark)
     ids = docs.select("doc_id")
     drawn = labels.where("quality in (0, 1)").join(ids, "doc_id", "left_semi").select("doc_id", "quality").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality").limit(max_labels).collect()
     target = {r["doc_id"] for r in drawn if r["quality"] == 1}
@@ -121,6 +122,7 @@ def order_of(x: pd.Series) -> pd.Series:
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
 
 
+@own_names
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that importance() keeps."""
     return importance(docs, labels, **options).where("dsir_kept").select(*docs.columns)

@@ -15,7 +15,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import SPACE, let, n_words, stage_table
+from rostrum.llm.common import SPACE, let, n_words, own_names, stage_table
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -118,13 +118,14 @@ def breaks(rule: str, cut: Column) -> Column:
     return (cut["rule"] == rule) & (F.col(f"rule_scores.{rule}") > cut["cutoff"])
 
 
+@own_names
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
     """measure(docs) with rule_base_failed, rule_cuts (the cutoffs of its stratum) and rule_kept.
 
     A document fails the base when it has under ten words or over a fifth of them in repeated windows. Null strata are a
     stratum; labels whose document isn't there, and documents without a label, play no part in the fit; a document
     labelled twice counts twice. Without labels all that pass the base are kept. Repeated rows are judged one by one.
-    The names rule_* and _* are ours; what docs holds besides is kept."""
+    What docs holds besides is kept; a column of ours takes the place of one of the same name."""
     measured = measure(docs).withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
     measured = stage_table(measured, "measured")
     cuts = stage_table(cutoffs(measured, labels, **options), "cutoffs")
@@ -136,6 +137,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options)
     return out.withColumn("rule_kept", ~failed & (F.size("rule_broken") == 0)).withColumnRenamed("cuts", "rule_cuts").drop("_stratum")
 
 
+@own_names
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that judge() keeps."""
     return judge(docs, labels, **options).where("rule_kept").select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.llm.common import join_by_hot_key, small_batches, stage_table
+from rostrum.llm.common import join_by_hot_key, own_names, stage_table
 
 SEED = 42
 HALF = 0xFFFFFFFF
@@ -70,18 +70,28 @@ def near_pairs(fps: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> Dat
     return met.where(F.col("g").isNotNull()).select(F.col("fp").alias("a"), F.col("g").alias("b")).unionByName(stars).distinct()
 
 
+#: Rows of two longs that are broadcast rather than shuffled: 16 MB.
+FEW = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count proves that it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root): for each node of links (a, b) the smallest node it is connected with. Each round takes the
     smallest root of the neighbours and then the root's own root, so that long chains halve."""
     links = stage_table(links, "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = stage_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    small = roots.limit(FEW + 1).count() <= FEW
     for _ in range(max_rounds):
-        seen = both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        better = roots.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        better = stage_table(better, "better")
+        sent = F.broadcast(roots) if small else roots
+        seen = both.join(sent, both["b"] == sent["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        better = stage_table(seen.join(sent, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")), "better")
         up = better.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = stage_table(better.join(up, "root").select("node", "was", F.least("root", "up").alias("root")), "roots")
+        new = stage_table(better.join(F.broadcast(up) if small else up, "root").select("node", "was", F.least("root", "up").alias("root")), "roots")
         roots = new.select("node", "root")
         if new.where(F.col("root") != F.col("was")).limit(1).count() == 0:
             return roots
@@ -99,7 +109,7 @@ def groups(marked: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> tupl
 
 def rooted_groups(own: DataFrame, roots: DataFrame) -> DataFrame:
     """(fp, n, root, component_id) of own (fp, least, n) and the (node, root) of those that are connected."""
-    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = own.join(few(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage_table(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return stage_table(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "groups")
@@ -111,15 +121,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, bucket_limit: int = 64)
     Texts that are null or have no words have fingerprint zero and are linked like any other. Repeated rows are
     returned as often as they come. A null doc_id is never the smallest; a component of null ids only has a null id.
     An empty table gives an empty one. Columns other than doc_id and text play no part."""
-    small_batches(docs.sparkSession)
     marked = stage_table(docs.select("doc_id", fingerprint("text").alias("fp")), "marked")
     found, total = groups(marked, max_bits, bucket_limit)
     return join_by_hot_key(marked, found.select("fp", "n", "component_id"), "fp", "n", total)
 
 
+@own_names
 def keep_one(docs: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id (of rows that share it, any one)."""
-    small_batches(docs.sparkSession)
     marked = stage_table(docs.withColumn("_fp", fingerprint("text")), "printed")
     found, _ = groups(marked.select("doc_id", F.col("_fp").alias("fp")), max_bits, bucket_limit)
     return one_of_each(docs, marked, found)

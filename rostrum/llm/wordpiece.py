@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import small_batches
 
 #: Words whose counts a worker remembers; when there are more, it starts afresh. About 200 MB.
 REMEMBERED = 1_500_000
@@ -105,7 +104,6 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     vocabulary: path of a file of ranks, there on every executor. Words are runs of characters other than ASCII white
     space; they are matched byte by byte. A word that no pieces make up counts as one unknown piece. Null and empty texts
     have no words. Repeated rows are counted each time; an empty table gives an empty one; other columns play no part."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

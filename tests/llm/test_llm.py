@@ -559,3 +559,44 @@ def test_held_out_rows_by_crc(spark):
     docs = spark.createDataFrame([(i, "a b") for i in range(50)], "doc_id long, text string")
     got = ppm.score(docs, held="pmod(crc32(cast(doc_id as string)), 7) = 2").collect()
     assert {r.doc_id for r in got if r.held_out} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2}
+
+
+def test_columns_may_have_any_name(spark, labels):
+    from rostrum.llm import similar
+
+    names = ["_hash", "_source", "_index", "_take", "_before", "_passes", "_shards", "_piece", "_range", "_order", "_fp", "_rep", "_doc", "_rows", "fp", "root", "_lines", "_upper", "_stratum", "cuts", "key", "h", "a.b", "mix_note", "rule_note"]
+    rows = [(i, f"some words of text number {i % 7} that go on for a while " * 2, "en", "s", *[f"{n}/{i}" for n in names]) for i in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    want = {r[0]: r[4:] for r in rows}
+    own = [f"`{n}`" for n in names]
+    calls = {"mix": mixing.mix(df), "mixture": mixing.mixture(df), "importance": resampling.importance(df, labels), "keep": resampling.keep(df, labels), "judge": rules.judge(df, labels), "rules.keep": rules.keep(df, labels, stratum="source"), "keep_one": simhash.keep_one(df), "similar": similar.keep_one(df)}
+    for name, out in calls.items():
+        assert [c for c in out.columns if c in df.columns] == df.columns, name
+        got = out.select("doc_id", *own).collect()
+        assert all(tuple(r)[1:] == want[r.doc_id] for r in got) and (got or name == "rules.keep"), name
+    clash = df.withColumn("mix_taken", F.lit("mine")).withColumn("rule_kept", F.lit("mine"))
+    assert dict(mixing.mix(clash).dtypes)["mix_taken"] == "bigint" and dict(rules.judge(clash, labels).dtypes)["rule_kept"] == "boolean"
+
+
+def test_weights_by_brute_force(spark, docs, labels):
+    """Each weight again from its definition, bucket by bucket."""
+    rows = docs.collect()
+    target = {r.doc_id for r in labels.where("quality = 1").collect()}
+    raw, chosen = collections.Counter(), collections.Counter()
+
+    def grams(text):
+        h = [zlib.crc32(w.lower()) for w in words(text)]
+        return [x % resampling.BUCKETS for x in h] + [(a * 0x9E3779B1 + b) % 2**64 % 0xFFFFFFFB % resampling.BUCKETS for a, b in zip(h, h[1:])]
+
+    for r in rows:
+        raw.update(grams(r.text))
+        if r.doc_id is not None and r.doc_id in target:
+            chosen.update(grams(r.text))
+    n, t = sum(raw.values()) + resampling.BUCKETS, sum(chosen.values())
+
+    def ratio(b):
+        p = (raw[b] + 1) / n
+        return np.log((chosen[b] + 50 * p) / (t + 50)) - np.log(p)
+
+    got = sorted((r.dsir_weight for r in resampling.importance(docs, labels).collect()))
+    assert got == pytest.approx(sorted(sum(ratio(b) for b in grams(r.text)) for r in rows), abs=1e-6)
