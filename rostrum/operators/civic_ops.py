@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DateType, MapType, StructType, TimestampNTZType, TimestampType
 
 from rostrum.functions import text as X
 from rostrum.operators import graph as G
@@ -67,3 +68,48 @@ def evaluate(project_type: str, spec: DataFrame, modules: dict[str, Callable[[Da
     for name in MODULES[project_type]:
         prior[name] = modules[name](spec, dict(prior))
     return prior
+
+
+def slug_lookup(rows: DataFrame, targets: DataFrame, slug: str = "slug", target: str = "target_id") -> DataFrame:
+    """rows with the target that has their slug, and note, which says why a row without one is passed over."""
+    found = rows.join(targets.select(slug, target), slug, "left")
+    return found.withColumn("note", F.when(F.col(target).isNull(), F.concat(F.lit("SKIP "), F.coalesce(slug, F.lit("")), F.lit(": no such target"))))
+
+
+def prior_metrics(asked: DataFrame, found: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """asked (keys, metric) with value: that of the first of found's metrics of exactly this name, null without one."""
+    first = found.groupBy(*keys, "metric").agg(F.min_by("value", order).alias("value"))
+    return asked.join(first, [*keys, "metric"], "left")
+
+
+def votes_by_last_name(people: DataFrame, ballots: DataFrame) -> DataFrame:
+    """people (person_id, name) with votes_cast: ballots (member, n) are kept by last name, so people who share one share
+    their votes."""
+    cast = ballots.groupBy(F.lower("member").alias("_key")).agg(F.sum("n").alias("votes_cast"))
+    own = people.withColumn("_key", X.last_name(F.col("name"))).join(cast, "_key", "left").drop("_key")
+    return own.withColumn("votes_cast", F.coalesce("votes_cast", F.lit(0)))
+
+
+def first_cast(votes: Column, last_name: Column) -> Column:
+    """The vote of the first key of a JSON object that is the last name, case apart; null without one."""
+    entries = F.map_entries(F.from_json(votes, "map<string,string>"))
+    return F.get(F.filter(entries, lambda e: F.lower(e["key"]) == F.lower(last_name)), F.lit(0))["value"]
+
+
+def iso_dates(df: DataFrame) -> DataFrame:
+    """df with every date and timestamp, in structs and arrays too, as ISO text; fractions of a second only where there are any."""
+
+    def iso(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, DateType):
+            return F.date_format(c, "yyyy-MM-dd")
+        if isinstance(kind, TimestampType | TimestampNTZType):
+            return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[iso(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: iso(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(c, lambda _, v: iso(v, kind.valueType))
+        return c
+
+    return df.select(*[iso(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

@@ -109,3 +109,22 @@ def sampled_pairs(weights: DataFrame, n: int, seed: int = 20260718) -> DataFrame
 
 def top_edges(flows: DataFrame, n: int = 300) -> DataFrame:
     return flows.orderBy(F.col("flow").desc(), "u", "v").limit(n)
+
+
+def shared_nodes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, node): nodes that lie on both streets of each pair (a, b)."""
+    ends = edges.where(F.col("street").isNotNull()).select("street", F.explode(F.array("u", "v")).alias("node")).distinct()
+    first = pairs.join(ends.withColumnRenamed("street", "a"), "a")
+    return first.join(ends.withColumnRenamed("street", "b"), ["b", "node"]).select("a", "b", "node")
+
+
+def longest_runs(edges: DataFrame) -> DataFrame:
+    """(street, run, pieces, length): of each street's edges (edge, street, u, v, length) the longest run of pieces that meet
+    end to end, where no third piece of the street meets them; run is its smallest edge, and decides between equal ones."""
+    ends = edges.select("street", "edge", F.explode(F.array("u", "v")).alias("node"))
+    joints = ends.groupBy("street", "node").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("a"), F.max("edge").alias("b")).where("n = 2").select("a", "b")
+    alone = edges.select(F.col("edge").alias("a"), F.col("edge").alias("b"))
+    runs = edges.join(components(joints.unionByName(alone)).withColumnRenamed("node", "edge"), "edge")
+    sums = runs.groupBy("street", F.col("root").alias("run")).agg(F.count(F.lit(1)).alias("pieces"), F.sum("length").alias("length"))
+    best = Window.partitionBy("street").orderBy(F.col("length").desc(), "run")
+    return sums.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")

@@ -71,3 +71,11 @@ def discussion_series(meetings: DataFrame, chunks: DataFrame, names: DataFrame,
     hits = matches(timed, variants(names)).groupBy("entity_id", "meeting_id").agg(F.sum((F.col("end_seconds") - F.col("start_seconds")).cast("double")).alias("seconds"))
     dated = hits.join(meetings.select("meeting_id", "meeting_date"), "meeting_id")
     return latest_by(dated, ["entity_id"], [F.col("meeting_date").desc(), F.col("meeting_id").desc()], most).drop("rank")
+
+
+def known_entities(texts: DataFrame, names: DataFrame, most: int = 60) -> DataFrame:
+    """(meeting_id, entity_id, place): the first `most` entities by id, persons left out, that a meeting's texts name."""
+    from rostrum.operators.relational import latest_by
+
+    hits = matches(texts, variants(names.where("entity_type <> 'person'"))).select("meeting_id", "entity_id").distinct()
+    return latest_by(hits, ["meeting_id"], [F.col("entity_id")], most, "place")

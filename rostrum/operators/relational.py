@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators.folds import ordered_fold
+
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
     """Equality filters; a parameter that is None filters nothing."""
@@ -46,6 +48,13 @@ def checked_query(q: str, limit: int = 50, days: int | None = None) -> None:
         raise ValueError("days: 7 to 730")
 
 
+def search_forms(q: str) -> tuple[str, str]:
+    """(needle, raw) of a query whose raw length is checked: substrings are looked for without its outer white space and in
+    lower case, vectors are made from it as it is."""
+    checked_query(q)
+    return q.strip().lower(), q
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     out = df.orderBy(*order)
     return (out.offset(offset) if offset else out).limit(limit)
@@ -94,18 +103,30 @@ def chapters(items: DataFrame, meeting: str, start: str, duration: str, tie: str
 
 
 def merge_segments(segments: DataFrame, meeting: str, order: str, start: str, end: str, text: str, size: int = 700) -> DataFrame:
-    """Consecutive segments joined until their text reaches `size` characters: a fold over each meeting's ordered array."""
-    rows = segments.groupBy(meeting).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.col(text).alias("t")))).alias("all"))
-    kind = "array<struct<s:double,e:double,t:string>>"
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))
-        grown = F.struct(last["s"].alias("s"), x["e"].alias("e"), F.concat_ws(" ", last["t"], x["t"]).alias("t"))
-        return F.when((F.size(acc) == 0) | (F.length(F.try_element_at(acc, F.lit(-1))["t"]) >= size), F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
-
-    cuts = F.aggregate("all", F.array().cast(kind), lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t")))).otherwise(add(a, x)))
-    return rows.select(meeting, F.posexplode(cuts).alias("part", "_x")).select(meeting, "part", F.col("_x.s").alias("start"), F.col("_x.e").alias("end"), F.col("_x.t").alias("text"))
+    """(meeting, part, start, end, text): consecutive segments joined until their text reaches `size` characters, a fold over
+    each meeting's ordered segments that holds one part at a time."""
+    times = [F.col(c).cast("double").alias(n) for c, n in ((start, "_start"), (end, "_end"))]
+    rows = segments.select(F.col(meeting), F.col(order).alias("_order"), *times, F.col(text).alias("_text"))
+    kind = rows.schema[meeting].dataType.simpleString()
+
+    def part(s: list) -> tuple:
+        return (s[0], s[1], s[2], " ".join(s[3]) if s[3] or s[5] > 1 else None)
+
+    def step(s: list, row: tuple):
+        done = ()
+        if s[5] and s[4] >= size:
+            done = (part(s),)
+            s[:] = [s[0] + 1, None, None, [], 0, 0]
+        if not s[5]:
+            s[1] = row[0]
+        s[2] = row[1]
+        if row[2] is not None:
+            s[4] += len(row[2]) + bool(s[3])
+            s[3].append(row[2])
+        s[5] += 1
+        return done
+
+    return ordered_fold(rows, [meeting], ["_order", "_start", "_end", "_text"], ["_start", "_end", "_text"], f"`{meeting}` {kind}, part int, start double, end double, text string", lambda: [0, None, None, [], 0, 0], step, lambda s: (part(s),))
 
 
 def first_per_label(build: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

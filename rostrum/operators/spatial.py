@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators.folds import ordered_fold
+
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
@@ -103,9 +105,15 @@ def ring_area(xs: Column, ys: Column) -> Column:
 
 def thin_along(points: DataFrame, line: str, at: str, step: float) -> DataFrame:
     """Points at least `step` beyond the last one kept, along each line: a fold over the ordered places."""
-    every = points.groupBy(line).agg(F.sort_array(F.collect_list(at)).alias("a"))
-    kept = F.aggregate("a", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= step), F.concat(acc, F.array(x.cast("double")))).otherwise(acc))
-    return every.select(line, F.explode(kept).alias(at))
+
+    def keep(last: list, row: tuple):
+        if last and row[0] - last[0] < step:
+            return ()
+        last[:] = row
+        return (row,)
+
+    own = points.select(line, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull())
+    return ordered_fold(own, [line], [at], [at], f"`{line}` {own.schema[line].dataType.simpleString()}, `{at}` double", list, keep)
 
 
 def dbscan(points: DataFrame, eps: float, least: int, key: str = "point_id") -> DataFrame:
@@ -124,3 +132,19 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "point_id") ->
 
 def top_places(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def nearest_mean(segments: DataFrame, x: float, y: float, value: str, n: int = 10) -> DataFrame:
+    """One row, mean: of the n segments nearest to a place, the lesser value first where two are as near; 0 of none."""
+    near = segments.select(distance(F.col("x"), F.col("y"), F.lit(x), F.lit(y)).alias("d"), value).where(F.col("d").isNotNull()).orderBy("d", value).limit(n)
+    return near.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
+
+
+def name_clusters(members: DataFrame, junctions: DataFrame, radius: float) -> DataFrame:
+    """(cluster, name, n): clusters of members (cluster, key, name, x, y) named by the nearest of junctions (node, label, x, y)
+    within the radius of their middle, else by the member nearest to it; of equal ones the smallest node or key."""
+    middle = members.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    named = within(middle, junctions, radius, "cluster", "node").groupBy("cluster").agg(F.min(F.struct("d", "p_node", "p_label")).alias("b")).select("cluster", F.col("b.p_label").alias("label"))
+    of = middle.select("cluster", F.col("x").alias("mx"), F.col("y").alias("my"))
+    central = members.join(of, "cluster").groupBy("cluster").agg(F.min(F.struct(distance(F.col("x"), F.col("y"), F.col("mx"), F.col("my")).alias("d"), "key", "name")).alias("c"))
+    return middle.join(central, "cluster").join(named, "cluster", "left").select("cluster", F.coalesce("label", F.concat("c.name", F.lit(" area"))).alias("name"), "n")

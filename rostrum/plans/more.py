@@ -247,7 +247,7 @@ def a17_mix(s, d):  # A17, A21
 
 
 @query("points", "WITH b AS (SELECT kind, CASE WHEN x < 5000 THEN 'west' ELSE 'east' END AS side, sum(pop) AS pop FROM points GROUP BY 1, 2) SELECT kind, side, pop, pop / sum(pop) OVER (PARTITION BY kind) AS share FROM b")
-def g10_cluster_shares(s, d):  # G03, G10: shares of a whole
+def g10_cluster_shares(s, d):  # G03: shares of a whole
     b = load(s, d, "points").groupBy("kind", F.when(F.col("x") < 5000, "west").otherwise("east").alias("side")).agg(F.sum("pop").alias("pop"))
     return b.withColumn("share", F.col("pop") / F.sum("pop").over(Window.partitionBy("kind")))
 

@@ -106,3 +106,68 @@ def roster(agendas: DataFrame, text: str = "text", key: str = "meeting_id") -> D
     names = F.transform(F.split(part(3), ","), lambda c: F.trim(F.regexp_replace(c, r"\s+\d+[.)]\s.*$", "")))
     names = F.filter(names, lambda c: c.rlike(r"^[A-Z][A-Za-z.'’\-]*( [A-Z][A-Za-z.'’\-]*)+$") & (F.length(c) < 50))
     return agendas.select(key, part(1).alias("chair"), part(2).alias("vice_chair"), F.coalesce(names, F.array().cast("array<string>")).alias("commissioners"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of the first tag that has it, null without one."""
+    return F.nullif(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+
+
+def project_list(pages: DataFrame, base: str, html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, n, slug, name, detail_url, project_type, description) of the directory's articles that link to a project; the
+    icon in the title tells the city's own projects from private ones."""
+    listed = F.regexp_extract(html, r"(?is)list-item-container(.*)", 1)
+    items = pages.select(key, F.posexplode(F.regexp_extract_all(listed, F.lit(r"(?is)(<article\b.*?</article>)"), 1)).alias("n", "item"))
+    url = X.absolute_url(F.nullif(F.regexp_extract("item", r"""(?is)<a\b[^>]*href=["']([^"']*/Development/Projects/[^"']*)["']""", 1), F.lit("")), base)
+    title = F.regexp_extract("item", r"""(?is)<(\w+)[^>]*class=["'][^"']*list-item-title[^"']*["'][^>]*>(.*?)</\1>""", 2)
+    icon = F.lower(F.regexp_extract(title, r"(?is)(<img\b[^>]*>)", 1))
+    kind = F.when(F.contains(icon, F.lit("city-project")), "City Project").otherwise("Private Development")
+    about = F.nullif(strip_tags(F.regexp_extract("item", r"(?is)<p\b[^>]*>(.*?)</p>", 1)), F.lit(""))
+    slug = F.lower(F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1))
+    out = items.select(key, "n", slug.alias("slug"), strip_tags(title).alias("name"), url.alias("detail_url"), kind.alias("project_type"), about.alias("description"))
+    return out.where("detail_url is not null and name <> ''")
+
+
+def project_detail(pages: DataFrame, base: str, html: str = "html", key: str = "page_id") -> DataFrame:
+    """A row for each project page: facts of its list, and what stands under its headings; null for what it hasn't.
+
+    documents are the (label, url) of links under headings with "plan" or "document" in them; a place is read from the first
+    pair of decimal numbers under Location, and the address is what stands before it."""
+    page = F.col(html)
+    facts = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1), strip_tags)
+    fact = lambda name: F.nullif(F.trim(F.regexp_replace(F.element_at(F.filter(F.concat(F.array(F.lit(f"{name} ")), F.col("facts")), lambda x: x.startswith(f"{name} ")), -1), f"^{name} ", "")), F.lit(""))
+    pattern = r"(?is)<h[23]\b[^>]*>(.*?)</h[23]>(.*?)(?=<h[23]\b|</main>|\z)"
+    parts = F.arrays_zip(F.transform(F.regexp_extract_all(page, F.lit(pattern), 1), lambda h: F.lower(strip_tags(h))).alias("label"), F.regexp_extract_all(page, F.lit(pattern), 2).alias("body"))
+    own = pages.select(key, page.alias("_html"), facts.alias("facts"), parts.alias("parts"))
+
+    def body(label: str) -> Column:
+        return F.element_at(F.filter(F.concat(F.array(F.struct(F.lit("").alias("label"), F.lit(None).cast("string").alias("body"))), F.col("parts")), lambda p: (p["label"] == "") | (p["label"] == label)), -1)["body"]
+
+    text = lambda label: F.nullif(strip_tags(body(label)), F.lit(""))
+    links = F.flatten(F.transform(F.filter("parts", lambda p: p["label"].rlike("plan|document")), lambda p: F.regexp_extract_all(p["body"], F.lit(r"(?is)(<a\b[^>]*href=[^>]*>.*?</a>)"), 1)))
+    documents = F.transform(links, lambda a: F.struct(strip_tags(a).alias("label"), X.absolute_url(attribute(a, "href"), base).alias("url")))
+    timeline = F.filter(F.transform(F.regexp_extract_all(body("project"), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1), strip_tags), lambda t: t != "")
+    place = r"(-?\d+\.\d+)\s*,\s*(-?\d+\.\d+)"
+    number = lambda i: F.regexp_extract(text("location"), place, i).try_cast("double")
+    address = F.trim(F.regexp_replace(F.regexp_replace(text("location"), rf"\s*{place}.*$", ""), r"\s*View Map.*$", ""))
+    contact = text("contact details")
+    email = F.nullif(F.regexp_extract(contact, r"[\w.+-]+@[\w-]+\.gov", 0), F.lit(""))
+    phone = F.nullif(F.regexp_extract(contact, r"\(\d{3}\)\s*\d{3}-\d{4}", 0), F.lit(""))
+    planner = F.trim(F.replace(F.replace(contact, F.coalesce(email, F.lit(""))), F.coalesce(phone, F.lit(""))), F.lit(" ,"))
+    image = F.nullif(F.regexp_extract("_html", r"""(?is)<main\b.*?<img\b[^>]*src=["']([^"']*)["']""", 1), F.lit(""))
+    out = {"project_type": fact("Project type"), "division": fact("Project division"), "official_status": fact("Project schedule"), "official_timeline": timeline, "description": text("background"), "requests": F.coalesce(text("requests"), text("potential requests")), "documents": documents, "lat": number(1), "lng": number(2), "address": F.nullif(address, F.lit("")), "planner_email": email, "planner_phone": phone, "planner_name": F.nullif(planner, F.lit("")), "applicant": F.nullif(F.trim(F.replace(text("applicant"), F.lit("Applicant's Representative:"))), F.lit("")), "image_url": X.absolute_url(image, base)}
+    return own.select(key, *[c.alias(n) for n, c in out.items()])
+
+
+def paged_features(pages: DataFrame, attributes: str, page_size: int, text: str = "json", layer: str = "layer", offset: str = "offset") -> DataFrame:
+    """(layer, offset, n, attributes...) of landed pages of a layer's features, in page order up to the first short page
+    that doesn't say that there is more, or the first empty one; a page with an error fails the query."""
+    kind = f"error string, exceededTransferLimit boolean, features array<struct<attributes:struct<{attributes}>,properties:struct<{attributes}>>>"
+    own = pages.select(layer, offset, F.from_json(text, kind).alias("p"))
+    own = own.where(F.when(F.col("p.error").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("layer query failed: "), F.col("p.error"))).cast("boolean")))
+    n = F.coalesce(F.size("p.features"), F.lit(0))
+    last = (n <= 0) | ((n < page_size) & ~F.coalesce(F.col("p.exceededTransferLimit"), F.lit(False)))
+    before = Window.partitionBy(layer).orderBy(offset).rowsBetween(Window.unboundedPreceding, -1)
+    read = own.withColumn("_over", last).withColumn("_past", F.coalesce(F.max("_over").over(before), F.lit(False))).where("not _past")
+    rows = read.select(layer, offset, F.posexplode("p.features").alias("n", "f"))
+    return rows.select(layer, offset, "n", F.coalesce("f.attributes", "f.properties").alias("_a")).select(layer, offset, "n", "_a.*")

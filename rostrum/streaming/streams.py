@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.operators.folds import ordered_fold
+from rostrum.operators.relational import latest_by
+
 
 def timed(events: DataFrame) -> DataFrame:
     """Event time as a timestamp with zone, which watermarks need."""
@@ -29,21 +33,35 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 hour") ->
     return own.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
-def rate_limit(events: DataFrame, most: int, seconds: int, key: str = "user_id") -> DataFrame:
-    """events with allowed: at most `most` allowed calls of a key in the trailing window; denied calls don't count.
+def rate_limit(events: DataFrame, most: int, seconds: int, key: str | Sequence[str] = "user_id") -> DataFrame:
+    """(key, event_id, allowed): at most `most` allowed calls of a key in the trailing window; denied calls don't count.
+
+    A fold over each key's ordered calls whose state is the allowed times still in the window."""
+    span, keys = seconds * 1_000_000, [key] if isinstance(key, str) else list(key)
+    calls = events.select(*keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+
+    def step(live: deque, call: tuple):
+        t, event = call
+        while live and live[0] < t - span:
+            live.popleft()
+        allowed = len(live) < most
+        if allowed:
+            live.append(t)
+        return ((event, allowed),)
+
+    named = ", ".join(f"`{k}` {calls.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered_fold(calls, keys, ["t", "event_id"], ["t", "event_id"], f"{named}, event_id bigint, allowed boolean", deque, step)
 
-    A fold over each key's ordered calls that carries the allowed times still in the window."""
-    row = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("id"))
-    calls = events.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("calls"))
-    span = seconds * 1_000_000
 
-    def step(acc, c):
-        live = F.filter(acc["live"], lambda t: t >= c["t"] - span)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(c["t"]))).otherwise(live).alias("live"), F.concat(acc["out"], F.array(F.struct(c["id"].alias("event_id"), ok.alias("allowed")))).alias("out"))
+def daily_budget(events: DataFrame, most: int = 6, seconds: int = 60, per_day: int = 500, key: str = "user_id") -> DataFrame:
+    """(key, event_id, allowed): calls within the key's trailing window and within the day's budget of all keys.
 
-    start = F.struct(F.array().cast("array<bigint>").alias("live"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
-    return calls.select(key, F.inline(F.aggregate("calls", start, step, lambda a: a["out"])))
+    Windows and budget start anew at midnight, so a key's days are folded apart. Until the budget is spent each call that
+    the window allows takes of it, and nothing is allowed after: the day's first `per_day` of them are the allowed ones."""
+    own = events.withColumn("day", F.to_date("ts"))
+    free = rate_limit(own, most, seconds, [key, "day"]).where("allowed").select("event_id")
+    ranked = latest_by(own.join(free, "event_id", "left_semi"), ["day"], [F.col("ts"), F.col("event_id")], per_day)
+    return own.join(ranked.select("event_id", F.lit(True).alias("allowed")), "event_id", "left").select(key, "event_id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
 def rate_limit_stream(events: DataFrame, most: int, seconds: int, key: str = "user_id") -> DataFrame:
