@@ -1,9 +1,11 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions on the data's path.
 
-A paragraph is a line. Lines with a word that licences are made of, or that any confirmed line must have (the gate), are split into word n-grams; a multinomial
-logistic regression over n-grams, trained here from the labelled lines below, gives each family a probability. Its
-temperature is fitted on leave-one-out predictions, and a line whose best probability is below `confident` is of unknown
-licence, as is one whose n-grams don't match a template of the predicted family well enough."""
+A paragraph is a line with the lines that it is wrapped over, and is scored sentence by sentence. Sentences with a word that
+licences are made of, or that any confirmed one must have (the gate), are split into word n-grams; a multinomial logistic
+regression over n-grams, trained here from the labelled lines below, gives each family a probability by the n-grams that it
+knows, so that prose around a licence doesn't dilute it. Its temperature is fitted on predictions for folds left out, and a
+sentence whose best probability is below `confident` is of unknown licence, as is one that no template of the predicted
+family confirms: by as many n-grams shared (Dice), or by nearly the whole template within a longer sentence."""
 
 from __future__ import annotations
 
@@ -19,16 +21,16 @@ from rostrum.llm.common import join_by_hot_key, let, stage_table
 #: Labelled lines by family; "other" are lines about licences of no family here, "none" are not licences at all.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
-        "Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT License.", "SPDX-License-Identifier: MIT", "MIT License", "The MIT License (MIT)", "Distributed under the MIT licence, see the file LICENSE.",
+        "Licensed under the MIT license.", "This project is licensed under the terms of the MIT License.", "SPDX-License-Identifier: MIT", "MIT License", "The MIT License (MIT)", "Distributed under the MIT licence, see the file LICENSE.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004", "This work is available under the Apache 2.0 license.",
+        "Released under the Apache License 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004", "This work is available under the Apache 2.0 license.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
     ],
     "GPL": [
-        "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.", "Released under the GNU GPL version 3 or later.", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Licensed under the GNU General Public License, version 2.", "Released under the GNU GPL version 3 or later.", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "LGPL": [
@@ -44,16 +46,16 @@ TEMPLATES: dict[str, list[str]] = {
     "MPL": ["Licensed under the Mozilla Public License, Version 2.0.", "Released under the MPL 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under the Creative Commons Attribution License, version 3.0.", "SPDX-License-Identifier: CC-BY-4.0", "Content is available under CC BY 3.0."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike License.", "Content is available under CC BY-SA 3.0."],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Released under the Creative Commons Attribution-NonCommercial License.", "Content is available under CC BY-NC 2.0."],
+    "CC-BY-NC": ["Licensed under CC BY-NC 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Released under the Creative Commons Attribution-NonCommercial License.", "Content is available under CC BY-NC 2.0."],
     "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0 Universal).", "SPDX-License-Identifier: CC0-1.0", "This work is dedicated to the public domain under CC0.", "This is free and unencumbered software released into the public domain."],
     "other": [
-        "Licensed under the Acme Commercial License.", "All rights reserved.", "Copyright 2020 Example Corporation. All rights reserved.", "See the LICENSE file for details.", "Use is subject to license terms.", "This software is proprietary and may not be copied without permission.", "Licensed under the terms of the vendor agreement, version 5.", "SPDX-License-Identifier: LicenseRef-Proprietary", "Released under the house license.", "Copyright notice", "Your license key is invalid.",
+        "Licensed under the Acme Commercial License.", "Copyright 2020 Example Corporation. All rights reserved.", "See the LICENSE file for details.", "Use is subject to license terms.", "This software is proprietary and may not be copied without permission.", "Licensed under the terms of the vendor agreement, version 5.", "SPDX-License-Identifier: LicenseRef-Proprietary", "Released under the house license.", "Copyright notice", "Your license key is invalid.",
     ],
     "none": [
-        "She renewed her driving license at the office.", "The license fee for the hall rose again.", "He asked for permission to leave early.", "The pub lost its licence last year.", "Poetic license allows such rhymes.", "A warranty covers the washing machine for two years.", "The apache helicopter landed at noon.", "MIT researchers found a new method.", "The public domain of the town is wide.", "Permission slips are due on Friday.", "The gnu grazed by the river.",
+        "She renewed her driving license at the office.", "The license fee for the hall rose again.", "He asked for permission to leave early.", "The pub lost its licence last year.", "Poetic license allows such rhymes.", "A warranty covers the washing machine for two years.", "The apache helicopter landed at noon.", "MIT researchers found a new method.", "The public domain of the town is wide.", "Permission slips are due on Friday.", "The gnu grazed by the river.", "Mit.", "Mit und.", "Er kam mit dem Zug.", "Sie ging mit ihm nach Hause.", "The software was released in June.", "The band released a record under a new name.", "This work was distributed among the members.", "A version of the song is available.",
     ],
 }
-#: Words licences are made of: a line without any of these has a row only if it is confirmed.
+#: Words licences are made of: a sentence without any of these has a row only if it is confirmed.
 GATE = r"licen[sc]|lizenz|copyright|permission|warrant|redistribut|\bgnu\b|\ba?l?gpl|\bmpl|\bcc0|\bcc[ -]by|creative commons|public domain|spdx|rights reserved"
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
@@ -116,55 +118,64 @@ def trained() -> tuple[list[str], list[str], np.ndarray, float]:
     return classes, names, logistic(x, y), float(temperature)
 
 
-def gate(overlap: float) -> str:
-    """A pattern that every line matches which shares `overlap` of its n-grams (Dice) with a template of a family: without
-    the words of the pattern, no template has enough n-grams left to share. GATE is part of it."""
-    if overlap <= 0:
+def gate(share: float) -> str:
+    """A pattern that every lower-case sentence matches which has `share` of the n-grams of a template of a family: without
+    the words of the pattern, no template has enough n-grams left. GATE is part of it."""
+    if share <= 0:
         return ""
     words: set[str] = set()
     plain = {w for x in TEMPLATES["none"] for w in grams_of(x)}
     for x in (x for k, v in TEMPLATES.items() if k not in ("other", "none") for x in v):
         own = grams_of(x)
         for w in sorted((g for g in own if " " not in g and g != "#"), key=lambda w: (w in plain, -len(w), w)):
-            if sum(words.isdisjoint(g.split()) for g in own) < len(own) * overlap / (2 - overlap):
+            if sum(words.isdisjoint(g.split()) for g in own) < len(own) * share:
                 break
             words.add(w)
     return f"{GATE}|(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(words)))})(?![a-z0-9])"
 
 
-def scan(docs: DataFrame, confident: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """(doc_id, line_no, line, family, probability, similarity, confirmed): a row for each line of a document that is
-    confirmed, or has a word of GATE and isn't of class "none". family is "unknown" where the classifier isn't confident, says "other", or no template
-    of its family shares `overlap` of its n-grams (Dice) with the line.
+def sentences(docs: DataFrame, could: str) -> DataFrame:
+    """(doc_id, line_no, sentence_no, line): the sentences of paragraphs that match `could`. A line belongs to the paragraph
+    of the line before it if that doesn't end a sentence and it doesn't start with a capital letter."""
+    whole = F.regexp_replace("text", r"(?<![.!?:;\s])[ \t]*\r?\n[ \t]*(?=[\p{Ll}(\"])", " ")
+    paragraphs = docs.select("doc_id", F.posexplode(F.split(whole, "\n")).alias("line_no", "line")).where(F.lower("line").rlike(could))
+    return paragraphs.select("doc_id", "line_no", F.posexplode(F.split("line", r"(?<=[.!?])[ \t]+(?=[\p{Lu}(\"])")).alias("sentence_no", "line"))
+
+
+def scan(docs: DataFrame, confident: float = 0.5, overlap: float = 0.5, contained: float = 0.75) -> DataFrame:
+    """(doc_id, line_no, sentence_no, line, family, probability, similarity, containment, confirmed): a row for each sentence
+    of a document that is confirmed, or has a word of GATE and isn't of class "none". family is "unknown" where the classifier
+    isn't confident, says "other", or no template of its family shares `overlap` of its n-grams (Dice) with the sentence or has
+    `contained` of its own n-grams in it. line_no counts paragraphs, which wrapped lines join.
 
     Null and empty texts have no rows, nor has an empty table; repeated rows and lines are reported each time; columns
     other than doc_id and text play no part."""
     spark = docs.sparkSession
     classes, names, weights, temperature = trained()
-    could = gate(overlap)
+    could, holds = gate(min(contained, overlap / (2 - overlap))), gate(contained)
     forms_grams = sorted({g for k, v in TEMPLATES.items() if k not in ("other", "none") for x in v for g in grams_of(x)})
-    # of a confirmed line at least this share of the n-grams is in one template, so in all of them together
-    enough = let(grams(F.col("line")), lambda g: F.size(F.array_intersect(g, F.array(*map(F.lit, forms_grams)))) >= overlap / 2 * F.size(g))
-    lines = docs.where(F.lower("text").rlike(could)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.lower("line").rlike(GATE) | (F.lower("line").rlike(could) & enough))
+    # what Dice confirms has at least this share of its n-grams in one template, so in all of them together
+    enough = let(grams(F.col("line")), lambda g: F.size(F.filter(g, lambda x: x.isin(forms_grams))) >= overlap / 2 * F.size(g))
+    lines = sentences(docs, could).where(F.lower("line").rlike(holds) | (F.lower("line").rlike(could) & enough))
     lines = stage_table(lines, "lines")
     distinct = stage_table(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    parts = stage_table(distinct.select("line", "n", grams(F.col("line")).alias("grams")), "grams").where(F.size("grams") > 0)
+    parts = stage_table(distinct.select("line", grams(F.col("line")).alias("grams")), "grams").where(F.size("grams") > 0)
     model = spark.createDataFrame([(g, [float(x) for x in weights[i]]) for i, g in enumerate(names)], "gram string, w array<double>")
     bias = [float(x) for x in weights[-1]]
     found = parts.select("line", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(F.broadcast(model), "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(classes))]
-    z = [(F.col(f"w{i}") / F.sqrt("size") + bias[i]) / temperature for i in range(len(classes))]
-    scores = found.groupBy("line", "size").agg(*sums).select("line", "size", F.array(*z).alias("z"))
+    z = [(F.col(f"w{i}") / F.sqrt("known") + bias[i]) / temperature for i in range(len(classes))]
+    scores = found.groupBy("line", "size").agg(F.count(F.lit(1)).alias("known"), *sums).select("line", "size", F.array(*z).alias("z"))
     scores = scores.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z")))).withColumn("probability", F.try_divide(F.lit(1.0), F.aggregate("e", F.lit(0.0), lambda a, x: a + x)))
     best = scores.select("line", "size", "probability", F.array(*map(F.lit, classes))[F.array_position("z", F.array_max("z")).cast("int") - 1].alias("predicted"))
     kept = [(k, f"{k}/{i}", grams_of(x)) for k, v in TEMPLATES.items() if k not in ("other", "none") for i, x in enumerate(v)]
     forms = spark.createDataFrame([(k, form, len(gs), g) for k, form, gs in kept for g in gs], "predicted string, form string, form_size int, gram string")
     told = best.where(~F.col("predicted").isin("other", "none"))
     shared = parts.select("line", F.explode("grams").alias("gram")).join(told.select("line", "size", "predicted"), "line").join(F.broadcast(forms), ["predicted", "gram"])
-    near = shared.groupBy("line", "form", "size", "form_size").agg(F.count(F.lit(1)).alias("same")).groupBy("line").agg(F.max(2 * F.col("same") / (F.col("size") + F.col("form_size"))).alias("similarity"))
-    judged = best.where("predicted <> 'none'").join(near, "line", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    sure = (F.col("predicted") != "other") & (F.col("probability") >= confident) & (F.col("similarity") >= overlap)
-    judged = judged.select("line", F.when(sure, F.col("predicted")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed")).where(F.col("confirmed") | F.lower("line").rlike(GATE))
+    near = shared.groupBy("line", "form", "size", "form_size").agg(F.count(F.lit(1)).alias("same")).groupBy("line").agg(F.max(2 * F.col("same") / (F.col("size") + F.col("form_size"))).alias("similarity"), F.max(F.col("same") / F.col("form_size")).alias("containment"))
+    judged = best.where("predicted <> 'none'").join(near, "line", "left").fillna(0.0, ["similarity", "containment"])
+    sure = (F.col("predicted") != "other") & (F.col("probability") >= confident) & ((F.col("similarity") >= overlap) | (F.col("containment") >= contained))
+    judged = judged.select("line", F.when(sure, F.col("predicted")).otherwise("unknown").alias("family"), "probability", "similarity", "containment", sure.alias("confirmed")).where(F.col("confirmed") | F.lower("line").rlike(GATE))
     verdicts = stage_table(judged.join(distinct, "line"), "verdicts")
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return join_by_hot_key(lines, verdicts, "line", "n", total)
