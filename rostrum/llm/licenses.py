@@ -4,8 +4,8 @@ A paragraph is a line with the lines that it is wrapped over, and is scored sent
 licences are made of, or that any confirmed one must have (the gate), are split into word n-grams; a multinomial logistic
 regression over n-grams, trained here from the labelled lines below, gives each family a probability by the n-grams that it
 knows, so that prose around a licence doesn't dilute it. Its temperature is fitted on predictions for folds left out, and a
-sentence whose best probability is below `confident` is of unknown licence, as is one that no template of the predicted
-family confirms: by as many n-grams shared (Dice), or by nearly the whole template within a longer sentence."""
+sentence whose best probability is below `confident` is of unknown licence, as is one that holds too few of the n-grams of
+every template of the predicted family."""
 
 from __future__ import annotations
 
@@ -55,8 +55,9 @@ TEMPLATES: dict[str, list[str]] = {
         "She renewed her driving license at the office.", "The license fee for the hall rose again.", "He asked for permission to leave early.", "The pub lost its licence last year.", "Poetic license allows such rhymes.", "A warranty covers the washing machine for two years.", "The apache helicopter landed at noon.", "MIT researchers found a new method.", "The public domain of the town is wide.", "Permission slips are due on Friday.", "The gnu grazed by the river.", "Mit.", "Mit und.", "Er kam mit dem Zug.", "Sie ging mit ihm nach Hause.", "The software was released in June.", "The band released a record under a new name.", "This work was distributed among the members.", "A version of the song is available.",
     ],
 }
-#: Words licences are made of: a sentence without any of these has a row only if it is confirmed.
-GATE = r"licen[sc]|lizenz|copyright|permission|warrant|redistribut|\bgnu\b|\ba?l?gpl|\bmpl|\bcc0|\bcc[ -]by|creative commons|public domain|spdx|rights reserved"
+#: What licences are made of: a sentence without any of these has a row only if it is confirmed.
+GATE = ("licens", "licenc", "lizenz", "copyright", "permission", "warrant", "redistribut", "creative commons", "public domain", "spdx", "rights reserved")
+GATE_STARTS = r"(?<!\w)(?:gnu\b|[al]?gpl|mpl|cc0|cc[ -]by)"
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 
 
@@ -118,64 +119,80 @@ def trained() -> tuple[list[str], list[str], np.ndarray, float]:
     return classes, names, logistic(x, y), float(temperature)
 
 
-def gate(share: float) -> str:
-    """A pattern that every lower-case sentence matches which has `share` of the n-grams of a template of a family: without
-    the words of the pattern, no template has enough n-grams left. GATE is part of it."""
-    if share <= 0:
-        return ""
+def in_gate(line: Column) -> Column:
+    """Whether a text holds a word of the gate, case apart. A filter would lower it for each word, so it is bound first."""
+    return let(F.lower(line), lambda low: functools.reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in GATE]) | low.rlike(GATE_STARTS))
+
+
+def needed(share: float) -> set[str]:
+    """Words of which a sentence has one if it has `share` of the n-grams of a template of a family: without them, no template
+    has enough n-grams left."""
     words: set[str] = set()
     plain = {w for x in TEMPLATES["none"] for w in grams_of(x)}
     for x in (x for k, v in TEMPLATES.items() if k not in ("other", "none") for x in v):
         own = grams_of(x)
-        for w in sorted((g for g in own if " " not in g and g != "#"), key=lambda w: (w in plain, -len(w), w)):
+        for w in sorted((g for g in own if " " not in g and g != "#"), key=lambda w: (not any(x in w for x in GATE), w in plain, -len(w), w)):
             if sum(words.isdisjoint(g.split()) for g in own) < len(own) * share:
                 break
             words.add(w)
-    return f"{GATE}|(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(words)))})(?![a-z0-9])"
+    return words
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern of the words in which those with a common start share it, so that few ways are tried at each place."""
+    ways = []
+    for first in sorted({w[0] for w in words if w}):
+        rest = {w[1:] for w in words if w[:1] == first}
+        ways.append(re.escape(first) + (any_of(rest) if rest != {""} else ""))
+    return f"(?:{'|'.join(ways)}){'?' if '' in words else ''}"
+
+
+def may(line: Column, share: float) -> Column:
+    """Whether a text is in the gate or has a word that `share` of a template needs; any is when none is needed."""
+    if share <= 0:
+        return F.lit(True)
+    return in_gate(line) | F.lower(line).rlike(f"(?<![a-z0-9]){any_of(needed(share))}(?![a-z0-9])")
 
 
-def sentences(docs: DataFrame, could: str) -> DataFrame:
-    """(doc_id, line_no, sentence_no, line): the sentences of paragraphs that match `could`. A line belongs to the paragraph
+def sentences(docs: DataFrame, share: float) -> DataFrame:
+    """(doc_id, line_no, sentence_no, line): the sentences of paragraphs that may have `share` of a template. A line belongs to the paragraph
     of the line before it if that doesn't end a sentence and it doesn't start with a capital letter."""
     whole = F.regexp_replace("text", r"(?<![.!?:;\s])[ \t]*\r?\n[ \t]*(?=[\p{Ll}(\"])", " ")
-    paragraphs = docs.select("doc_id", F.posexplode(F.split(whole, "\n")).alias("line_no", "line")).where(F.lower("line").rlike(could))
+    paragraphs = docs.select("doc_id", F.posexplode(F.split(whole, "\n")).alias("line_no", "line")).where(may(F.col("line"), share))
     return paragraphs.select("doc_id", "line_no", F.posexplode(F.split("line", r"(?<=[.!?])[ \t]+(?=[\p{Lu}(\"])")).alias("sentence_no", "line"))
 
 
-def scan(docs: DataFrame, confident: float = 0.5, overlap: float = 0.5, contained: float = 0.75) -> DataFrame:
-    """(doc_id, line_no, sentence_no, line, family, probability, similarity, containment, confirmed): a row for each sentence
-    of a document that is confirmed, or has a word of GATE and isn't of class "none". family is "unknown" where the classifier
-    isn't confident, says "other", or no template of its family shares `overlap` of its n-grams (Dice) with the sentence or has
-    `contained` of its own n-grams in it. line_no counts paragraphs, which wrapped lines join.
+def scan(docs: DataFrame, confident: float = 0.5, overlap: float = 0.5) -> DataFrame:
+    """(doc_id, line_no, sentence_no, line, family, probability, similarity, confirmed): a row for each sentence of a document
+    that is confirmed, or has a word of GATE and isn't of class "none". family is "unknown" where the classifier isn't
+    confident, says "other", or the sentence holds less than `overlap` of the n-grams of each template of its family;
+    similarity is the most it holds. line_no counts paragraphs, which wrapped lines join.
 
     Null and empty texts have no rows, nor has an empty table; repeated rows and lines are reported each time; columns
     other than doc_id and text play no part."""
     spark = docs.sparkSession
     classes, names, weights, temperature = trained()
-    could, holds = gate(min(contained, overlap / (2 - overlap))), gate(contained)
-    forms_grams = sorted({g for k, v in TEMPLATES.items() if k not in ("other", "none") for x in v for g in grams_of(x)})
-    # what Dice confirms has at least this share of its n-grams in one template, so in all of them together
-    enough = let(grams(F.col("line")), lambda g: F.size(F.filter(g, lambda x: x.isin(forms_grams))) >= overlap / 2 * F.size(g))
-    lines = sentences(docs, could).where(F.lower("line").rlike(holds) | (F.lower("line").rlike(could) & enough))
+    line = F.col("line")
+    lines = sentences(docs, overlap).where(may(line, overlap))
     lines = stage_table(lines, "lines")
     distinct = stage_table(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "distinct")
     parts = stage_table(distinct.select("line", grams(F.col("line")).alias("grams")), "grams").where(F.size("grams") > 0)
     model = spark.createDataFrame([(g, [float(x) for x in weights[i]]) for i, g in enumerate(names)], "gram string, w array<double>")
     bias = [float(x) for x in weights[-1]]
-    found = parts.select("line", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(F.broadcast(model), "gram")
+    found = parts.select("line", F.explode("grams").alias("gram")).join(F.broadcast(model), "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(classes))]
     z = [(F.col(f"w{i}") / F.sqrt("known") + bias[i]) / temperature for i in range(len(classes))]
-    scores = found.groupBy("line", "size").agg(F.count(F.lit(1)).alias("known"), *sums).select("line", "size", F.array(*z).alias("z"))
+    scores = found.groupBy("line").agg(F.count(F.lit(1)).alias("known"), *sums).select("line", F.array(*z).alias("z"))
     scores = scores.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z")))).withColumn("probability", F.try_divide(F.lit(1.0), F.aggregate("e", F.lit(0.0), lambda a, x: a + x)))
-    best = scores.select("line", "size", "probability", F.array(*map(F.lit, classes))[F.array_position("z", F.array_max("z")).cast("int") - 1].alias("predicted"))
+    best = scores.select("line", "probability", F.array(*map(F.lit, classes))[F.array_position("z", F.array_max("z")).cast("int") - 1].alias("predicted"))
     kept = [(k, f"{k}/{i}", grams_of(x)) for k, v in TEMPLATES.items() if k not in ("other", "none") for i, x in enumerate(v)]
     forms = spark.createDataFrame([(k, form, len(gs), g) for k, form, gs in kept for g in gs], "predicted string, form string, form_size int, gram string")
     told = best.where(~F.col("predicted").isin("other", "none"))
-    shared = parts.select("line", F.explode("grams").alias("gram")).join(told.select("line", "size", "predicted"), "line").join(F.broadcast(forms), ["predicted", "gram"])
-    near = shared.groupBy("line", "form", "size", "form_size").agg(F.count(F.lit(1)).alias("same")).groupBy("line").agg(F.max(2 * F.col("same") / (F.col("size") + F.col("form_size"))).alias("similarity"), F.max(F.col("same") / F.col("form_size")).alias("containment"))
-    judged = best.where("predicted <> 'none'").join(near, "line", "left").fillna(0.0, ["similarity", "containment"])
-    sure = (F.col("predicted") != "other") & (F.col("probability") >= confident) & ((F.col("similarity") >= overlap) | (F.col("containment") >= contained))
-    judged = judged.select("line", F.when(sure, F.col("predicted")).otherwise("unknown").alias("family"), "probability", "similarity", "containment", sure.alias("confirmed")).where(F.col("confirmed") | F.lower("line").rlike(GATE))
+    shared = parts.select("line", F.explode("grams").alias("gram")).join(told.select("line", "predicted"), "line").join(F.broadcast(forms), ["predicted", "gram"])
+    near = shared.groupBy("line", "form", "form_size").agg(F.count(F.lit(1)).alias("same")).groupBy("line").agg(F.max(F.col("same") / F.col("form_size")).alias("similarity"))
+    judged = best.where("predicted <> 'none'").join(near, "line", "left").fillna(0.0, ["similarity"])
+    sure = (F.col("predicted") != "other") & (F.col("probability") >= confident) & (F.col("similarity") >= overlap)
+    judged = judged.select("line", F.when(sure, F.col("predicted")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed")).where(F.col("confirmed") | in_gate(line))
     verdicts = stage_table(judged.join(distinct, "line"), "verdicts")
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return join_by_hot_key(lines, verdicts, "line", "n", total)
