@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: The columns of documents that the operators read.
+READ = {"doc_id", "text", "lang", "source", "n_chars"}
+
 _staged: list[tuple[SparkSession, str] | None] = []
 _own_dir: list[str] = []
 
@@ -68,13 +71,14 @@ atexit.register(drop_staged)
 
 def own_names(body):
     """body(docs, ...) with docs' columns under names that can't meet those that body makes up: all but the ones it reads
-    or is told of are called user_0, user_1, ... inside, and have their names again in what it returns. A column that body
-    adds takes the place of one of the same name."""
+    or is told of, by position or by keyword, are called user_0, user_1, ... inside, and have their names again in what it
+    returns. Names are told apart as Spark does, whatever their case. A column that body adds takes the place of one of the
+    same name."""
 
     @functools.wraps(body)
     def run(docs: DataFrame, *args, **options) -> DataFrame:
-        plain = {"doc_id", "text", "lang", "source", "n_chars"} | {x for x in options.values() if isinstance(x, str)}
-        inside = [c if c in plain else f"user_{i}" for i, c in enumerate(docs.columns)]
+        told = {x.lower() for x in (*args, *options.values()) if isinstance(x, str)}
+        inside = [c.lower() if c.lower() in READ else c if c.lower() in told else f"user_{i}" for i, c in enumerate(docs.columns)]
         out = body(docs.toDF(*inside), *args, **options)
         names = dict(zip(inside, docs.columns, strict=True))
         added = {c.lower() for c in out.columns if c not in names}
