@@ -1,4 +1,4 @@
-"""Composite operators: seeding people, page rendering, corridors, module order, consistency notes."""
+"""Composite operators: seeding people, page rendering, module order, consistency notes."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DateType, MapType, StructType, TimestampNTZType, TimestampType
 
 from rostrum.functions import text as X
-from rostrum.operators import graph as G
 
 
 def seeded_people(rosters: DataFrame) -> DataFrame:
@@ -37,21 +36,6 @@ def markers(pages: DataFrame, metrics: DataFrame) -> DataFrame:
     return found.join(metrics.select("key", "value"), "key", "left").select("path", "key", "value")
 
 
-def corridor(edges: DataFrame, street: str, origin: int, target: int, penalty: float = 5.0, most_off: float = 0.5) -> DataFrame:
-    """(place, node, minutes): the way from origin to target along the street, other streets costing `penalty` times; empty
-    when over `most_off` of it is off the street."""
-    named = F.coalesce(X.street_key(F.col("street")) == F.lit(street), F.lit(False))
-    priced = edges.select("u", "v", F.when(named, F.col("minutes")).otherwise(penalty * F.col("minutes")).alias("minutes"), named.alias("on"))
-    spark = edges.sparkSession
-    costs = priced.select("u", "v", "minutes")
-    goal = spark.createDataFrame([(target, 1.0)], "node long, weight double")
-    steps = G.edge_flows(costs, origin, goal, 1.0, 0.0).select("u", "v")  # one trip to one place takes the way's edges
-    own = steps.join(priced, ["u", "v"]).groupBy("u", "v").agg(F.min_by(F.struct("on", "minutes"), "minutes").alias("e"))
-    off = own.agg(F.coalesce(F.avg(F.when(F.col("e.on"), 0.0).otherwise(1.0)), F.lit(1.0))).first()[0]
-    far = G.shortest(costs, spark.createDataFrame([(origin,)], "source long")).select(F.col("node").alias("v"), F.col("minutes").alias("place"))
-    return own.join(far, "v").select("place", F.col("v").alias("node"), F.col("e.minutes").alias("minutes")).where(F.lit(bool(off <= most_off)))
-
-
 def consistency(results: DataFrame) -> DataFrame:
     """results (site, walk_dollars, walk_trips, uplift) with notes: dollars for a walk trip outside 0.25 to 30, uplift over a half."""
     each = F.try_divide(F.col("walk_dollars"), F.col("walk_trips"))

@@ -48,35 +48,72 @@ def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFra
         best = merged.drop("better")
         front = merged.where("better").drop("better")
         if front.limit(1).count() == 0:
-            return best
+            return settled(best, edges)
     raise RuntimeError("shortest: too many rounds")
 
 
+def settled(best: DataFrame, edges: DataFrame) -> DataFrame:
+    """best with the smallest node as previous of those from which a step that takes time ends a shortest way: rounds settle
+    equal ways by which came first. What only steps of no time reach keeps the previous that it has."""
+    at = best.select("source", F.col("node").alias("u"), F.col("minutes").alias("_at"))
+    last = at.join(edges.where("minutes > 0").select("u", "v", F.col("minutes").alias("_step")), "u").groupBy("source", F.col("v").alias("node"), (F.col("_at") + F.col("_step")).alias("minutes")).agg(F.min("u").alias("_first"))
+    out = best.join(last, ["source", "node", "minutes"], "left")
+    return out.select("source", "node", "minutes", F.when(F.col("previous").isNotNull(), F.coalesce("_first", "previous")).alias("previous"))
+
+
 def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, source, minutes): the source from which each node is reached soonest, the smallest of equal ones."""
     found = shortest(edges, sources)
     return found.groupBy("node").agg(F.min(F.struct("minutes", "source")).alias("b")).select("node", "b.source", "b.minutes")
 
 
+def gathered(ways: DataFrame, loads: DataFrame, rounds: int = 40) -> DataFrame:
+    """(source, u, v, amount): what loads (source, node, amount) put on each step (u, v) of the ways (source, node, previous).
+
+    A node's amount is its own and that of all whose way passes it. Each round a node passes what it has gathered to the node
+    that its way passed 1, 2, 4, ... steps before, so long ways take as many rounds as the logarithm of their steps."""
+    own = loads.groupBy("source", "node").agg(F.sum("amount").alias("amount"))
+    state = ways.select("source", "node", "previous").join(own, ["source", "node"], "left")
+    state = cut_lineage(state.select("source", "node", "previous", F.col("previous").alias("jump"), F.coalesce("amount", F.lit(0.0)).alias("amount")))
+    for _ in range(rounds):
+        going = state.where("jump is not null")
+        if going.limit(1).count() == 0:
+            return state.where("previous is not null and amount > 0").select("source", F.col("previous").alias("u"), F.col("node").alias("v"), "amount")
+        passed = going.where("amount > 0").groupBy("source", F.col("jump").alias("node")).agg(F.sum("amount").alias("_more"))
+        further = state.select("source", F.col("node").alias("jump"), F.col("jump").alias("_next"))
+        step = state.join(passed, ["source", "node"], "left").join(further, ["source", "jump"], "left")
+        state = cut_lineage(step.select("source", "node", "previous", F.col("_next").alias("jump"), (F.col("amount") + F.coalesce("_more", F.lit(0.0))).alias("amount")))
+    raise RuntimeError("gathered: too many rounds")
+
+
 def edge_flows(edges: DataFrame, origin: int, weights: DataFrame, trips: float, beta: float) -> DataFrame:
     """(u, v, flow): trips from origin spread over nodes by weight * exp(-beta * minutes), each along its shortest way.
 
-    The origin and nodes out of reach draw no trips. Flows gather from the farthest nodes back, one step a round."""
-    spark = edges.sparkSession
-    ways = shortest(edges, spark.createDataFrame([(origin,)], "source long"))
+    The origin, nodes out of reach and nodes without weight draw no trips."""
+    ways = shortest(edges, edges.sparkSession.createDataFrame([(origin,)], "source long"))
     pull = F.col("weight") * F.exp(-beta * F.col("minutes"))
-    shares = ways.join(weights, "node").where(F.col("node") != origin).withColumn("pull", pull)
-    total = shares.agg(F.sum("pull")).first()[0] or 0.0
-    at = cut_lineage(shares.select("node", (F.lit(trips) * F.col("pull") / total if total else F.lit(0.0)).alias("flow")))
-    before = ways.select("node", "previous")
-    out = None
-    while at.limit(1).count():
-        step = cut_lineage(at.join(before, "node").where("previous is not null").select(F.col("previous").alias("u"), F.col("node").alias("v"), "flow"))
-        out = step if out is None else out.unionByName(step)
-        at = step.groupBy(F.col("u").alias("node")).agg(F.sum("flow").alias("flow")).where(F.col("node") != origin)
-    if out is None:
-        return spark.createDataFrame([], "u long, v long, flow double")
-    return out.groupBy("u", "v").agg(F.sum("flow").alias("flow"))
+    shares = ways.join(weights.where("weight > 0"), "node").where(F.col("node") != origin).withColumn("pull", pull)
+    total = shares.agg(F.sum("pull")).first()[0] or 1.0
+    loads = shares.select("source", "node", (F.lit(float(trips)) * F.col("pull") / total).alias("amount"))
+    return gathered(ways, loads).select("u", "v", F.col("amount").alias("flow"))
+
+
+def sampled_baseline(edges: DataFrame, origins: DataFrame, destinations: DataFrame, n: int = 2000, seed: int = 20260718) -> DataFrame:
+    """(u, v, count): on how many of n seeded trips' shortest ways each edge lies. origins and destinations (node, weight) are
+    drawn from apart; a trip to where it starts, or out of reach, uses no edge. Nodes that no trip starts from aren't searched
+    from; the trips of one origin are carried back together, its ways once."""
+    trips = sampled_pairs(origins, n, seed, destinations)
+    loads = trips.groupBy(F.col("from").alias("source"), F.col("to").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("amount"))
+    loads = cut_lineage(loads)
+    ways = shortest(edges, loads.select("source").distinct())
+    return gathered(ways, loads).groupBy("u", "v").agg(F.sum("amount").cast("long").alias("count"))
+
+
+def edge_changes(flows: DataFrame, baseline: DataFrame, scale: float, least: int = 5) -> DataFrame:
+    """flows (u, v, flow) with change, the flow in per cent of the baseline's trips; null where fewer than `least` sampled trips
+    use the edge. scale: trips a day for one sampled trip."""
+    out = flows.join(baseline.select("u", "v", "count"), ["u", "v"], "left")
+    return out.select("u", "v", "flow", F.when(F.col("count") >= least, 100 * F.col("flow") / (F.col("count") * F.lit(float(scale)))).alias("change"))
 
 
 def crossings(edges: DataFrame, least: int = 2) -> DataFrame:
@@ -86,25 +123,44 @@ def crossings(edges: DataFrame, least: int = 2) -> DataFrame:
     return names.where(F.size("names") >= least).select("node", F.array_join(F.slice("names", 1, 2), " & ").alias("label"))
 
 
-def sampled_pairs(weights: DataFrame, n: int, seed: int = 20260718) -> DataFrame:
-    """n origin-destination pairs drawn by weight. Nodes are dealt to buckets by a hash; a draw finds its bucket among the
-    buckets' running totals and its node among those of the bucket, so draws and nodes are never crossed."""
-    buckets = 1024
-    own = weights.where("weight > 0").select("node", "weight", F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int").alias("bucket"))
-    upto = Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    spans = own.withColumn("end", F.sum("weight").over(upto)).withColumn("start", F.col("end") - F.col("weight"))
-    totals = [0.0] * buckets
-    for bucket, total in own.groupBy("bucket").agg(F.sum("weight")).collect():
-        totals[bucket] = float(total)
-    starts = [0.0, *accumulate(totals)]
-    if not starts[-1]:
-        return own.select(F.lit(None).cast("long").alias("draw"), F.col("node").alias("from"), F.col("node").alias("to")).limit(0)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "side", "draw"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    edges = F.array(*map(F.lit, starts[1:-1]))
-    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), F.explode(F.array(F.lit("from"), F.lit("to"))).alias("side")).withColumn("u", u * starts[-1])
-    draws = draws.withColumn("bucket", F.size(F.filter(edges, lambda e: e <= F.col("u")))).withColumn("u", F.col("u") - F.element_at(F.array(*map(F.lit, starts[:-1])), F.col("bucket") + 1))
-    met = draws.join(spans, (draws["bucket"] == spans["bucket"]) & (F.col("u") >= F.col("start")) & (F.col("u") < F.col("end")))
-    return met.groupBy("draw").pivot("side", ["from", "to"]).agg(F.first("node"))
+#: Parts of the running total whose sums the driver lays end to end: two hex digits of a hash.
+PARTS = 256
+
+
+def drawn(weights: DataFrame, n: int, seed: int, side: str) -> DataFrame:
+    """(draw, node): n draws of nodes (node, weight) by weight, numbered from 0.
+
+    The weights are laid end to end, by a hash of the node and then the node: each part's sum is known, and nodes add up inside
+    a part. The line is cut into as many equal slots as there are nodes. A node is entered in the slots that it reaches, all
+    together no more than twice the nodes, and a draw looks up its slot. The last span has no end, so that no draw falls
+    beyond it."""
+    spark = weights.sparkSession
+    own = weights.where("weight > 0").select("node", F.col("weight").cast("double").alias("weight"), F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 2), 16, 10).cast("int").alias("part"))
+    sums = {r.part: (r.total, r.n) for r in own.groupBy("part").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).collect()}
+    ends = list(accumulate((sums.get(p, (0.0, 0))[0] for p in range(PARTS)), initial=0.0))
+    total, slots = ends[-1], sum(k for _, k in sums.values())
+    if not slots:
+        return own.select(F.lit(None).cast("long").alias("draw"), "node").limit(0)
+    width = total / slots
+    parts = spark.createDataFrame([(p, ends[p], ends[p + 1]) for p in sorted(sums)], "part int, base double, top double")
+    by = Window.partitionBy("part").orderBy("node")
+    before = F.coalesce(F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    spans = own.join(F.broadcast(parts), "part").withColumn("start", F.col("base") + before)
+    spans = spans.withColumn("end", F.coalesce(F.lead("start").over(by), F.when(F.col("part") == max(sums), float("inf")).otherwise(F.col("top"))))
+    slot = lambda c: F.least(F.floor(c / width), F.lit(slots - 1)).cast("long")
+    entered = spans.select("node", "start", "end", F.explode(F.sequence(slot(F.col("start")), slot(F.least("end", F.lit(total))))).alias("slot"))
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit(side), F.col("id").cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    draws = spark.range(n).select(F.col("id").alias("draw"), (u * total).alias("at")).withColumn("slot", slot(F.col("at")))
+    return draws.join(entered, "slot").where("at >= start and at < end").select("draw", "node")
+
+
+def sampled_pairs(weights: DataFrame, n: int, seed: int = 20260718, destinations: DataFrame | None = None) -> DataFrame:
+    """(draw, from, to): n trips; where they start is drawn by weights (node, weight), where they end by those of destinations, if
+    given. None where either has no weight."""
+    from_ = drawn(weights, n, seed, "from").withColumnRenamed("node", "from")
+    to = drawn(weights if destinations is None else destinations, n, seed, "to").withColumnRenamed("node", "to")
+    return from_.join(to, "draw")
 
 
 def top_edges(flows: DataFrame, n: int = 300) -> DataFrame:

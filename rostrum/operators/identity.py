@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as X
+from rostrum.operators.graph import cut_lineage
 from rostrum.operators.relational import latest_by
 
 
@@ -53,15 +54,18 @@ def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFr
     return out.select("name", "entity_type", "slug", F.coalesce("by_slug", "by_alias", "by_shown", "by_base").alias("entity_id"), how.alias("how"))
 
 
-def chase(mapping: DataFrame, rounds: int = 20) -> DataFrame:
-    """mapping (source, target) with chains followed to their end; a round doubles what is followed."""
-    for _ in range(rounds):
-        on = mapping.select(F.col("source").alias("target"), F.col("target").alias("further"))
-        mapping = mapping.join(on, "target", "left").select("source", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved"))
+def chase(mapping: DataFrame) -> DataFrame:
+    """mapping (source, target), each source once, with chains followed to their end. A round doubles what is followed and cuts the
+    lineage, so there are as many rounds as the logarithm of the longest chain. Chains that run in a circle are an error;
+    a source that is its own target stays."""
+    mapping = cut_lineage(mapping.select("source", "target"))
+    for _ in range(mapping.count().bit_length() + 1):  # no chain without a circle is longer than there are sources
+        on = mapping.where("source <> target").select(F.col("source").alias("target"), F.col("target").alias("further"))
+        mapping = cut_lineage(mapping.join(on, "target", "left").select("source", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
         if mapping.where("moved").limit(1).count() == 0:
-            break
+            return mapping.select("source", "target")
         mapping = mapping.drop("moved")
-    return mapping.select("source", "target")
+    raise ValueError("chase: a chain runs in a circle")
 
 
 def merge_entities(facts: DataFrame, mapping: DataFrame, key: list[str], order: list[str]) -> DataFrame:

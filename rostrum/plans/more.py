@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as X
-from rostrum.operators import graph as G
 from rostrum.operators import mentions as M
 from rostrum.operators import relational as R
 from rostrum.operators import report as Q
@@ -34,13 +33,6 @@ def a22_contributors(s, d):  # A22, U03
     return p.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min_by("point_id", F.struct(rank, "point_id")).alias("kept"))
 
 
-@query("edges", "WITH f AS (SELECT u, v, minutes * 10 AS flow, u % 12 AS n FROM edges) SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, flow, CASE WHEN n >= 5 THEN round(100 * flow / (n * 2.5), 6) END AS change FROM f ORDER BY flow DESC, u, v LIMIT 20")
-def g07_edge_change(s, d):  # G07, A28, L07
-    e = load(s, d, "edges").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), (F.col("minutes") * 10).alias("flow"))
-    n = F.col("u") % 12
-    return G.top_edges(e.withColumn("change", F.when(n >= 5, F.round(100 * F.col("flow") / (n * 2.5), 6))), 20)
-
-
 @query("items", "SELECT meeting_id, item_no, title FROM items WHERE NOT regexp_matches(title, '(?i)\\b(minutes|remote participation|part 1\\d)\\b') QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY item_no) <= 6")
 def l11_briefing(s, d):  # L11
     own = load(s, d, "items").where(~F.col("title").rlike(r"(?i)\b(minutes|remote participation|part 1\d)\b"))

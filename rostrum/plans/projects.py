@@ -19,13 +19,13 @@ QUERIES, ORACLES, query = registry()
 BASE_URL = "https://town.example.org"
 
 
-@query(oracle="""SELECT s_suppkey AS page_id, 0 AS n, 'project-' || CAST(s_suppkey AS VARCHAR) AS slug, s_name || ' & Co' AS name, 'https://town.example.org/Development/Projects/Project-' || CAST(s_suppkey AS VARCHAR) AS detail_url,
+@query(oracle="""SELECT s_suppkey AS page_id, 0 AS n, 'Project-' || CAST(s_suppkey AS VARCHAR) AS slug, s_name || ' & Co' AS name, 'https://town.example.org/Development/Projects/Project-' || CAST(s_suppkey AS VARCHAR) AS detail_url,
     CASE WHEN s_suppkey % 3 = 0 THEN 'City Project' ELSE 'Private Development' END AS project_type, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'nation ' || CAST(s_nationkey AS VARCHAR) END AS description FROM supplier""")
 def s07_project_list(s, d):  # S07, S08: landed directory pages
     k = F.col("s_suppkey").cast("string")
     icon = F.when(F.col("s_suppkey") % 3 == 0, '<img alt="" src="/icons/City-Project.png">').otherwise('<img alt="private">')
     about = F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("<p>nation <b>"), F.col("s_nationkey").cast("string"), F.lit("</b></p>")))
-    html = F.concat(F.lit('<article><a href="/Development/Projects/Menu">menu</a></article><div class="list-item-container"><article><a href="/Development/Projects/Project-'), k, F.lit('"><h2 class="list-item-title">'), icon, F.col("s_name"), F.lit(" &amp; Co</h2>"), about, F.lit('</a></article><article><a href="/News/1"><h2 class="list-item-title">News</h2></a></article></div>'))
+    html = F.concat(F.lit('<article><a href="/Development/Projects/Menu">menu</a></article><div class="list-item-container"><article><a href="/Development/Projects/Project-'), k, F.lit('"><h2 class="list-item-title">'), icon, F.col("s_name"), F.lit(" &amp; Co</h2>"), about, F.lit('</a></article><article><a href="/News/1"><h2 class="list-item-title">News</h2></a></article></div><article><a href="/Development/Projects/Other"><h2 class="list-item-title">Other</h2></a></article>'))
     return P.project_list(load(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), html.alias("html")), BASE_URL)
 
 
@@ -33,7 +33,7 @@ def s07_project_list(s, d):  # S07, S08: landed directory pages
     'p' || CAST(s_suppkey AS VARCHAR) || '@town.gov' AS planner_email, '(703) 385-0001' AS planner_phone, 'Ann Lee' AS planner_name, 'Plan A>https://town.example.org/a.pdf' AS documents, 'filed|heard' AS official_timeline FROM supplier""")
 def s07_project_detail(s, d):  # S07
     k = F.col("s_suppkey").cast("string")
-    html = F.concat(F.lit("<main><ul><li>Project type <b>Rezoning</b></li>"), F.when(F.col("s_suppkey") % 2 == 0, "<li>Project schedule Under review</li>").otherwise(""), F.lit("</ul><h2>Project</h2><ul><li>filed</li><li></li><li>heard</li></ul><h2>Background</h2><p>"), F.col("s_name"), F.lit("</p><h3>Concept Plans</h3><a href='/a.pdf'>Plan A</a><h3>Location</h3><p>"), k, F.lit(" Main Street View Map "), (38.5 + F.col("s_suppkey")).cast("string"), F.lit(", -77.25</p><h3>Contact Details</h3><p>Ann Lee, p"), k, F.lit("@town.gov</p><p>(703) 385-0001</p></main>"))
+    html = F.concat(F.lit("<ul><li>Project type Menu</li><li>Project division Menu</li></ul><main><ul><li>Project type <b>Rezoning</b></li>"), F.when(F.col("s_suppkey") % 2 == 0, "<li>Project schedule Under review</li>").otherwise(""), F.lit("</ul><h2>Project</h2><ul><li>filed</li><li></li><li>heard</li></ul><h2>Background</h2><p>"), F.col("s_name"), F.lit("</p><h3>Concept Plans</h3><a href='/a.pdf'>Plan A</a><h3>Location</h3><p>"), k, F.lit(" Main Street View Map "), (38.5 + F.col("s_suppkey")).cast("string"), F.lit(", -77.25</p><h3>Contact Details</h3><p>Ann Lee, p"), k, F.lit("@town.gov</p><p>(703) 385-0001</p></main>"))
     out = P.project_detail(load(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), html.alias("html")), BASE_URL)
     documents = F.array_join(F.transform("documents", lambda x: F.concat_ws(">", x["label"], x["url"])), "|")
     return out.select("page_id", "project_type", "official_status", "description", "lat", "lng", "address", "planner_email", "planner_phone", "planner_name", documents.alias("documents"), F.array_join("official_timeline", "|").alias("official_timeline"))

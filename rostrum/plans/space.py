@@ -99,25 +99,12 @@ def g03_nearest_access(s, d):  # G02, G03
     return G.nearest_source(load(s, d, "edges"), s.createDataFrame([(0,), (7,), (15,)], "source int")).select(F.col("node").cast("long").alias("node"), F.col("source").cast("long").alias("source"), "minutes")
 
 
-@query()
-def g05_edge_flows(s, d):  # G04, G05, A20; checked on a toy graph
-    e = load(s, d, "edges").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "minutes")
-    w = load(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (1.0 + F.col("n_nationkey") % 3).alias("weight"))
-    return G.edge_flows(e, 0, w, 100.0, 0.1)
-
-
 @query("edges", "WITH e AS (SELECT u, v, CASE WHEN u % 5 = 0 THEN NULL ELSE 'street ' || CAST((u + v) % 7 AS VARCHAR) END AS street FROM edges), x AS (SELECT u AS node, street FROM e UNION ALL SELECT v, street FROM e), n AS (SELECT node, list_sort(list_distinct(list(street))) AS names FROM x WHERE street IS NOT NULL GROUP BY 1) SELECT CAST(node AS BIGINT) AS node, array_to_string(names[1:2], ' & ') AS label FROM n WHERE len(names) >= 2")
 def a29_crossings(s, d):  # A29
     street = F.when(F.col("u") % 5 != 0, F.concat(F.lit("street "), ((F.col("u") + F.col("v")) % 7).cast("string")))
     return G.crossings(load(s, d, "edges").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), street.alias("street")))
 
 
-@query()
-def g06_sampled_pairs(s, d):  # G06: seeded draws, rows only
-    w = load(s, d, "nation").select(F.col("n_nationkey").alias("node"), (1.0 + F.col("n_nationkey") % 3).alias("weight"))
-    return G.sampled_pairs(w, 200)
-
-
 U = "CASE WHEN attractiveness > 0 THEN attractiveness * exp(-{b} * {m}) ELSE 0 END"
 
 

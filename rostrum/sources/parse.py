@@ -113,32 +113,84 @@ def attribute(tag: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
 
 
+def within(html: Column, tag: str, opening: str) -> Column:
+    """What stands inside the outermost elements `tag` whose opening tag matches the pattern, an array in page order. An element
+    ends where as many closing tags of its name as opening ones have passed; one that is never closed goes on to the end."""
+    pieces = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(?:(?!</?{tag}\b).)*+|</{tag}\s*>(?:(?!</?{tag}\b).)*+"), 0)
+    state = "struct<depth:int,inside:int,found:array<array<string>>>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("inside"), F.array().cast("array<array<string>>").alias("found")).cast(state)
+
+    def step(s: Column, piece: Column) -> Column:
+        closing = F.startswith(piece, F.lit("</"))
+        depth = s["depth"] + F.when(closing, -1).otherwise(1)
+        begins = (s["inside"] == 0) & ~closing & F.rlike(F.regexp_extract(piece, r"(?s)^(<[^>]*>)", 1), F.lit(opening))
+        ends = closing & (depth < s["inside"])
+        rest = F.regexp_replace(piece, r"(?s)^<[^>]*>", "")
+        last = F.size(s["found"])
+        grown = F.concat(F.slice(s["found"], F.lit(1), F.greatest(last - 1, F.lit(0))), F.array(F.concat(F.element_at(s["found"], -1), F.array(piece))))
+        found = F.when(begins, F.concat(s["found"], F.array(F.array(rest)))).when((s["inside"] > 0) & ~ends, grown).otherwise(s["found"])
+        inside = F.when(begins, depth).when(ends, 0).otherwise(s["inside"])
+        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"), inside.alias("inside"), found.alias("found")).cast(state)
+
+    return F.transform(F.aggregate(pieces, start, step, lambda s: s["found"]), lambda parts: F.array_join(parts, ""))
+
+
 def project_list(pages: DataFrame, base: str, html: str = "html", key: str = "page_id") -> DataFrame:
-    """(key, n, slug, name, detail_url, project_type, description) of the directory's articles that link to a project; the
-    icon in the title tells the city's own projects from private ones."""
-    listed = F.regexp_extract(html, r"(?is)list-item-container(.*)", 1)
+    """(key, n, slug, name, detail_url, project_type, description) of the articles inside the directory's containers that link to
+    a project; articles elsewhere on the page aren't taken. The icon in the title tells the city's own projects from private
+    ones."""
+    listed = F.array_join(within(F.col(html), "div", r"(?i)class=[\"'][^\"']*\blist-item-container\b"), "\n")
     items = pages.select(key, F.posexplode(F.regexp_extract_all(listed, F.lit(r"(?is)(<article\b.*?</article>)"), 1)).alias("n", "item"))
     url = X.absolute_url(F.nullif(F.regexp_extract("item", r"""(?is)<a\b[^>]*href=["']([^"']*/Development/Projects/[^"']*)["']""", 1), F.lit("")), base)
     title = F.regexp_extract("item", r"""(?is)<(\w+)[^>]*class=["'][^"']*list-item-title[^"']*["'][^>]*>(.*?)</\1>""", 2)
     icon = F.lower(F.regexp_extract(title, r"(?is)(<img\b[^>]*>)", 1))
     kind = F.when(F.contains(icon, F.lit("city-project")), "City Project").otherwise("Private Development")
     about = F.nullif(strip_tags(F.regexp_extract("item", r"(?is)<p\b[^>]*>(.*?)</p>", 1)), F.lit(""))
-    slug = F.lower(F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1))
+    slug = F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1)
     out = items.select(key, "n", slug.alias("slug"), strip_tags(title).alias("name"), url.alias("detail_url"), kind.alias("project_type"), about.alias("description"))
     return out.where("detail_url is not null and name <> ''")
 
 
-def project_detail(pages: DataFrame, base: str, html: str = "html", key: str = "page_id") -> DataFrame:
-    """A row for each project page: facts of its list, and what stands under its headings; null for what it hasn't.
+def page_forms(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, page, fields): the posts that fetch a directory's further pages, from 2 to the last that its pager offers: every
+    field of the page's form but its buttons, with the pager's own set to the page and its Go button pressed. A page without
+    a pager or without the button has none."""
+    tags = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), 0)
+    form = F.coalesce(F.get(within(F.col(html), "form", ""), F.lit(0)), F.lit(""))
+    pager = F.array_join(within(F.col(html), "div", r"(?i)class=[\"'][^\"']*\bseamless-pagination\b"), "")
+    own = pages.select(key, form.alias("form"), pager.alias("pager"))
+    given = lambda t: attribute(t, "name").isNotNull()
+    pair = lambda t, v: F.struct(attribute(t, "name").alias("key"), F.coalesce(v, F.lit("")).alias("value"))
+    button = lambda t: F.coalesce(F.lower(attribute(t, "type")).isin("submit", "button", "image"), F.lit(False))
+    inputs = F.transform(F.filter(tags("form", r"(?is)<input\b[^>]*>"), lambda t: given(t) & ~button(t)), lambda t: pair(t, attribute(t, "value")))
+    areas = F.transform(F.filter(tags("form", r"(?is)<textarea\b[^>]*>"), given), lambda t: pair(t, F.lit("")))
+    head = lambda x: F.regexp_extract(x, r"(?s)^(<[^>]*>)", 1)
+    chosen = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"(?is)(<option\b[^>]*\bselected\b[^>]*>)", 1), F.lit("")), F.regexp_extract(x, r"(?is)(<option\b[^>]*>)", 1))
+    selects = F.transform(F.filter(tags("form", r"(?is)<select\b.*?</select>"), lambda x: given(head(x))), lambda x: pair(head(x), attribute(chosen(x), "value")))
+    numbers = F.filter(F.transform(tags("pager", r"(?is)<option\b[^>]*>"), lambda o: F.regexp_extract(o, r"(?is)value\s*=\s*[\"'](\d+)[\"']", 1).try_cast("int")), lambda x: x.isNotNull())
+    go = F.get(F.filter(tags("pager", r"(?is)<input\b[^>]*>"), lambda t: (F.lower(attribute(t, "type")) == "submit") & (attribute(t, "value") == "Go")), F.lit(0))
+    read = own.select(key, F.concat(inputs, areas, selects).alias("f"), attribute(F.regexp_extract("pager", r"(?is)(<select\b[^>]*>)", 1), "name").alias("page_field"), attribute(go, "name").alias("go_field"), F.coalesce(F.array_max(numbers), F.lit(1)).alias("last"))
+    read = read.where("page_field is not null and go_field is not null and last > 1").select("*", F.explode(F.sequence(F.lit(2), F.col("last"))).alias("page"))
+    others = F.filter("f", lambda x: (x["key"] != F.col("page_field")) & (x["key"] != F.col("go_field")))
+    last_of = F.filter(others, lambda x, i: ~F.exists(F.slice(others, i + 2, F.size(others)), lambda y: y["key"] == x["key"]))  # of a name that comes twice the last counts
+    fields = F.concat(last_of, F.array(F.struct(F.col("page_field").alias("key"), F.col("page").cast("string").alias("value")), F.struct(F.col("go_field").alias("key"), F.lit("Go").alias("value"))))
+    return read.select(key, "page", F.map_from_entries(fields).alias("fields"))
+
+
+def project_detail(pages: DataFrame, base: str, html: str = "html", key: str = "page_id", listed: DataFrame | None = None) -> DataFrame:
+    """A row for each project page: facts of the lists in its main part (`main`, or a div of class content-main), and what stands
+    under its headings; null for what it hasn't, or what the row of `listed` (key, project_type, description) says.
 
     documents are the (label, url) of links under headings with "plan" or "document" in them; a place is read from the first
     pair of decimal numbers under Location, and the address is what stands before it."""
     page = F.col(html)
-    facts = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1), strip_tags)
+    main = F.concat(within(page, "main", ""), within(page, "div", r"(?i)class=[\"'][^\"']*\bcontent-main\b"))
+    main = F.array_join(main, "\n")
+    facts = F.transform(F.regexp_extract_all(main, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1), strip_tags)
     fact = lambda name: F.nullif(F.trim(F.regexp_replace(F.element_at(F.filter(F.concat(F.array(F.lit(f"{name} ")), F.col("facts")), lambda x: x.startswith(f"{name} ")), -1), f"^{name} ", "")), F.lit(""))
     pattern = r"(?is)<h[23]\b[^>]*>(.*?)</h[23]>(.*?)(?=<h[23]\b|</main>|\z)"
     parts = F.arrays_zip(F.transform(F.regexp_extract_all(page, F.lit(pattern), 1), lambda h: F.lower(strip_tags(h))).alias("label"), F.regexp_extract_all(page, F.lit(pattern), 2).alias("body"))
-    own = pages.select(key, page.alias("_html"), facts.alias("facts"), parts.alias("parts"))
+    own = pages.select(key, main.alias("_main"), facts.alias("facts"), parts.alias("parts"))
 
     def body(label: str) -> Column:
         return F.element_at(F.filter(F.concat(F.array(F.struct(F.lit("").alias("label"), F.lit(None).cast("string").alias("body"))), F.col("parts")), lambda p: (p["label"] == "") | (p["label"] == label)), -1)["body"]
@@ -154,9 +206,13 @@ def project_detail(pages: DataFrame, base: str, html: str = "html", key: str = "
     email = F.nullif(F.regexp_extract(contact, r"[\w.+-]+@[\w-]+\.gov", 0), F.lit(""))
     phone = F.nullif(F.regexp_extract(contact, r"\(\d{3}\)\s*\d{3}-\d{4}", 0), F.lit(""))
     planner = F.trim(F.replace(F.replace(contact, F.coalesce(email, F.lit(""))), F.coalesce(phone, F.lit(""))), F.lit(" ,"))
-    image = F.nullif(F.regexp_extract("_html", r"""(?is)<main\b.*?<img\b[^>]*src=["']([^"']*)["']""", 1), F.lit(""))
+    image = F.nullif(F.regexp_extract("_main", r"""(?is)<img\b[^>]*src=["']([^"']*)["']""", 1), F.lit(""))
     out = {"project_type": fact("Project type"), "division": fact("Project division"), "official_status": fact("Project schedule"), "official_timeline": timeline, "description": text("background"), "requests": F.coalesce(text("requests"), text("potential requests")), "documents": documents, "lat": number(1), "lng": number(2), "address": F.nullif(address, F.lit("")), "planner_email": email, "planner_phone": phone, "planner_name": F.nullif(planner, F.lit("")), "applicant": F.nullif(F.trim(F.replace(text("applicant"), F.lit("Applicant's Representative:"))), F.lit("")), "image_url": X.absolute_url(image, base)}
-    return own.select(key, *[c.alias(n) for n, c in out.items()])
+    detail = own.select(key, *[c.alias(n) for n, c in out.items()])
+    if listed is None:
+        return detail
+    names = [c for c in listed.columns if c != key]
+    return detail.join(listed.select(key, *[F.col(c).alias(f"_{c}") for c in names]), key, "left").select(key, *[F.coalesce(c, f"_{c}").alias(c) if c in names else c for c in out])
 
 
 def paged_features(pages: DataFrame, attributes: str, page_size: int, text: str = "json", layer: str = "layer", offset: str = "offset") -> DataFrame:

@@ -64,6 +64,24 @@ ADAPTERS: dict[str, str] = {
                CAST(2 + (n.n_nationkey * 3 + s.s_suppkey * 5) % 40 AS DOUBLE) AS walk_min, CAST(1 + (n.n_nationkey + s.s_suppkey * 2) % 15 AS DOUBLE) AS drive_min,
                CAST(1 + (n.n_nationkey * 2 + s.s_suppkey * 3) % 25 AS DOUBLE) AS bike_min, s.s_nationkey < 12 AS in_city
         FROM {nation} AS n CROSS JOIN {supplier} AS s""",
+    "corners": """
+        SELECT s_suppkey AS parcel_id, s_nationkey AS site, r.ring, r.n, CAST((s_suppkey * 6151) % 10007 + r.dx * (20 + s_suppkey % 90) AS DOUBLE) AS x,
+               CAST((s_suppkey * 3571) % 10009 + r.dy * (20 + s_suppkey % 70) AS DOUBLE) AS y
+        FROM {supplier} CROSS JOIN (VALUES (0, 0, 0, 0), (0, 1, 10, 1), (0, 2, 9, 6), (0, 3, 5, 4), (0, 4, 6, 10), (0, 5, 1, 8), (1, 0, 3, 2), (1, 1, 6, 2), (1, 2, 4, 3)) AS r(ring, n, dx, dy)
+        WHERE r.ring = 0 OR s_suppkey % 2 = 0""",
+    "lots": """
+        SELECT c_custkey AS lot_id, c_nationkey AS site, (c_custkey * 7919) % 1000 AS x0, (c_custkey * 104729) % 1000 AS y0, 20 + c_custkey % 60 AS w, 20 + c_custkey % 45 AS h FROM {customer}""",
+    "lines": """
+        SELECT n_nationkey AS line_id, v.n, CAST((n_nationkey * 3977 + v.n * 1303) % 10007 AS DOUBLE) AS x, CAST((n_nationkey * 2791 + v.n * v.n * 811) % 10009 AS DOUBLE) AS y
+        FROM {nation} CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(n) WHERE n_nationkey % 5 <> 0 OR v.n = 0""",
+    "corner_nodes": """
+        SELECT s_suppkey AS node, -77.3 + (s_suppkey % 10) * 0.001 AS x, 38.85 + floor(s_suppkey / 10) * 0.001 AS y, 1 + s_suppkey % 7 AS pop, s_suppkey % 5 AS shops FROM {supplier}""",
+    "streets": """
+        WITH n AS (SELECT count(*) AS n FROM {supplier}),
+             e AS (SELECT s_suppkey AS u, s_suppkey + 1 AS v, s_suppkey, CONCAT('Row ', CAST(floor(s_suppkey / 10) AS INT), ' Street') AS street FROM {supplier} CROSS JOIN n WHERE s_suppkey % 10 < 9 AND s_suppkey + 1 < n
+                   UNION ALL SELECT s_suppkey, s_suppkey + 10, s_suppkey, CONCAT('Col ', s_suppkey % 10, ' Avenue') FROM {supplier} CROSS JOIN n WHERE s_suppkey + 10 < n),
+             t AS (SELECT u, v, CASE WHEN s_suppkey % 13 = 12 THEN NULL WHEN s_suppkey % 17 = 16 THEN 'Route 236' ELSE street END AS street, CAST(1 + (s_suppkey * 7) % 5 AS DOUBLE) AS minutes, CAST(80 + (s_suppkey * 7) % 40 AS DOUBLE) AS length FROM e)
+        SELECT u, v, street, minutes, length FROM t UNION ALL SELECT v, u, street, minutes, length FROM t""",
     "hits": """
         SELECT event_id, ts, user_id, event_type, value, props FROM {events}""",
 }

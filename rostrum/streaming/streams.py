@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.operators.folds import ordered_fold
+from rostrum.operators.graph import cut_lineage
 from rostrum.operators.relational import latest_by
 
 
@@ -33,35 +34,51 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 hour") ->
     return own.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
 
 
-def rate_limit(events: DataFrame, most: int, seconds: int, key: str | Sequence[str] = "user_id") -> DataFrame:
-    """(key, event_id, allowed): at most `most` allowed calls of a key in the trailing window; denied calls don't count.
-
-    A fold over each key's ordered calls whose state is the allowed times still in the window."""
-    span, keys = seconds * 1_000_000, [key] if isinstance(key, str) else list(key)
+def limited(events: DataFrame, most: int, seconds: int, keys: list[str]) -> DataFrame:
+    """(keys, n, t, event_id, allowed) of each call: n numbers a key's calls in order, t is the time in microseconds."""
+    span = seconds * 1_000_000
     calls = events.select(*keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
 
-    def step(live: deque, call: tuple):
+    def start() -> list:
+        return [0, deque()]
+
+    def step(state: list, call: tuple):
+        n, live = state
         t, event = call
+        state[0] += 1
+        if t is None:
+            return ((n, t, event, False),)
         while live and live[0] < t - span:
             live.popleft()
         allowed = len(live) < most
         if allowed:
             live.append(t)
-        return ((event, allowed),)
+        return ((n, t, event, allowed),)
+
+    kind = lambda c: calls.schema[c].dataType.simpleString()
+    named = ", ".join(f"`{k}` {kind(k)}" for k in keys)
+    return ordered_fold(calls, keys, ["t", "event_id"], ["t", "event_id"], f"{named}, n bigint, t bigint, event_id {kind('event_id')}, allowed boolean", start, step)
 
-    named = ", ".join(f"`{k}` {calls.schema[k].dataType.simpleString()}" for k in keys)
-    return ordered_fold(calls, keys, ["t", "event_id"], ["t", "event_id"], f"{named}, event_id bigint, allowed boolean", deque, step)
+
+def rate_limit(events: DataFrame, most: int, seconds: int, key: str | Sequence[str] = "user_id") -> DataFrame:
+    """(key, event_id, allowed): at most `most` allowed calls of a key in the trailing window; denied calls don't count, and
+    calls without a time are denied.
+
+    A fold over each key's ordered calls whose state is the allowed times still in the window."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return limited(events, most, seconds, keys).select(*keys, "event_id", "allowed")
 
 
 def daily_budget(events: DataFrame, most: int = 6, seconds: int = 60, per_day: int = 500, key: str = "user_id") -> DataFrame:
     """(key, event_id, allowed): calls within the key's trailing window and within the day's budget of all keys.
 
     Windows and budget start anew at midnight, so a key's days are folded apart. Until the budget is spent each call that
-    the window allows takes of it, and nothing is allowed after: the day's first `per_day` of them are the allowed ones."""
-    own = events.withColumn("day", F.to_date("ts"))
-    free = rate_limit(own, most, seconds, [key, "day"]).where("allowed").select("event_id")
-    ranked = latest_by(own.join(free, "event_id", "left_semi"), ["day"], [F.col("ts"), F.col("event_id")], per_day)
-    return own.join(ranked.select("event_id", F.lit(True).alias("allowed")), "event_id", "left").select(key, "event_id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
+    the window allows takes of it, and nothing is allowed after: the day's first `per_day` of them are the allowed ones. Calls
+    are told apart by time, event id, key and their number within the key, so equal or missing event ids do no harm."""
+    own = cut_lineage(limited(events.withColumn("day", F.to_date("ts")), most, seconds, [key, "day"]))
+    place = F.struct("t", "event_id", key, "n")
+    last = latest_by(own.where("allowed"), ["day"], [F.col("t"), F.col("event_id"), F.col(key), F.col("n")], per_day).groupBy("day").agg(F.max(place).alias("last"))
+    return own.join(last, "day", "left").select(key, "event_id", (F.col("allowed") & F.coalesce(place <= F.col("last"), F.lit(False))).alias("allowed"))
 
 
 def rate_limit_stream(events: DataFrame, most: int, seconds: int, key: str = "user_id") -> DataFrame:

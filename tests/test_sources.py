@@ -58,11 +58,7 @@ def test_people_pages_markers(spark):
     assert {(r.key, r.value) for r in C.markers(pages, spark.createDataFrame([("a.b", 3.0)], "key string, value double")).collect()} == {("a.b", 3.0), ("gone", None)}
 
 
-def test_corridor_and_modules(spark):
-    rows = [(0, 1, 1.0, "Main St"), (1, 2, 1.0, "Main Street"), (2, 3, 1.0, "Main St"), (0, 4, 0.5, "Oak Ln"), (4, 3, 0.5, "Oak Ln")]
-    edges = spark.createDataFrame(rows, "u long, v long, minutes double, street string")
-    assert [r.node for r in C.corridor(edges, "main street", 0, 3).orderBy("place").collect()] == [1, 2, 3]
-    assert C.corridor(edges, "no street", 0, 3).count() == 0
+def test_notes_and_modules(spark):
     notes = C.consistency(spark.createDataFrame([(1, 100.0, 2.0, 0.1), (2, 10.0, 2.0, 0.9), (3, 10.0, 0.0, 0.2)], "site long, walk_dollars double, walk_trips double, uplift double")).orderBy("site").collect()
     assert [r.notes for r in notes] == [["dollars for a walk trip"], ["corridor uplift"], []]
     seen = C.evaluate("development", spark.range(1), {"economic": lambda s, p: s.select(F.lit("jobs").alias("metric"), F.lit(2.0).alias("value")), "fiscal": lambda s, p: p["economic"].select(F.lit("net").alias("metric"), (F.col("value") * 3).alias("value"))})
