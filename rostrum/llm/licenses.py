@@ -46,7 +46,7 @@ TEMPLATES: dict[str, list[str]] = {
     "MPL": ["Licensed under the Mozilla Public License, Version 2.0.", "Released under the MPL 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under the Creative Commons Attribution License, version 3.0.", "SPDX-License-Identifier: CC-BY-4.0", "Content is available under CC BY 3.0."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike License.", "Content is available under CC BY-SA 3.0."],
-    "CC-BY-NC": ["Licensed under CC BY-NC 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Released under the Creative Commons Attribution-NonCommercial License.", "Content is available under CC BY-NC 2.0."],
+    "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Released under the Creative Commons Attribution-NonCommercial License.", "Content is available under CC BY-NC 2.0."],
     "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0 Universal).", "SPDX-License-Identifier: CC0-1.0", "This work is dedicated to the public domain under CC0.", "This is free and unencumbered software released into the public domain."],
     "other": [
         "Licensed under the Acme Commercial License.", "Copyright 2020 Example Corporation. All rights reserved.", "See the LICENSE file for details.", "Use is subject to license terms.", "This software is proprietary and may not be copied without permission.", "Licensed under the terms of the vendor agreement, version 5.", "SPDX-License-Identifier: LicenseRef-Proprietary", "Released under the house license.", "Copyright notice", "Your license key is invalid.",

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,20 +123,21 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(uid, doc_id, n, ids): each row's ids and end_id, as unsigned 32-bit little-endian numbers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         ids.tasks += 1
         end = array("I", [end_id]).tobytes()
         at = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            for a in range(0, len(pdf), 250):
-                part = pdf.iloc[a : a + 250]
-                out = [ids(x) + end for x in part["text"].tolist()]
-                yield pd.DataFrame({"uid": np.arange(at, at + len(out)), "doc_id": part["doc_id"].to_numpy(), "n": [len(x) // len(end) for x in out], "ids": out})
+        for batch in batches:
+            for a in range(0, batch.num_rows, 250):
+                part = batch.slice(a, 250)
+                out = [ids(x) + end for x in part.column(1).to_pylist()]
+                columns = [pa.array(np.arange(at, at + len(out))), part.column(0), pa.array([len(x) // len(end) for x in out], pa.int64()), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "ids"])
                 at += len(out)
         ids.forget_when_idle()
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"uid long, doc_id {kind}, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, n long, ids binary")
 
 
 def patterns(hist: np.ndarray, window: int, seed: int = 5, limit: int = MAX_PATTERNS) -> np.ndarray:

@@ -52,6 +52,7 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= width, F.lit(0)).otherwise(windows(w)))
 
 
+@own_names
 def measure(docs: DataFrame) -> DataFrame:
     """docs with rule_words, rule_chars, rule_symbols, rule_dup_lines, rule_repeats (long) and rule_scores, a struct with a
     score for each rule. Null and empty texts have zero everywhere. Windows are compared by 64-bit hashes of their words."""

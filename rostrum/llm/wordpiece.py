@@ -9,9 +9,8 @@ import base64
 from collections import deque
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 #: Words whose counts a worker remembers; when there are more, it starts afresh. About 200 MB.
@@ -106,14 +105,14 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     have no words. Repeated rows are counted each time; an empty table gives an empty one; other columns play no part."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = loaded(vocabulary).__getitem__
-        for pdf in batches:
+        for batch in batches:
             n_words, n_tokens = [], []
-            for text in pdf["text"]:
+            for text in batch.column(1).to_pylist():
                 words = (text or "").encode().split()
                 n_words.append(len(words))
                 n_tokens.append(sum(map(known, words)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n_words, "n_tokens": n_tokens})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", F.col("text")).mapInPandas(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")

