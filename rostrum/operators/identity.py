@@ -62,8 +62,11 @@ def chase(mapping: DataFrame) -> DataFrame:
     for _ in range(mapping.count().bit_length() + 1):  # no chain without a circle is longer than there are sources
         on = mapping.where("source <> target").select(F.col("source").alias("target"), F.col("target").alias("further"))
         mapping = cut_lineage(mapping.join(on, "target", "left").select("source", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
-        if mapping.where("moved").limit(1).count() == 0:
+        moving, circles = mapping.agg(F.count_if("moved"), F.count_if(F.col("moved") & (F.col("source") == F.col("target")))).first()
+        if not moving:
             return mapping.select("source", "target")
+        if circles:
+            break
         mapping = mapping.drop("moved")
     raise ValueError("chase: a chain runs in a circle")
 

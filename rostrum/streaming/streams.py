@@ -6,8 +6,10 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from rostrum.operators.folds import ordered_fold
 from rostrum.operators.graph import cut_lineage
@@ -141,3 +143,80 @@ def live_topics(hits: DataFrame, width: str = "60 days", step: str = "1 day", la
     """Named seconds by topic in a sliding window, for hits (ts, entity_id, seconds)."""
     own = timed(hits).withWatermark("ts", late)
     return own.groupBy(F.window("ts", width, step).alias("w"), "entity_id").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("mentions")).select(F.col("w.end").cast("timestamp_ntz").alias("until"), "entity_id", "seconds", "mentions")
+
+
+#: What the state of a source's snapshots holds, and what the stream tells of them; times in microseconds.
+SEEN = "seen bigint, title string, agenda_text string"
+CHANGES = "source string, event_id string, at bigint, change string, title string, agenda_text string"
+
+
+def change(source: str, event_id: str, at: int, kind: str, title: str | None, agenda_text: str | None) -> Row:
+    return Row(source=source, event_id=event_id, at=at, change=kind, title=title, agenda_text=agenda_text)
+
+
+class SnapshotState(StatefulProcessor):
+    """A source's current events: each snapshot replaces the one before it, as the batch does."""
+
+    def __init__(self, grace_seconds: int) -> None:
+        self.grace = grace_seconds * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.version = handle.getValueState("version", "at bigint")
+        self.events = handle.getMapState("events", "event_id string", SEEN)
+
+    def handleInputRows(self, key, rows, timer_values):
+        for row in sorted(rows, key=lambda r: r.at):
+            if self.version.exists() and row.at <= self.version.get()[0]:
+                continue  # late or repeated: what is newer stands
+            self.version.update((row.at,))
+            for event in {e["event_id"]: e for e in row.events or []}.values():
+                name, title, text = (event["event_id"],), event["title"], event["agenda_text"]
+                was = self.events.getValue(name) if self.events.containsKey(name) else None
+                if text is None and was is not None:
+                    text = was[2]  # fetched text outlives a snapshot without it
+                self.events.updateValue(name, (row.at, title, text))
+                if was is None or (was[1], was[2]) != (title, text):
+                    yield change(key[0], name[0], row.at, "added" if was is None else "changed", title, text)
+            yield from self.dropped(key[0], row.at, row.at - self.grace)
+            if self.grace and any(v[0] < row.at for _, v in self.events.iterator()):
+                self.handle.registerTimer((row.at + self.grace) // 1000)
+
+    def handleExpiredTimer(self, key, timer_values, expired):
+        yield from self.dropped(key[0], self.version.get()[0], expired.getExpiryTimeInMs() * 1000 - self.grace)
+
+    def dropped(self, source: str, at: int, until: int) -> Iterator[Row]:
+        """Events that the newest snapshot lacks, last seen at `until` or before, go."""
+        for name, v in [(name, v) for name, v in self.events.iterator() if v[0] < at and v[0] <= until]:
+            self.events.removeKey(name)
+            yield change(source, name[0], at, "removed", v[1], v[2])
+
+    def close(self) -> None:
+        pass
+
+
+def snapshot_changes(snapshots: DataFrame, late: str = "0 seconds", grace_seconds: int = 0) -> DataFrame:
+    """(source, event_id, version, change, title, agenda_text): what each snapshot of a source adds to, changes in and removes from
+    its events, on a stream of snapshots (source, version, events: array of event_id, title, agenda_text).
+
+    A snapshot that isn't newer than the newest one seen of its source changes nothing, so late and repeated ones do no harm. An
+    event that a newer snapshot lacks goes at once or, with a grace, when the watermark has passed the version that lacked
+    it by that long and no snapshot has brought it back. State is one row for each event of a source; it needs the RocksDB state
+    store."""
+    own = snapshots.withWatermark("version", late).withColumn("at", F.unix_micros("version"))
+    out = own.groupBy("source").transformWithState(SnapshotState(grace_seconds), StructType.fromDDL(CHANGES), "append", "EventTime")
+    return out.select("source", "event_id", F.timestamp_micros("at").alias("version"), "change", "title", "agenda_text")
+
+
+def snapshot_of(snapshots: DataFrame) -> DataFrame:
+    """(source, event_id, title, agenda_text): the events of each source's newest snapshot, each with the newest agenda text that
+    was fetched since it is listed without a break; the batch that snapshot_changes adds up to."""
+    rows = snapshots.dropDuplicates(["source", "version"])
+    order = Window.partitionBy("source").orderBy("version")
+    rows = rows.withColumn("no", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("source")))
+    each = rows.select("source", "no", "of", F.inline("events")).groupBy("source", "no", "of", "event_id").agg(F.last("title").alias("title"), F.last("agenda_text").alias("agenda_text"))
+    by = Window.partitionBy("source", "event_id").orderBy("no")
+    run = each.withColumn("run", F.col("no") - F.row_number().over(by))  # equal along versions without a gap
+    along = Window.partitionBy("source", "event_id", "run").orderBy("no")
+    kept = run.withColumn("agenda_text", F.last("agenda_text", ignorenulls=True).over(along))
+    return kept.where(F.col("no") == F.col("of")).select("source", "event_id", "title", "agenda_text")
