@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from collections.abc import Sequence
@@ -44,11 +45,27 @@ def _marked() -> tuple[str, str]:
 ACCENTED = _marked()
 
 
+def _joined() -> dict[str, str]:
+    """Signs that compatibility decomposition spells with several ASCII characters, as ligatures and fractions."""
+    found = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if x.isascii()) for c in range(0xA0, 0x10000)}
+    return {k: v for k, v in found.items() if len(v) > 1}
+
+
+JOINED = _joined()
+
+
 def bind(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.transform(F.array(value), body)[0]
 
 
+def spelled(text: Column) -> Column:
+    """text with ligatures, fractions and the like spelled out."""
+    signs = F.from_json(F.lit(json.dumps(JOINED)), "map<string,string>")
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(signs, c), c))
+    return F.when(text.rlike("[" + "".join(JOINED) + "]"), F.array_join(each, "")).otherwise(text)
+
+
 def name_tokens(name: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(name, "[,.]", " "), r"\s+"), lambda t: t != "")
 
@@ -63,7 +80,7 @@ def slugify(name: Column) -> Column:
         first = F.coalesce(F.array_position(F.transform(tokens, lambda t: F.when(F.lower(t).isin(*ARTICLES), "x").otherwise("y")), "y"), F.lit(0)).cast("int")
         return F.when(first == 0, F.lit("")).otherwise(F.array_join(F.slice(tokens, F.greatest(first, F.lit(1)), F.size(tokens)), "-"))
 
-    slug = bind(name_tokens(F.translate(display_name(name), *ACCENTED)), without_articles)
+    slug = bind(name_tokens(F.translate(display_name(spelled(name)), *ACCENTED)), without_articles)
     slug = F.regexp_replace(F.regexp_replace(F.lower(slug), "[^a-z0-9-]", ""), "-+", "-")
     return F.regexp_replace(slug, "^-|-$", "")
 

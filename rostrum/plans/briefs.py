@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum.operators import briefs as B
+from rostrum.operators import fiscal as V
 from rostrum.operators import layers as L
 from rostrum.operators import patterns as W
 from rostrum.operators import sites as T
@@ -99,3 +100,36 @@ def j33_wildcards(s, d):  # J33: identifiers with wildcards
     pattern = F.when(k % 5 == 0, F.concat(F.lit("PIN "), text, F.lit("? 4"))).when(k % 5 == 1, F.concat(F.lit("*"), text, F.lit(" 4"))).when(k % 5 == 2, F.concat(F.lit("PIN*"), (k % 7).cast("string"), F.lit("? ?"))).when(k % 5 == 3, "????????").otherwise(F.concat(F.lit("PIN "), text, F.lit(" 4")))
     values = load(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("PIN "), F.col("c_custkey").cast("string"), F.lit(" 4")).alias("pin"))
     return W.pattern_join(values, load(s, d, "supplier").select(k.alias("mask"), pattern.alias("pattern")), "pin", "pattern").select("id", "mask")
+
+
+SLOTS = "slots(slot, cv, veh, vav, sales, stu, mcf, occ, hh) AS (VALUES ('v', 275.0::DOUBLE, 1.4::DOUBLE, 14000.0::DOUBLE, 400.0::DOUBLE, 0.1::DOUBLE, 0.4::DOUBLE, 0.95::DOUBLE, 1.8::DOUBLE), ('l', 200, 1.0, 9000, 250, 0.05, 0.25, 0.9, 1.5), ('h', 400, 1.8, 20000, 600, 0.15, 0.6, 0.97, 2.2))"
+RANGE = "Net annual fiscal impact (range across both cost methods)"
+
+
+@query(oracle=f"""WITH {SLOTS}, c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM (SELECT CAST(floor(p_retailprice * 100) AS DOUBLE) AS x FROM part WHERE 1990 + p_partkey % 40 >= 2011)),
+    q AS (SELECT median(x) AS v, sum(CASE WHEN i = floor(0.25 * (n + 1)) THEN x * (1 - (0.25 * (n + 1) - floor(0.25 * (n + 1)))) WHEN i = floor(0.25 * (n + 1)) + 1 THEN x * (0.25 * (n + 1) - floor(0.25 * (n + 1))) ELSE 0 END) AS l, sum(CASE WHEN i = floor(0.75 * (n + 1)) THEN x * (1 - (0.75 * (n + 1) - floor(0.75 * (n + 1)))) WHEN i = floor(0.75 * (n + 1)) + 1 THEN x * (0.75 * (n + 1) - floor(0.75 * (n + 1))) ELSE 0 END) AS h FROM c),
+    s AS (SELECT s_suppkey AS site, CAST(s_suppkey % 200 AS DOUBLE) AS units, CASE WHEN s_suppkey % 5 <> 0 THEN 1e6 + s_suppkey * 1000.0 END AS av, CAST((s_suppkey % 4) * 5000 AS DOUBLE) AS retail FROM supplier),
+    x AS (SELECT s.*, slot, units * CASE slot WHEN 'v' THEN q.v WHEN 'l' THEN q.l ELSE q.h END + retail * cv AS pv, units * occ AS hhs, units * occ * hh AS people, units * stu AS pupils, slots.* EXCLUDE (slot) FROM s, slots, q),
+    y AS (SELECT *, CASE WHEN units > 0 THEN pv * 0.010725 END AS tax, hhs * veh * vav * 0.0413 AS cars, CASE WHEN retail > 0 THEN retail * sales * 0.002 END AS bpol, CASE WHEN site % 3 <> 0 THEN hhs * 1000 * 0.5 * 0.045 END AS meals, CASE WHEN site % 3 <> 0 THEN hhs * 3000 * 0.4 * 0.01 END AS retail_tax,
+      people * (207912496 - 76429791) / 25026.0::DOUBLE AS other, pupils * (76429791 - 14492271) / 3103.0::DOUBLE AS school FROM x),
+    z AS (SELECT *, coalesce(tax - av * 0.010725, tax, 0) + cars + coalesce(bpol, 0) + coalesce(meals, 0) + coalesce(retail_tax, 0) AS revenue, other + school AS naive, other * mcf + school AS marginal FROM y),
+    m AS (SELECT site, slot, unnest(['Current real estate tax (site)', 'Projected real estate tax', 'Real estate tax increase', 'Personal property tax on resident vehicles (rough estimate)', 'BPOL business license tax on project retail (rough estimate)', 'Meals tax on captured in-city dining', 'Local sales tax share on captured in-city retail', 'Estimated K-12 students', 'Annual school cost within the service-cost estimates', 'Annual service cost — naive per-capita method', 'Annual service cost — marginal framing']) AS metric,
+      unnest([av * 0.010725, tax, tax - av * 0.010725, cars, bpol, meals, retail_tax, pupils, school, naive, marginal]) AS a FROM z),
+    p AS (SELECT site, metric, max(a) FILTER (slot = 'v') AS value, max(a) FILTER (slot = 'l') AS low, max(a) FILTER (slot = 'h') AS high FROM m WHERE a IS NOT NULL GROUP BY 1, 2),
+    n AS (SELECT v.site, round(v.revenue - (v.naive + v.marginal) / 2) AS value, round(l.revenue - h.naive) AS low, round(h.revenue - l.marginal) AS high FROM z AS v JOIN z AS l ON l.site = v.site AND l.slot = 'l' JOIN z AS h ON h.site = v.site AND h.slot = 'h' WHERE v.slot = 'v')
+    SELECT site, metric, round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high FROM p UNION ALL SELECT site, '{RANGE}', value, low, high FROM n""")
+def g21_fiscal_module(s, d):  # G21, A16, J36: taxes, costs and the net, from comps and the economic module's metrics
+    k = F.col("s_suppkey")
+    sup, part = load(s, d, "supplier"), load(s, d, "part")
+    sites = sup.select(k.alias("site"), (k % 200).cast("double").alias("units"), F.lit(2.0).alias("acres"), F.when(k % 5 != 0, 1e6 + k * 1000.0).alias("assessed_value"), (k % 4 * 5000).cast("double").alias("retail_sqft"))
+    comps = part.select(F.col("p_partkey").alias("pin"), (1990 + F.col("p_partkey") % 40).alias("year_built"), F.floor(F.col("p_retailprice") * 100).alias("per_unit_value"))
+    homes = V.demand_basis(sites)
+    prior = homes.where("metric in ('New households', 'New residents')")
+    lived = homes.where("metric = 'New households' and site % 3 <> 0")
+    scaled = lambda name, f: lived.select("site", F.lit(name).alias("metric"), *[(F.col(c) * f).alias(c) for c in ("value", "low", "high")])
+    fixed = lambda name, v: lived.select("site", F.lit(name).alias("metric"), F.lit(v).alias("value"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    for row in (scaled(V.PRIOR["dining"], 1000.0), scaled(V.PRIOR["grocery"], 500.0), scaled(V.PRIOR["comparison"], 1500.0), scaled(V.PRIOR["convenience"], 1000.0), fixed(V.PRIOR["food_share"], 0.5), fixed(V.PRIOR["retail_share"], 0.4)):
+        prior = prior.unionByName(row)
+    out = V.fiscal_metrics(sites, comps, prior, 2026)
+    shown = ~F.col("metric").isin("Current value per acre", "Projected value per acre", "Projected assessed value", "Net annual fiscal impact — naive per-capita method", "Net annual fiscal impact — marginal framing")
+    return out.where(shown).select("site", "metric", *[F.round(c, 6).alias(c) for c in ("value", "low", "high")])

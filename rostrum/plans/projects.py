@@ -97,13 +97,11 @@ def u04_shared_nodes(s, d):  # U04
     return G.shared_nodes(edges, streets.select(F.col("street").alias("a")).join(streets.select(F.col("street").alias("b")), F.col("a") < F.col("b")))
 
 
-@query("edges", """WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY u, v, minutes) AS edge, u % 5 AS street, u, v, minutes AS length FROM edges), p AS (SELECT street, edge, u AS node FROM e UNION ALL SELECT street, edge, v FROM e),
+@query("edges", """WITH RECURSIVE e AS (SELECT CAST(u * 100000 + v * 100 + minutes AS BIGINT) AS edge, u % 5 AS street, u, v, minutes AS length FROM edges), p AS (SELECT street, edge, u AS node FROM e UNION ALL SELECT street, edge, v FROM e),
     j AS (SELECT street, node, min(edge) AS a, max(edge) AS b FROM p GROUP BY 1, 2 HAVING count(*) = 2), l AS (SELECT a, b FROM j UNION SELECT b, a FROM j UNION SELECT edge, edge FROM e), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
     root AS (SELECT a AS edge, min(b) AS run FROM r GROUP BY 1) SELECT street, run, count(*) AS pieces, sum(length) AS length FROM e JOIN root USING (edge) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY street ORDER BY sum(length) DESC, run) = 1""")
 def g12_longest_runs(s, d):  # G12: merged pieces, the longest of a street
-    from pyspark.sql import Window
-
-    edge = F.row_number().over(Window.orderBy("u", "v", "minutes"))  # a street network's few edges
+    edge = (F.col("u") * 100000 + F.col("v") * 100 + F.col("minutes")).cast("long")
     return G.longest_runs(load(s, d, "edges").select(edge.alias("edge"), (F.col("u") % 5).alias("street"), "u", "v", F.col("minutes").alias("length")))
 
 
