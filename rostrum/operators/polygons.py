@@ -7,7 +7,7 @@ small, and a point looks itself up once for each size class there is."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.operators.spatial import segment_distance
@@ -141,6 +141,27 @@ def in_band(polygons: DataFrame, lines: DataFrame, key: str, line: str, distance
     return near.unionByName(inside).groupBy(key, line).agg(F.min("d").alias("d"))
 
 
+def near_lines(points: DataFrame, lines: DataFrame, key: str, line: str, distance: float) -> DataFrame:
+    """(line, key, d, along): the points (key, x, y) at most `distance` from each of lines (line, path), how far they are, and how far
+    along the line its place nearest to them is, the first of equal ones."""
+    path = F.col("path")
+    pair = F.posexplode(F.arrays_zip(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))).alias("a"), F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))).alias("b"))).alias("n", "s")
+    own = lines.where(F.size("path") > 1).select(line, pair).select(line, "n", *[F.col(f"s.{e}.{c}").cast("double").alias(e + c) for e in "ab" for c in "xy"])
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    length = F.sqrt(dx * dx + dy * dy)
+    before = Window.partitionBy(line).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_start", F.coalesce(F.sum(length).over(before), F.lit(0.0)))
+    cell = F.lit(float(max(distance, own.agg(F.avg(F.greatest(F.abs(dx), F.abs(dy)))).first()[0] or 0.0, 1e-9)))
+    cells = crossed_cells(own.withColumn("cell", cell), 1).drop("cell")
+    at = lambda c: F.floor(F.col(c).cast("double") / cell)
+    placed = points.where("x is not null and y is not null").select(key, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), at("x").alias("cx"), at("y").alias("cy"))
+    met = placed.join(cells, ["cx", "cy"])
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    gap_ = segment_distance(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    near = met.select(line, key, gap_.alias("d"), (F.col("_start") + t * length).alias("along")).where(F.col("d") <= distance)
+    return near.groupBy(line, key).agg(F.min(F.struct("d", "along")).alias("b")).select(line, key, "b.d", "b.along")
+
+
 def dissolved(polygons: DataFrame, group: str, key: str, grain: float = 1e-3) -> DataFrame:
     """(group, ax, ay, bx, by): the outline of the union of each group's polygons, the inside to the left of each piece.
 

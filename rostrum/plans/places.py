@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rostrum.operators import corridors as K
 from rostrum.operators import graph as G
 from rostrum.operators import polygons as P
+from rostrum.operators import trails as R
 from rostrum.plans.registry import registry
 from rostrum.sources.tables import load
 
@@ -143,3 +144,53 @@ def g11_corridors(s, d):  # G11: cost of the way, which is its length where it k
     paid = steps.groupBy("request").agg(F.sum(cost).alias("cost"))
     note = F.regexp_replace("note", r"\bcol (\d+) Ave\b", "Col $1 Avenue")
     return found.join(paid, "request", "left").select("request", "method", "cost", note.alias("note"))
+
+
+PATHS = "paths AS (SELECT n_nationkey AS line, 90.0::DOUBLE * (n_nationkey % 12) + 20 AS y0, CASE WHEN n_nationkey % 6 = 5 THEN 5000.0::DOUBLE ELSE 0 END AS x0 FROM nation), spots AS (SELECT s_suppkey AS node, (s_suppkey % 10) * 100.0::DOUBLE AS x, floor(s_suppkey / 10) * 100.0::DOUBLE AS y FROM supplier)"
+FLAT = "sqrt(pow(greatest(x0 - x, 0, x - x0 - 850), 2) + pow(y - y0, 2))"
+
+
+def _paths(s, d, key):
+    n = F.col("n_nationkey")
+    x, y = F.when(n % 6 == 5, 5000.0).otherwise(0.0), 90.0 * (n % 12) + 20.0
+    at = lambda dx: F.struct((x + dx).alias("x"), y.alias("y"))
+    return load(s, d, "nation").select(n.alias(key), F.array(at(0.0), at(400.0), at(850.0)).alias("path"))
+
+
+def _spots(s, d):
+    k = F.col("s_suppkey")
+    return load(s, d, "supplier").select(k.alias("node"), (k % 10 * 100.0).alias("x"), (F.floor(k / 10) * 100.0).alias("y"))
+
+
+@query("streets", f"""WITH RECURSIVE {PATHS}, starts AS (SELECT line, node FROM paths, spots WHERE {FLAT} <= 50), w(source, node, spent) USING KEY (source, node) AS (SELECT line, node, 0.0::DOUBLE FROM starts UNION SELECT w.source, e.v, min(w.spent + e.minutes) FROM w JOIN streets AS e ON e.u = w.node LEFT JOIN recurring.w AS r ON r.source = w.source AND r.node = e.v WHERE r.spent IS NULL OR w.spent + e.minutes < r.spent GROUP BY 1, 2),
+    c AS (SELECT source AS line, sum(pop * exp(-0.1 * spent)) AS v, sum(pop * exp(-0.15 * spent)) AS l, sum(pop * exp(-0.05 * spent)) AS h FROM w JOIN (SELECT s_suppkey AS node, 1 + s_suppkey % 7 AS pop FROM supplier) USING (node) GROUP BY 1),
+    shop AS (SELECT line, CASE node % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'c' ELSE 'o' END AS g FROM paths, spots WHERE {FLAT} <= 100), m AS (SELECT line, count(*) AS n, count(*) FILTER (g = 'r') / count(*) AS r, count(*) FILTER (g = 'c') / count(*) AS c, count(*) FILTER (g = 'o') / count(*) AS o FROM shop GROUP BY 1),
+    k AS (SELECT line, count(*) AS nodes FROM starts GROUP BY 1)
+    SELECT line AS corridor, coalesce(k.nodes, 0) AS nodes, CASE WHEN k.nodes IS NOT NULL THEN coalesce(m.n, 0) END AS shops, round(c.v, 6) AS catchment, round(c.l * 0.02 * 0.03, 8) AS visits_low, round(c.v * 0.035 * 0.1 * 365 * (12 * m.r + 8 * m.c + 10 * m.o), 5) AS spending, round(c.h * 0.05 * 0.2 * 365 * (17 * m.r + 11 * m.c + 20 * m.o), 5) AS spending_high,
+    CASE WHEN k.nodes IS NULL THEN 'the corridor touches no nodes' WHEN m.n IS NULL THEN 'no retail beside the corridor' END AS note FROM paths LEFT JOIN k USING (line) LEFT JOIN c USING (line) LEFT JOIN m USING (line)""")
+def g22_bike_corridors(s, d):  # G22, G02, J26, A17, A18: from the line to what is spent beside it
+    spots, k = _spots(s, d), F.col("node")
+    taxonomy = F.when(k % 3 == 0, "restaurant_bar").when(k % 3 == 1, "retail_convenience").otherwise("retail_comparison")
+    shops = spots.select(k.alias("shop"), taxonomy.alias("taxonomy"), "x", "y")
+    blocks = spots.select("node", (1 + k % 7).cast("double").alias("pop"))
+    out, _ = R.bike_corridors(_paths(s, d, "corridor"), spots, load(s, d, "streets"), blocks, shops)
+    return out.select("corridor", "nodes", "shops", F.round("catchment.value", 6).alias("catchment"), F.round("visits.low", 8).alias("visits_low"), F.round("spending.value", 5).alias("spending"), F.round("spending.high", 5).alias("spending_high"), "note")
+
+
+@query("streets", f"""WITH RECURSIVE {PATHS}, near AS (SELECT line, node, least(greatest(x - x0, 0), 850) AS place FROM paths, spots WHERE {FLAT} <= 50), o AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY place, node) AS n FROM near),
+    f AS (SELECT line, node, place, n, place AS kept, TRUE AS ok FROM o WHERE n = 1 UNION ALL SELECT o.line, o.node, o.place, o.n, CASE WHEN o.place - f.kept >= 250 THEN o.place ELSE f.kept END, o.place - f.kept >= 250 FROM f JOIN o ON o.line = f.line AND o.n = f.n + 1), access AS (SELECT line, node, place FROM f WHERE ok),
+    w(source, node, spent) USING KEY (source, node) AS (SELECT DISTINCT node, node, 0.0::DOUBLE FROM access UNION SELECT w.source, e.v, min(w.spent + e.length) FROM w JOIN streets AS e ON e.u = w.node LEFT JOIN recurring.w AS r ON r.source = w.source AND r.node = e.v WHERE r.spent IS NULL OR w.spent + e.length < r.spent GROUP BY 1, 2),
+    home AS (SELECT a.line, w.node AS block, min([w.spent, a.place, a.node]) AS b FROM access AS a JOIN w ON w.source = a.node GROUP BY 1, 2), people AS (SELECT line, CAST(b[3] AS BIGINT) AS access, sum((1 + block % 7) * exp(-0.333 * b[1] / 1000)) AS v, sum((1 + block % 7) * exp(-0.45 * b[1] / 1000)) AS l, sum((1 + block % 7) * exp(-0.25 * b[1] / 1000)) AS h FROM home GROUP BY 1, 2),
+    sums AS (SELECT line, sum(v) AS v, sum(l) AS l, sum(h) AS h FROM people GROUP BY 1), pull AS (SELECT a.line, a.node AS access, w.node AS shop, exp(-0.1 * w.spent * 0.0125) AS p, sum(exp(-0.1 * w.spent * 0.0125)) OVER (PARTITION BY a.line, a.node) AS every FROM access AS a JOIN w ON w.source = a.node WHERE w.node % 2 = 0),
+    shop AS (SELECT pull.line, shop, sum(people.v / sums.v * p / every) * any_value(sums.v) * 12 * 7.5 AS dollars FROM pull JOIN people ON people.line = pull.line AND people.access = pull.access JOIN sums ON sums.line = pull.line GROUP BY 1, 2),
+    best AS (SELECT line, max(dollars) AS top, sum(dollars) AS dealt FROM shop GROUP BY 1), lot AS (SELECT line, count(*) AS parcels, sum(1000.0::DOUBLE * (1 + node % 9)) AS assessed FROM paths, spots WHERE sqrt(pow(greatest(x0 - (x + 40), 0, x - x0 - 850), 2) + pow(greatest(y0 - (y + 40), 0, y - y0), 2)) <= 1650 / 3.28084 GROUP BY 1),
+    n AS (SELECT line, count(*) AS access FROM access GROUP BY 1)
+    SELECT line AS trail, coalesce(n.access, 0) AS access, round(sums.v, 6) AS catchment, round(sums.l * 6 * 6, 5) AS spending_low, round(dealt, 5) AS dealt, round(top, 5) AS top, coalesce(parcels, 0) AS parcels, CASE WHEN n.access IS NOT NULL AND assessed > 0 THEN round(assessed * 0.03 * 0.010725, 6) END AS tax FROM paths LEFT JOIN n USING (line) LEFT JOIN sums USING (line) LEFT JOIN best USING (line) LEFT JOIN lot USING (line)""")
+def g23_trails(s, d):  # G23, G03, J27, W11, A18: access points, people, shops and parcels of each trail
+    spots, k = _spots(s, d), F.col("node")
+    corner = lambda i, j: F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"))
+    lots = spots.select(k.alias("pin"), F.array(F.array(corner(0, 0), corner(40, 0), corner(40, 40), corner(0, 40))).alias("rings"), (1000.0 * (1 + k % 9)).alias("assessed"))
+    blocks = spots.select(k.alias("block"), "node", (1 + k % 7).cast("double").alias("pop"))
+    out, each = R.trails(_paths(s, d, "trail"), spots, load(s, d, "streets"), blocks, spots.where(k % 2 == 0).select(k.alias("shop"), "node"), lots)
+    dealt = each.groupBy("trail").agg(F.max("dollars.value").alias("top"), F.sum("dollars.value").alias("dealt"))
+    return out.join(dealt, "trail", "left").select("trail", "access", F.round("catchment.value", 6).alias("catchment"), F.round("spending.low", 5).alias("spending_low"), F.round("dealt", 5).alias("dealt"), F.round("top", 5).alias("top"), "parcels", F.round("tax.value", 6).alias("tax"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from rostrum.operators import corridors as K
 from rostrum.operators import graph as G
+from rostrum.operators import models as Z
 from rostrum.operators import polygons as P
+from rostrum.operators import trails as R
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -248,3 +250,75 @@ def test_whole_street_is_its_longest_stretch_inside(spark):
     assert got[0] == ("whole street", 200.0, None) and parts[0] == {frozenset((3, 4)), frozenset((4, 5))}
     got, _ = asked(spark, nodes, cut, ("Main Street", None, None), inside=[10, 11])
     assert got[0][2] == "the street isn't inside the boundary"
+
+
+# lines through a network
+
+
+def test_points_near_lines_and_how_far_along(spark):
+    rng = random.Random(9)
+    lines = {k: [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(rng.randint(2, 5))] for k in range(12)} | {20: [(5.0, 5.0)], 21: []}
+    points = {k: (rng.uniform(-5, 65), rng.uniform(-5, 65)) for k in range(150)}
+    want = {}
+    for n, path in lines.items():
+        for k, (x, y) in points.items():
+            best, walked = None, 0.0
+            for (ax, ay), (bx, by) in zip(path, path[1:], strict=False):
+                dx, dy = bx - ax, by - ay
+                t = max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
+                found = (math.hypot(x - ax - t * dx, y - ay - t * dy), walked + t * math.hypot(dx, dy))
+                best = min(best or found, found)
+                walked += math.hypot(dx, dy)
+            if best and best[0] <= 4:
+                want[n, k] = (round(best[0], 6), round(best[1], 6))
+    got = P.near_lines(spark.createDataFrame([(k, *v) for k, v in points.items()] + [(999, None, 1.0)], "id int, x double, y double"), spark.createDataFrame(list(lines.items()), "line int, path array<struct<x:double,y:double>>"), "id", "line", 4.0)
+    assert {(r.line, r.id): (round(r.d, 6), round(r.along, 6)) for r in got.collect()} == want and len(want) > 50
+
+
+def network(spark):
+    """Nodes 0 to 9, 100 apart along a street, and the street."""
+    nodes = spark.createDataFrame([(k, 100.0 * k, 0.0) for k in range(10)], "node int, x double, y double")
+    edges = spark.createDataFrame([(u, v, 1.0, 100.0) for k in range(9) for u, v in ((k, k + 1), (k + 1, k))], "u int, v int, minutes double, length double")
+    return nodes, edges
+
+
+def test_bike_spending_is_dealt_in_full(spark):
+    nodes, edges = network(spark)
+    lines = spark.createDataFrame([(1, [(0.0, 10.0), (300.0, 10.0)]), (2, [(0.0, 9000.0), (300.0, 9000.0)]), (3, [(850.0, 20.0), (900.0, 20.0)])], "corridor int, path array<struct<x:double,y:double>>")
+    blocks = spark.createDataFrame([(k, 100.0) for k in range(10)] + [(77, 1e6)], "node int, pop double")
+    shops = spark.createDataFrame([(1, "restaurant_bar", 10.0, 50.0), (2, "grocery", 20.0, 50.0), (3, "retail_comparison", 30.0, 90.0), (4, "retail_convenience", 30.0, 500.0)], "shop int, taxonomy string, x double, y double")
+    out, each = R.bike_corridors(lines, nodes, edges, blocks, shops)
+    got = {r.corridor: r for r in out.collect()}
+    minutes = [0, 0, 0, 0, 1, 2, 3, 4, 5, 6]
+    v, lo, hi = Z.ASSUMPTIONS["beta_bike"]
+    people = [sum(100 * math.exp(-b * t) for t in minutes) for b in (v, hi, lo)]
+    assert [got[1].catchment[k] for k in range(3)] == pytest.approx(people) and got[1].shops == 3 and got[1].note is None
+    assert got[1].spending.value == pytest.approx(people[0] * 0.035 * 0.1 * 365 * (12 / 3 + 10 * 2 / 3)) and got[1].catchment.low < got[1].catchment.value < got[1].catchment.high
+    dealt = each.where("corridor = 1").agg(*[F.sum(f"dollars.{c}") for c in ("value", "low", "high")]).first()
+    assert list(dealt) == pytest.approx(list(got[1].spending)) and got[1].uplift.value == pytest.approx(got[1].spending.value / (3 * 800000))
+    assert (got[2].note, got[2].catchment, got[2].spending, got[2].shops) == ("the corridor touches no nodes", None, None, None)
+    assert got[3].note == "no retail beside the corridor" and got[3].catchment.value > 0 and got[3].spending is None
+
+
+def test_trail_spending_is_dealt_in_full(spark):
+    nodes, edges = network(spark)
+    lines = spark.createDataFrame([(1, [(0.0, 10.0), (620.0, 10.0)]), (2, [(0.0, 9000.0), (300.0, 9000.0)])], "trail int, path array<struct<x:double,y:double>>")
+    blocks = spark.createDataFrame([(k, k, 10.0 + k) for k in range(10)], "block int, node int, pop double")
+    shops = spark.createDataFrame([(1, 0), (2, 9), (3, 55)], "shop int, node int")
+    lot = lambda x, y: [[(x, y), (x + 10, y), (x + 10, y + 10)]]
+    parcels = spark.createDataFrame([("a", lot(0.0, 400.0), 1000.0), ("b", lot(0.0, 600.0), 500.0), ("c", lot(50.0, -300.0), None)], f"pin string, rings {RINGS}, assessed double")
+    assert sorted((r.trail, r.node, r.along) for r in R.access_points(lines, nodes).collect()) == [(1, 0, 0.0), (1, 3, 300.0), (1, 6, 600.0)]
+    out, each = R.trails(lines, nodes, edges, blocks, shops, parcels)
+    got = {r.trail: r for r in out.collect()}
+    km = [0, 0.1, 0.1, 0, 0.1, 0.1, 0, 0.1, 0.2, 0.3]
+    assert got[1].access == 3 and got[1].catchment.value == pytest.approx(sum((10 + k) * math.exp(-0.333 * d) for k, d in enumerate(km)))
+    assert (got[1].parcels, got[1].assessed) == (2, 1000.0) and got[1].tax.value == pytest.approx(1000 * 0.03 * 0.010725)
+    dealt = each.agg(*[F.sum(f"dollars.{c}") for c in ("value", "low", "high")]).first()
+    assert list(dealt) == pytest.approx(list(got[1].spending)) and {r.shop for r in each.collect()} == {1, 2}
+    assert (got[2].note, got[2].access, got[2].spending) == ("the trail touches no nodes", 0, None)
+
+
+def test_access_points_are_thinned_evenly(spark):
+    nodes = spark.createDataFrame([(k, 256.0 * k, 0.0) for k in range(97)], "node int, x double, y double")
+    line = spark.createDataFrame([(1, [(0.0, 0.0), (25000.0, 0.0)])], "trail int, path array<struct<x:double,y:double>>")
+    assert sorted(r.node for r in R.access_points(line, nodes).collect()) == [int(i * 97 / 40) for i in range(40)]
