@@ -48,22 +48,48 @@ def counts_near(nodes: DataFrame, points: DataFrame, radius: float, kind: str, k
 
 
 def nearest(from_: DataFrame, to: DataFrame, key: str, to_key: str, first: float) -> DataFrame:
-    """(key, to_key, d): the nearest of `to`, the smallest key of equal ones; rings widen fourfold until all have one, or
-    until a ring spans all places. Rows whose place is null have none, nor has any row where `to` has no places."""
+    """(key, to_key, d): the nearest of `to`, the smallest key of equal ones. Rows that have one within `first` are done by one join
+    of neighbouring cells; the others look for theirs in a tree of cells. Rows whose place is null have none, nor has any row where
+    `to` has no places."""
     from rostrum.operators.graph import cut_lineage
 
-    ends = from_.select("x", "y").unionByName(to.select("x", "y")).agg(*[f(c) for c in ("x", "y") for f in (F.max, F.min)]).first()
-    span = math.hypot(*[(a - b) if a is not None else 0.0 for a, b in ((ends[0], ends[1]), (ends[2], ends[3]))])
-    left, found, radius = from_, None, first / 4
-    while found is None or radius < span:
-        radius *= 4
-        best = within(left, to, radius, key, to_key).groupBy(key).agg(F.min(F.struct("d", F.col(f"p_{to_key}").alias(to_key))).alias("b")).select(key, f"b.{to_key}", "b.d")
-        best = cut_lineage(best)  # else each ring would work out all the rings before it twice
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(key), key, "left_anti")
-        if radius < span and left.limit(1).count() == 0:
-            break
-    return found
+    best = within(from_, to, first, key, to_key).groupBy(key).agg(F.min(F.struct("d", F.col(f"p_{to_key}").alias(to_key))).alias("b")).select(key, f"b.{to_key}", "b.d")
+    best = cut_lineage(best)
+    left = cut_lineage(from_.where("x is not null and y is not null").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(best.select(key), key, "left_anti"))
+    return best.unionByName(nearest_by_tree(left, to, key, to_key)) if left.limit(1).count() else best
+
+
+#: Levels of the tree whose cells, 16 times as many each, are few enough to be broadcast: 65,536 in the last.
+BROADCAST_LEVELS = 4
+
+
+def nearest_by_tree(from_: DataFrame, to: DataFrame, key: str, to_key: str) -> DataFrame:
+    """nearest for rows that may be far from all of `to`. The square around the places is cut into 4 x 4 cells again and again.
+    Each row keeps the cells that may hold its nearest place: those no farther than the farthest corner of the best one, by
+    the box around the places in each. So a row meets a few cells a level, and places only in the last ones."""
+    from rostrum.operators.graph import cut_lineage
+
+    places = to.where("x is not null and y is not null").groupBy(F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty")).agg(F.min(to_key).alias(to_key))
+    places = cut_lineage(places)
+    n, west, east, south, north = places.agg(F.count(F.lit(1)), F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
+    if not n:
+        return from_.join(places.select(to_key), F.lit(False)).select(key, to_key, F.lit(0.0).alias("d"))
+    size = max(east - west, north - south, 1e-9) * (1 + 1e-9)
+    cell = lambda s: (F.floor((F.col("tx") - west) / s).alias("cx"), F.floor((F.col("ty") - south) / s).alias("cy"))
+    open_ = from_.select(key, "x", "y", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    for level in range(1, math.ceil(math.log(n, 16)) + 2):
+        size /= 4
+        boxes = places.groupBy(*cell(size)).agg(F.min("tx").alias("w"), F.max("tx").alias("e"), F.min("ty").alias("s"), F.max("ty").alias("n"))
+        boxes = boxes.select("w", "e", "s", "n", F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.floor(F.col("cx") / 4).alias("cx"), F.floor(F.col("cy") / 4).alias("cy"))
+        met = open_.join(F.broadcast(boxes) if level <= BROADCAST_LEVELS else boxes, ["cx", "cy"])
+        off = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0.0))
+        far = lambda c, lo, hi: F.greatest(F.abs(F.col(c) - F.col(lo)), F.abs(F.col(c) - F.col(hi)))
+        met = met.withColumn("low", F.hypot(off("x", "w", "e"), off("y", "s", "n"))).withColumn("high", F.hypot(far("x", "w", "e"), far("y", "s", "n")))
+        best = met.groupBy(key).agg(F.min("high").alias("best"))
+        open_ = cut_lineage(met.join(best, key).where(F.col("low") <= F.col("best") * (1 + 1e-12)).select(key, "x", "y", F.col("nx").alias("cx"), F.col("ny").alias("cy")))
+    met = open_.join(places.select("tx", "ty", to_key, *cell(size)), ["cx", "cy"])
+    d = distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
+    return met.groupBy(key).agg(F.min(F.struct(d.alias("d"), to_key)).alias("b")).select(key, f"b.{to_key}", "b.d")
 
 
 def same_name_pairs(points: DataFrame, name: str, key: str, radius: float) -> DataFrame:

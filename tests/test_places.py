@@ -322,3 +322,19 @@ def test_access_points_are_thinned_evenly(spark):
     nodes = spark.createDataFrame([(k, 256.0 * k, 0.0) for k in range(97)], "node int, x double, y double")
     line = spark.createDataFrame([(1, [(0.0, 0.0), (25000.0, 0.0)])], "trail int, path array<struct<x:double,y:double>>")
     assert sorted(r.node for r in R.access_points(line, nodes).collect()) == [int(i * 97 / 40) for i in range(40)]
+
+
+def test_nearest_places_near_and_far(spark):
+    from rostrum.operators import spatial as S
+
+    rng = random.Random(10)
+    to = {k: (rng.gauss(0, 3), rng.gauss(0, 3)) for k in range(300)} | {k: (50.0 + k % 7, 50.0) for k in range(300, 340)} | {400: (1e6, -1e6)}
+    from_ = {k: (rng.uniform(-20, 70), rng.uniform(-20, 70)) for k in range(150)} | {200: (1e5, 1e5), 201: (-1e9, 0.0), 202: (9e5, -9e5), 203: to[3], 204: (53.5, 50.0)}
+    want = {k: min((math.sqrt((x - a) ** 2 + (y - b) ** 2), n) for n, (a, b) in to.items()) for k, (x, y) in from_.items()}
+    table = spark.createDataFrame([(k, *v) for k, v in from_.items()] + [(999, None, 1.0)], "id int, x double, y double")
+    places = spark.createDataFrame([(k, *v) for k, v in to.items()] + [(998, None, 1.0)], "place int, x double, y double")
+    got = {r.id: (r.d, r.place) for r in S.nearest(table, places, "id", "place", 0.5).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()} and all(got[k][0] == pytest.approx(want[k][0]) for k in want)
+    assert S.nearest(table, places.where("place = 998"), "id", "place", 1.0).count() == 0
+    one = S.nearest(table, places.where("place = 400"), "id", "place", 1.0).collect()
+    assert len(one) == len(from_) and {r.place for r in one} == {400}
