@@ -13,6 +13,7 @@ from rostrum.plans.places import SIDES, held, parcels
 from rostrum.plans.registry import joined, registry
 from rostrum.plans.texts import TOK
 from rostrum.sources.tables import load
+from rostrum.streaming import streams as S
 
 QUERIES, ORACLES, query = registry()
 
@@ -133,3 +134,12 @@ def g21_fiscal_module(s, d):  # G21, A16, J36: taxes, costs and the net, from co
     out = V.fiscal_metrics(sites, comps, prior, 2026)
     shown = ~F.col("metric").isin("Current value per acre", "Projected value per acre", "Projected assessed value", "Net annual fiscal impact — naive per-capita method", "Net annual fiscal impact — marginal framing")
     return out.where(shown).select("site", "metric", *[F.round(c, 6).alias(c) for c in ("value", "low", "high")])
+
+
+@query("hits", """WITH RECURSIVE o AS (SELECT user_id % 5 AS ip, event_id, ts, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS n FROM hits WHERE event_type = 'signup'),
+    f AS (SELECT ip, n, event_id, [ts] AS live, TRUE AS allowed FROM o WHERE n = 1 UNION ALL
+    SELECT o.ip, o.n, o.event_id, CASE WHEN len(list_filter(f.live, lambda t: t >= o.ts - INTERVAL 24 HOUR)) < 10 THEN list_append(list_filter(f.live, lambda t: t >= o.ts - INTERVAL 24 HOUR), o.ts) ELSE list_filter(f.live, lambda t: t >= o.ts - INTERVAL 24 HOUR) END, len(list_filter(f.live, lambda t: t >= o.ts - INTERVAL 24 HOUR)) < 10 FROM f JOIN o ON o.ip = f.ip AND o.n = f.n + 1)
+    SELECT ip, event_id, allowed FROM f""")
+def r03_signup_limit(s, d):  # R03, W13: sign-ups from one address
+    own = load(s, d, "hits").where("event_type = 'signup'").withColumn("ip", F.col("user_id") % 5)
+    return S.rate_limit(own, 10, 24 * 3600, "ip")
