@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +90,15 @@ def own_names(body):
     return run
 
 
+def give_back() -> None:
+    """Hand the memory that Python, Arrow and the C library hold without use back to the system: a worker that waits for its next
+    task is small then, and an executor has as many as it has cores."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import running_total, stage_table
+from rostrum.llm.common import give_back, running_total, stage_table
 
 #: Words that a worker remembers the ids of; when there are more, it starts afresh. About 150 MB, which an idle worker
 #: lets go.
@@ -98,6 +98,7 @@ class WordIds(dict):
         def check() -> None:
             if self.tasks == seen:
                 self.forget()
+                give_back()
 
         timer = threading.Timer(seconds, check)
         timer.daemon = True
@@ -135,6 +136,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 columns = [pa.array(np.arange(at, at + len(out))), part.column(0), pa.array([len(x) // len(end) for x in out], pa.int64()), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "ids"])
                 at += len(out)
+        batch = part = out = columns = None
+        give_back()
         ids.forget_when_idle()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, n long, ids binary")
