@@ -264,7 +264,7 @@ def test_names_with_marks_and_street_suffixes(spark):
     rows = spark.createDataFrame([("Čeněk Őry",), ("É. Zoë Ñandú",), ("J. Łuk Ng",)], "n string").select(X.slugify(F.col("n")), X.display_name(F.col("n"))).collect()
     assert [tuple(r) for r in rows] == [("cenek-ory", "Čeněk Őry"), ("e-zoe-nandu", "É Zoë Ñandú"), ("uk-ng", "Łuk Ng")]
     joined = spark.createDataFrame([("Ĳssel Ave",), ("ﬁve ½ St",), ("A…B Ⅻ",), (None,)], "n string").select(X.slugify(F.col("n"))).collect()
-    assert [r[0] for r in joined] == ["ijssel-ave", "five-12-st", "xii", None]
+    assert [r[0] for r in joined] == ["ijssel-ave", "five-12-st", "xii", ""]
     streets = spark.createDataFrame([("Oak Av.",), ("Elm Cir",), ("Ivy Ter",), ("Main Sq",), ("Pine St",)], "n string").select(X.street_key(F.col("n"))).collect()
     assert [r[0] for r in streets] == ["oak avenue", "elm circle", "ivy terrace", "main square", "pine street"]
 
