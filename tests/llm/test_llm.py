@@ -552,7 +552,7 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert set(queries.QUERIES) == {f"op{n}_{x}" for n, x in zip(range(1, 11), ["mixing", "bm25_search", "ppm", "license_scan", "quality_rules", "html_text", "token_counts", "packing", "importance_resampling", "simhash"], strict=True)}
+    assert set(queries.QUERIES) == {f"op{n}_{x}" for n, x in zip(range(1, 14), ["mixing", "bm25_search", "ppm", "license_scan", "quality_rules", "html_text", "token_counts", "packing", "importance_resampling", "simhash", "line_dedup", "vector_codes", "periodic_runs"], strict=True)}
 
 
 def test_held_out_rows_by_crc(spark):
