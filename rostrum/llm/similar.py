@@ -1,6 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found exactly by prefix filtering.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints in a multi-index, and an exact way for the rest.
 
-Two sets of which the intersection is at least `least` of the union share one of the first n - ceil(least * n) + 1 members
+Each set of shingles has a fingerprint, which is looked up in the tables of `simhash`; what is found there is verified on the
+complete sets. Sets of a similarity of 0.8 mostly differ in more bits than any such table reaches, so prefix filtering finds
+all others. Two sets of which the intersection is at least `least` of the union share one of the first n - ceil(least * n) + 1 members
 of each, under any order that is the same for all sets. Shingles seen often in a sample of the texts come last in that
 order, which only keeps the buckets of a shingle small: it doesn't decide what is found. Every pair that meets in a bucket
 and could be similar by its sizes, its places and the members its prefixes share is verified on the complete sets, unless both
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.common import give_back, own_names, stage_table
-from rostrum.llm.simhash import components, few, one_of_each, rooted_groups
+from rostrum.llm.simhash import components, few, near_pairs, one_of_each, rooted_groups
 
 WIDTH = 5
 LEAST = 0.8
@@ -49,6 +51,14 @@ def set_key(text: str | None, width: int = WIDTH) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if len(own) else 0
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed long: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 15):
+        ones += np.unpackbits(own[at : at + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0])
+
+
 def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     """The members of a set by which it is found; `often` (sorted) and `counts` say which come late."""
     size = len(own) - math.ceil(least * len(own) - 1e-9) + 1
@@ -63,9 +73,9 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return same >= least * (len(a) + len(b) - same) - 1e-9
 
 
-def buckets(marked: DataFrame, least: float, width: int) -> DataFrame:
-    """(h, key, n, pos) for rows (_fp, text) of marked: each distinct set of n shingles under those of its prefix, at
-    place pos, that another set's prefix has too."""
+def buckets(marked: DataFrame, least: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """For rows (_fp, text) of marked, (key, n, first, print) of each distinct set of n shingles: its prefix and its
+    fingerprint; and (h, key, n, pos): the sets under those of their prefix, at place pos, that another set's prefix has too."""
     spark = marked.sparkSession
 
     @F.pandas_udf("array<long>")
@@ -79,26 +89,38 @@ def buckets(marked: DataFrame, least: float, width: int) -> DataFrame:
     order = np.argsort(h)
     often = spark.sparkContext.broadcast((h[order], n[order]))
 
-    @F.pandas_udf("n int, first array<long>")
+    @F.pandas_udf("n int, first array<long>, print long")
     def first_of(text: pd.Series) -> pd.DataFrame:
         sets = [shingles(x, width) for x in text]
-        out = pd.DataFrame({"n": [len(x) for x in sets], "first": [prefix(x, *often.value, least) for x in sets]})
+        out = pd.DataFrame({"n": [len(x) for x in sets], "first": [prefix(x, *often.value, least) for x in sets], "print": [fingerprint(x) for x in sets]})
         del sets
         give_back()
         return out
 
     own = marked.select(F.col("_fp").alias("key"), first_of("text").alias("p")).groupBy("key").agg(F.first("p").alias("p"))
-    entries = stage_table(own.select("key", "p.n", "p.first"), "prefixes").select("key", "n", F.posexplode("first").alias("pos", "h"))
+    own = stage_table(own.select("key", "p.n", "p.first", "p.print"), "prefixes")
+    entries = own.select("key", "n", F.posexplode("first").alias("pos", "h"))
     met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("h")
-    return stage_table(entries.join(met, "h").select("h", "key", "n", "pos"), "shared")
+    return own, stage_table(entries.join(met, "h").select("h", "key", "n", "pos"), "shared")
+
+
+def printed_pairs(own: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets of own (key, print) whose fingerprints the multi-index links, one set for each fingerprint,
+    and of the other sets of a fingerprint with that one."""
+    one = stage_table(own.groupBy("print").agg(F.min("key").alias("key")), "prints")
+    met = near_pairs(one.select(F.col("print").alias("fp")))
+    by = lambda x: one.select(F.col("print").alias(x), F.col("key").alias(f"k{x}"))
+    apart = met.join(by("a"), "a").join(by("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    same = own.select("print", F.col("key").alias("b")).join(one.withColumnRenamed("key", "a"), "print").where("a != b").select("a", "b")
+    return apart.unionByName(same)
 
 
 def links(marked: DataFrame, least: float = LEAST, width: int = WIDTH, crowd: int = 64, rounds: int = 6) -> DataFrame:
     """(node, root) of the distinct sets of marked (_fp, text) that are similar to another one: components of all pairs.
 
-    Leaders are compared, for at most `rounds` rounds, while buckets of over `crowd` rows hold more than four unconnected
+    What the fingerprints link comes first. Leaders are compared, for at most `rounds` rounds, while buckets of over `crowd` rows hold more than four unconnected
     pairs for each of all rows and a round connects half of those at least; then all unconnected pairs are."""
-    shared = buckets(marked, least, width)
+    own, shared = buckets(marked, least, width)
 
     @F.pandas_udf("binary")
     def packed(text: pd.Series) -> pd.Series:
@@ -125,9 +147,10 @@ def links(marked: DataFrame, least: float = LEAST, width: int = WIDTH, crowd: in
     after = F.greatest(*[F.ceil(least * F.col(n) - 1e-9) - 1 for n in ("na", "nb")])
     fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
     met = F.count(F.lit(1)) >= F.first(need - after)
-    found, roots, before = None, None, math.inf
+    found, before = verified(printed_pairs(own)), math.inf
+    roots = components(found)
     for turn in range(rounds + 1):
-        now = shared.withColumn("root", F.col("key")) if roots is None else stage_table(shared.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+        now = stage_table(shared.join(few(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
         parts = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("square"), F.count(F.lit(1)).alias("roots"))
         parts = stage_table(parts.where("roots > 1"), "parts")
         crowded = parts.where(F.col("m") > crowd)
@@ -143,16 +166,26 @@ def links(marked: DataFrame, least: float = LEAST, width: int = WIDTH, crowd: in
         new = verified(stars.groupBy("a", F.col("key").alias("b")).agg(met.alias("met")).where("met").select("a", "b"))
         if new.limit(1).count() == 0:
             break
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         roots = components(found)
-    left = stage_table(now.join(parts.select("h"), "h", "left_semi"), "open")
-    names = left.select("h", "root").distinct()
-    two = names.withColumnRenamed("root", "ra").join(names.withColumnRenamed("root", "rb"), "h").where("ra < rb")
-    side = lambda x: left.select("h", F.col("root").alias(f"r{x}"), F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
-    ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need  # so at the first member in both
-    pairs = two.join(side("a"), ["h", "ra"]).join(side("b"), ["h", "rb"]).where(fits).groupBy("a", "b").agg(met.alias("met"), F.bool_or(ahead).alias("ahead"))
-    rest = verified(pairs.where("met and ahead").select("a", "b"))
-    return components(rest if found is None else found.unionByName(rest))
+    # at the first member that is in both, enough follows in either: in the smaller set a, as much as a set of its size needs
+    # of itself; in the larger one b, as much as limits the size of a. In crowded buckets rows only meet in a class of sizes.
+    half = least / (1 + least)
+    class_of = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
+    left = stage_table(now.join(parts.select("h", (F.col("m") > crowd).alias("many")), "h"), "open")
+    small = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * half * F.col("n") - 1e-9))
+    small = small.select("h", F.when(F.col("many"), class_of(F.col("n"))).otherwise(0).alias("size"), F.col("root").alias("ra"), F.col("key").alias("a"), F.col("n").alias("na"))
+    low, top = F.ceil(least * F.col("n") - 1e-9), F.least(F.col("n").cast("long"), F.floor((F.col("n") - F.col("pos")) / half - F.col("n") + 1e-6))
+    large = left.withColumn("low", low).withColumn("top", top).where("low <= top")
+    sizes = F.when(F.col("many"), F.sequence(class_of(F.col("low")), class_of(F.col("top")))).otherwise(F.array(F.lit(0)))
+    large = large.select("h", F.explode(sizes).alias("size"), F.col("root").alias("rb"), F.col("key").alias("b"), F.col("n").alias("nb"), "low", "top")
+    large = large.join(small.select("h", "size").distinct(), ["h", "size"], "left_semi")
+    two = small.select("h", "size", "ra").distinct().join(large.select("h", "size", "rb").distinct(), ["h", "size"]).where("ra != rb")
+    meet = two.join(small, ["h", "size", "ra"]).join(large, ["h", "size", "rb"]).where("low <= na and na <= top and (na < nb or a < b)")
+    pairs = stage_table(meet.select("a", "b", "na", "nb").distinct(), "meet")
+    firsts = lambda x: own.select(F.col("key").alias(x), F.col("first").alias(f"f{x}"))
+    pairs = pairs.join(firsts("a"), "a").join(firsts("b"), "b").where(F.size(F.array_intersect("fa", "fb")) >= need - after)
+    return components(found.unionByName(verified(pairs.select("a", "b"))))
 
 
 @own_names

@@ -69,3 +69,44 @@ def test_pipeline_stage_removes_copies_that_differ_in_a_few_words(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in kept) == ["0", "5", "None"]
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def near_copies(n, seed=3):
+    """Copies of a text with a fifth of their own words each at the end, so that few are similar to another one, and the text."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for i in range(n):
+        k = rng.randint(1, 22)
+        texts.append(" ".join(base[: 100 - k] + [f"o{i}x{j}" for j in range(k)]))
+    return list(enumerate(texts))
+
+
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    made, own = {}, similar.stage_table
+
+    def counting(df, name):
+        made[name] = max(made.get(name, 0), (out := own(df, name)).count())
+        return out
+
+    rows = near_copies(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(similar, "stage_table", counting)
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == groups_of(rows)
+    assert made["meet"] < 4 * len(rows), made
+
+
+def test_links_come_from_fingerprints_first(spark, monkeypatch):
+    """Texts whose fingerprints are two bits apart at most are met through the multi-index; what is far is met anyway."""
+    rows = [(i, " ".join([*(f"w{j}" for j in range(3000)), f"x{i}"])) for i in range(3)] + [(9, " ".join(f"z{j}" for j in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, own = [], similar.printed_pairs
+
+    def looking(sets):
+        out = own(sets)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "printed_pairs", looking)
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [0, 9]
+    assert seen and seen[0] >= 2
