@@ -16,7 +16,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.llm.common import give_back, own_names, stage_table
@@ -26,6 +26,8 @@ WIDTH = 5
 LEAST = 0.8
 #: Texts of which shingles are counted for the order, and how often one must occur there to come later.
 SAMPLE, OFTEN = 20_000, 3
+#: Buckets before one in which two sets may have met already.
+BEFORE = 8
 #: Keys that are broadcast rather than shuffled with the texts.
 MANY = 1_000_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -75,7 +77,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 def buckets(marked: DataFrame, least: float, width: int) -> tuple[DataFrame, DataFrame]:
     """For rows (_fp, text) of marked, (key, n, first, print) of each distinct set of n shingles: its prefix and its
-    fingerprint; and (h, key, n, pos): the sets under those of their prefix, at place pos, that another set's prefix has too."""
+    fingerprint; and (h, key, n, left, w): the sets under those of their prefix that another set's prefix has too. Members that
+    the same sets have are one bucket h, of w members: a shared passage isn't met once for each of its shingles. (Two buckets
+    whose hash h is the same only meet more.) left counts the members of the set's prefix from there on, in the order of how
+    many prefixes have them."""
     spark = marked.sparkSession
 
     @F.pandas_udf("array<long>")
@@ -99,9 +104,11 @@ def buckets(marked: DataFrame, least: float, width: int) -> tuple[DataFrame, Dat
 
     own = marked.select(F.col("_fp").alias("key"), first_of("text").alias("p")).groupBy("key").agg(F.first("p").alias("p"))
     own = stage_table(own.select("key", "p.n", "p.first", "p.print"), "prefixes")
-    entries = own.select("key", "n", F.posexplode("first").alias("pos", "h"))
-    met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("h")
-    return own, stage_table(entries.join(met, "h").select("h", "key", "n", "pos"), "shared")
+    entries = own.select("key", "n", F.explode("first").alias("h"))
+    met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("all")).where("members > 1")
+    from_here = F.row_number().over(Window.partitionBy("key").orderBy(F.col("members").desc(), F.col("h").desc()))
+    shared = entries.join(met, "h").withColumn("left", from_here).groupBy("key", "all").agg(F.first("n").alias("n"), F.max("left").alias("left"), F.count(F.lit(1)).alias("w"))
+    return own, stage_table(shared.withColumnRenamed("all", "h"), "shared")
 
 
 def printed_pairs(own: DataFrame) -> DataFrame:
@@ -118,8 +125,9 @@ def printed_pairs(own: DataFrame) -> DataFrame:
 def links(marked: DataFrame, least: float = LEAST, width: int = WIDTH, crowd: int = 64, rounds: int = 6) -> DataFrame:
     """(node, root) of the distinct sets of marked (_fp, text) that are similar to another one: components of all pairs.
 
-    What the fingerprints link comes first. Leaders are compared, for at most `rounds` rounds, while buckets of over `crowd` rows hold more than four unconnected
-    pairs for each of all rows and a round connects half of those at least; then all unconnected pairs are."""
+    What the fingerprints link comes first. Leaders are compared, for at most `rounds` rounds, while buckets of over `crowd` rows
+    hold more than four unconnected pairs for each of their rows and a round connects half of those at least; then all
+    unconnected pairs are."""
     own, shared = buckets(marked, least, width)
 
     @F.pandas_udf("binary")
@@ -146,7 +154,7 @@ def links(marked: DataFrame, least: float = LEAST, width: int = WIDTH, crowd: in
     need = F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
     after = F.greatest(*[F.ceil(least * F.col(n) - 1e-9) - 1 for n in ("na", "nb")])
     fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
-    met = F.count(F.lit(1)) >= F.first(need - after)
+    met = F.sum("w") >= F.first(need - after)
     found, before = verified(printed_pairs(own)), math.inf
     roots = components(found)
     for turn in range(rounds + 1):
@@ -154,11 +162,11 @@ def links(marked: DataFrame, least: float = LEAST, width: int = WIDTH, crowd: in
         parts = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("square"), F.count(F.lit(1)).alias("roots"))
         parts = stage_table(parts.where("roots > 1"), "parts")
         crowded = parts.where(F.col("m") > crowd)
-        unconnected = crowded.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("square")) / 2), F.lit(0.0))).first()[0]
-        if turn == rounds or unconnected <= 4 * now.count() or unconnected > before / 2:
+        unconnected, inside = crowded.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("square")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if turn == rounds or unconnected <= 4 * inside or unconnected > before / 2:
             break
         before, names = unconnected, few(crowded.select("h"))
-        rich = now.groupBy("key").agg(F.count(F.lit(1)).alias("rich"))
+        rich = now.groupBy("key").agg(F.sum("w").alias("rich"))
         first = now.join(names, "h", "left_semi")
         ranked = first.join(rich, "key").withColumn("rank", F.col("rich") if turn == 0 else F.xxhash64("key", F.lit(turn)))
         lead = ranked.groupBy("h").agg(F.max(F.struct("rank", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))).alias("x")).select("h", "x.a", "x.na", "x.ra")
@@ -168,21 +176,28 @@ def links(marked: DataFrame, least: float = LEAST, width: int = WIDTH, crowd: in
             break
         found = found.unionByName(new)
         roots = components(found)
-    # at the first member that is in both, enough follows in either: in the smaller set a, as much as a set of its size needs
-    # of itself; in the larger one b, as much as limits the size of a. In crowded buckets rows only meet in a class of sizes.
+    # need - after members are in both prefixes: so many are left in either at the first one of them, by how many prefixes have it.
+    # For the larger set b this limits the size of the smaller one a. Where one of the last buckets of both is the same, they have met.
     half = least / (1 + least)
+    last = F.collect_list("h").over(Window.partitionBy("key").orderBy(F.col("left").desc(), "h").rowsBetween(-BEFORE, -1))
+    open_ = stage_table(now.join(parts.select("h", (F.col("m") > crowd).alias("many")), "h").withColumn("last", last), "open")
+    small = open_.select("h", "many", F.col("root").alias("ra"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("last").alias("xa"))
+    low, most = F.ceil(least * F.col("n") - 1e-9), (F.col("left") + F.ceil(least * F.col("n") - 1e-9) - 1) / half - F.col("n")
+    large = open_.withColumn("low", low).withColumn("top", F.least(F.col("n").cast("long"), F.floor(most + 1e-6))).where("low <= top")
+    large = large.select("h", "many", F.col("root").alias("rb"), F.col("key").alias("b"), F.col("n").alias("nb"), "low", "top", F.col("last").alias("xb"))
+    new = F.expr("ra != rb and low <= na and na <= top and (na < nb or a < b)") & (F.col("la") >= need - after) & ~F.arrays_overlap("xa", "xb")
+    meet = small.where("not many").drop("many").join(large.where("not many").drop("many"), "h").where(new).select("a", "b", "na", "nb")
+    # in crowded buckets rows only meet in a class of sizes, and components do first, by what any of their sets may be
     class_of = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
-    left = stage_table(now.join(parts.select("h", (F.col("m") > crowd).alias("many")), "h"), "open")
-    small = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * half * F.col("n") - 1e-9))
-    small = small.select("h", F.when(F.col("many"), class_of(F.col("n"))).otherwise(0).alias("size"), F.col("root").alias("ra"), F.col("key").alias("a"), F.col("n").alias("na"))
-    low, top = F.ceil(least * F.col("n") - 1e-9), F.least(F.col("n").cast("long"), F.floor((F.col("n") - F.col("pos")) / half - F.col("n") + 1e-6))
-    large = left.withColumn("low", low).withColumn("top", top).where("low <= top")
-    sizes = F.when(F.col("many"), F.sequence(class_of(F.col("low")), class_of(F.col("top")))).otherwise(F.array(F.lit(0)))
-    large = large.select("h", F.explode(sizes).alias("size"), F.col("root").alias("rb"), F.col("key").alias("b"), F.col("n").alias("nb"), "low", "top")
+    small = small.where("many").withColumn("size", class_of(F.col("na")))
+    large = large.where("many").withColumn("size", F.explode(F.sequence(class_of(F.col("low")), class_of(F.col("top")))))
     large = large.join(small.select("h", "size").distinct(), ["h", "size"], "left_semi")
-    two = small.select("h", "size", "ra").distinct().join(large.select("h", "size", "rb").distinct(), ["h", "size"]).where("ra != rb")
-    meet = two.join(small, ["h", "size", "ra"]).join(large, ["h", "size", "rb"]).where("low <= na and na <= top and (na < nb or a < b)")
-    pairs = stage_table(meet.select("a", "b", "na", "nb").distinct(), "meet")
+    some_a = small.groupBy("h", "size", "ra").agg(F.min("na").alias("na"), F.max("na").alias("na_top"), F.max("la").alias("la"))
+    some_b = large.groupBy("h", "size", "rb").agg(F.min("low").alias("low"), F.max("top").alias("top"), F.max("nb").alias("nb"))
+    may = F.expr("ra != rb and low <= na_top and na <= top") & (F.col("la") >= half * F.col("na") - (least - half) * F.col("nb") - 1e-6)
+    two = some_a.join(some_b, ["h", "size"]).where(may).select("h", "size", "ra", "rb")
+    meet = meet.unionByName(two.join(small, ["h", "size", "ra"]).join(large, ["h", "size", "rb"]).where(new).select("a", "b", "na", "nb"))
+    pairs = stage_table(meet.distinct(), "meet")
     firsts = lambda x: own.select(F.col("key").alias(x), F.col("first").alias(f"f{x}"))
     pairs = pairs.join(firsts("a"), "a").join(firsts("b"), "b").where(F.size(F.array_intersect("fa", "fb")) >= need - after)
     return components(found.unionByName(verified(pairs.select("a", "b"))))

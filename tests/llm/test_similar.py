@@ -110,3 +110,37 @@ def test_links_come_from_fingerprints_first(spark, monkeypatch):
     monkeypatch.setattr(similar, "printed_pairs", looking)
     assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [0, 9]
     assert seen and seen[0] >= 2
+
+
+def test_a_crowd_gets_leaders_however_many_other_rows_there_are(spark, monkeypatch):
+    """Copies with four words changed, similar to their base and to few others: they are linked by a leader, not by pairs, though
+    their pairs are few for each row of all prefixes."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(150):
+        own = list(base)
+        for j in rng.sample(range(5, 195), 4):
+            own[j] = f"o{i}x{j}"
+        texts.append(" ".join(own))
+    made, own_stage = {}, similar.stage_table
+
+    def counting(df, name):
+        made[name] = max(made.get(name, 0), (out := own_stage(df, name)).count())
+        return out
+
+    monkeypatch.setattr(similar, "stage_table", counting)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == groups_of(rows)
+    assert made["meet"] < 8 * len(rows), made
+
+
+def test_a_shared_passage_is_one_bucket(spark):
+    """Texts that share a passage are a row each under it, not one for each of its shingles."""
+    passage = " ".join(f"p{i}" for i in range(400))
+    rows = [(i, passage + " " + " ".join(f"o{i}x{j}" for j in range(20))) for i in range(12)]
+    marked = spark.createDataFrame(rows, "_fp long, text string")
+    _, shared = similar.buckets(marked, similar.LEAST, similar.WIDTH)
+    got = shared.collect()
+    assert len(got) == 12 and len({r.h for r in got}) == 1 and all(r.w > 40 and r.left == r.w for r in got)
