@@ -154,3 +154,22 @@ def test_keys_turn_into_the_tries(spark):
     want = int(ppm.key_of(6, int.from_bytes(b"    ab", "big"), 32))
     assert ppm_bytes.plain_key(keys)[2] == want
     assert (np.sort(np.cumsum(np.diff(np.sort(keys), prepend=0))) == np.sort(keys)).all()
+
+
+def test_words_of_one_chunk_are_not_sent_back(spark):
+    """Only words that training has in another chunk too are sent to a chunk with their count; all counts are right."""
+    rows = [(0, "a", 0, 2), (0, "b", 1, 3), (0, "c", 2, 0), (1, "b", 0, 1), (1, "d", 1, 0), (2, "b", 0, 0), (2, "e", 1, 4)]
+    lists = spark.createDataFrame(rows, "chunk long, word string, at int, n long")
+    assert sorted(map(tuple, ppm_bytes.corrected(lists).collect())) == [(0, 1, 4, False), (1, 0, 4, True), (2, 0, 4, False)]
+
+
+def test_counts_do_not_depend_on_chunks(spark):
+    texts = ["a b c é", "b c d é é", "", "z y x", None, "a é d only held", "held only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in ppm_bytes.score(docs.repartition(n), held="doc_id >= 5").collect()) for n in (4, 1)]
+    assert got[0] == got[1]
+    train = [w for t in texts[:5] for w in [*(t or "").split(), "end"]]
+    known = lambda t: [train.count(w) for w in [*(t or "").split(), "end"]]
+    scale = np.log10(len(train) + len(set(train)) + 1)
+    want = [(i, len(known(t)), sum(c > 0 for c in known(t)), len(train), round(sum(np.log10(c + 1) - scale for c in known(t)), 9)) for i, t in enumerate(texts)]
+    assert got[1] == want
