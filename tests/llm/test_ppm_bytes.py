@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -173,3 +174,25 @@ def test_counts_do_not_depend_on_chunks(spark):
     scale = np.log10(len(train) + len(set(train)) + 1)
     want = [(i, len(known(t)), sum(c > 0 for c in known(t)), len(train), round(sum(np.log10(c + 1) - scale for c in known(t)), 9)) for i, t in enumerate(texts)]
     assert got[1] == want
+
+
+def test_merging_holds_little_besides_its_lists():
+    """Keys of long lists are merged a range at a time: a worker of op3_ppm has a share of its executor's memory only."""
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(0, 1 << 57, 900_000)), np.arange(0, 4_000_000, 5), np.arange(0, 4_000_000, 7), np.zeros(0, np.int64)]
+    uses = [rng.integers(0, 3, len(x)).astype(np.int32) for x in keys]
+    tracemalloc.start()
+    found, sums = ppm_bytes.merged(keys, uses)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, place = np.unique(np.concatenate(keys), return_inverse=True)
+    assert (found == want).all() and (sums == np.bincount(place, np.concatenate(uses))).all()
+    assert peak < 2.5 * (found.nbytes + sums.nbytes)
+    assert [len(x) for x in ppm_bytes.merged(keys[3:], uses[3:])] == [0, 0]
+
+
+def test_parts_have_all_their_keys_in_order():
+    keys = np.unique(np.random.default_rng(6).integers(0, 1 << 57, 5_000))
+    got = dict(ppm_bytes.of_parts(keys, 7))
+    assert sorted(got) == list(range(7)) and all((ppm_bytes.part_of(keys[own], 7) == p).all() and (np.diff(own) > 0).all() for p, own in got.items())
+    assert sum(map(len, got.values())) == len(keys)
