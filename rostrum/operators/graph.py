@@ -1,4 +1,4 @@
-"""Graphs as edge tables: relaxation rounds whose lineage is cut by reliable checkpoints."""
+"""Graphs as edge tables: ways by tasks that hold the network, or by relaxation rounds whose lineage is cut by reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators import ways as W
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df behind a reliable checkpoint in the folder that the session names, or one of our own where it names none."""
@@ -17,12 +19,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rostrum-graph-"))
-    return df.checkpoint()
+    return unsized(df.checkpoint())
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """A checkpoint without its plan's estimate of its size. Spark keeps the estimate, and a join's is the product of its sides':
+    when rounds join what rounds before them made, its digits double each time, until they fill the driver's memory."""
+    spark = df.sparkSession
+    kept = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.rdd(), kept.schema(), False), spark)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node connected with each node of links (a, b)."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
     for _ in range(rounds):
         near = both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -35,18 +45,27 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: too many rounds")
 
 
-#: Steps that a round of shortest() tries before it is written: a third of the jobs for a few more rows.
+#: Steps that a round of relaxed() tries before it is written: a third of the jobs for a few more rows.
 STEPS = 3
 
 
-def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, minutes, previous): least sums over edges (u, v, minutes) from each source; of equal ways the one
-    whose last step comes from the smallest node. Only nodes that improved go on to the next round, which tries ways of up to
-    STEPS steps from them. A source is its own first node, or has a row for each of its nodes where sources has a column `node`."""
+    whose last step comes from the smallest node. A source is its own first node, or has a row for each of its nodes where sources
+    has a column `node`. Networks that a count proves small enough are searched in tasks, larger ones in rounds."""
     start = "node" if "node" in sources.columns else "source"
-    best = cut_lineage(sources.select("source", F.col(start).alias("node"), F.lit(0.0).alias("minutes"), F.lit(None).cast(sources.schema[start].dataType).alias("previous")).distinct())
+    at = sources.select("source", F.col(start).alias("node")).where("node is not null").distinct()
+    own = cut_lineage(W.sound(edges, at.select("node")))
+    nodes = W.held(own)
+    return W.all_ways(own, at.withColumn("node", F.col("node").cast(own.schema["u"].dataType)), nodes) if nodes else relaxed(own, at)
+
+
+def relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """shortest in rounds over tables, for networks of any size and sources (source, node). Only nodes that improved go on to the
+    next round, which tries ways of up to STEPS steps from them."""
+    best = cut_lineage(sources.select("source", "node", F.lit(0.0).alias("minutes"), F.lit(None).cast(edges.schema["u"].dataType).alias("previous")).distinct())
     front, priced = best, edges.select("u", "v", F.col("minutes").alias("_step"))
-    for _ in range(rounds):
+    while True:
         tried, at = None, front
         for _ in range(STEPS):
             step = at.select("source", F.col("node").alias("u"), "minutes").join(priced, "u").select("source", F.col("v").alias("node"), (F.col("minutes") + F.col("_step")).alias("minutes"), F.col("u").alias("previous"))
@@ -59,7 +78,6 @@ def shortest(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFra
         front = merged.where("better").drop("better")
         if front.limit(1).count() == 0:
             return settled(best, edges)
-    raise RuntimeError("shortest: too many rounds")
 
 
 def settled(best: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,16 +114,28 @@ def gathered(ways: DataFrame, loads: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("gathered: too many rounds")
 
 
+def carried(edges: DataFrame, loads: DataFrame) -> DataFrame:
+    """(u, v, amount): what loads (source, node, amount) put on the steps (u, v) of the shortest ways over edges (u, v, minutes) from
+    source to node, of all sources together."""
+    own = cut_lineage(W.sound(edges, loads.select("source"), loads.select("node")))
+    if W.held(own):
+        kind = own.schema["u"].dataType
+        return W.all_loads(own, loads.where("source is not null and node is not null").select(F.col("source").cast(kind).alias("source"), F.col("node").cast(kind).alias("node"), F.col("amount").cast("double").alias("amount")))
+    ways = relaxed(own, loads.select("source", F.col("source").alias("node")).distinct())
+    return gathered(ways, loads).groupBy("u", "v").agg(F.sum("amount").alias("amount"))
+
+
 def edge_flows(edges: DataFrame, origin: int, weights: DataFrame, trips: float, beta: float) -> DataFrame:
     """(u, v, flow): trips from origin spread over nodes by weight * exp(-beta * minutes), each along its shortest way.
 
     The origin, nodes out of reach and nodes without weight draw no trips."""
     ways = shortest(edges, edges.sparkSession.createDataFrame([(origin,)], "source long"))
+    ways = cut_lineage(ways)
     pull = F.col("weight") * F.exp(-beta * F.col("minutes"))
     shares = ways.join(weights.where("weight > 0"), "node").where(F.col("node") != origin).withColumn("pull", pull)
     total = shares.agg(F.sum("pull")).first()[0] or 1.0
     loads = shares.select("source", "node", (F.lit(float(trips)) * F.col("pull") / total).alias("amount"))
-    return gathered(ways, loads).select("u", "v", F.col("amount").alias("flow"))
+    return carried(edges, loads).select("u", "v", F.col("amount").alias("flow"))
 
 
 def sampled_baseline(edges: DataFrame, origins: DataFrame, destinations: DataFrame, n: int = 2000, seed: int = 20260718) -> DataFrame:
@@ -114,9 +144,7 @@ def sampled_baseline(edges: DataFrame, origins: DataFrame, destinations: DataFra
     from; the trips of one origin are carried back together, its ways once."""
     trips = sampled_pairs(origins, n, seed, destinations)
     loads = trips.groupBy(F.col("from").alias("source"), F.col("to").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("amount"))
-    loads = cut_lineage(loads)
-    ways = shortest(edges, loads.select("source").distinct())
-    return gathered(ways, loads).groupBy("u", "v").agg(F.sum("amount").cast("long").alias("count"))
+    return carried(edges, cut_lineage(loads)).select("u", "v", F.col("amount").cast("long").alias("count"))
 
 
 def edge_changes(flows: DataFrame, baseline: DataFrame, scale: float, least: int = 5) -> DataFrame:

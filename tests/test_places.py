@@ -12,6 +12,7 @@ from rostrum.operators import graph as G
 from rostrum.operators import models as Z
 from rostrum.operators import polygons as P
 from rostrum.operators import trails as R
+from rostrum.operators import ways as W
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -338,3 +339,48 @@ def test_nearest_places_near_and_far(spark):
     assert S.nearest(table, places.where("place = 998"), "id", "place", 1.0).count() == 0
     one = S.nearest(table, places.where("place = 400"), "id", "place", 1.0).collect()
     assert len(one) == len(from_) and {r.place for r in one} == {400}
+
+
+def test_ways_of_a_thousand_steps(spark):
+    n = 1000
+    chain = spark.createDataFrame([(u, v, 1.0) for k in range(n) for u, v in ((k, k + 1), (k + 1, k))], "u int, v int, minutes double")
+    got = {r.node: (r.minutes, r.previous) for r in G.shortest(chain, spark.createDataFrame([(0,)], "source int")).collect()}
+    assert got == {k: (float(k), k - 1 if k else None) for k in range(n + 1)}
+
+
+def random_network(seed):
+    rng = random.Random(seed)
+    edges = [(u, v, float(rng.randint(0, 3))) for u in range(30) for v in rng.sample(range(30), 3) if u != v]
+    return edges + edges[:5] + [(0, 29, 50.0), (40, 41, 1.0)]
+
+
+def test_ways_in_tasks_and_in_rounds_are_the_same(spark):
+    edges = [(u, v, m + 0.5) for u, v, m in random_network(11)]
+    table = spark.createDataFrame([*edges, (None, 3, 1.0), (3, None, 1.0), (3, 5, None)], "u int, v int, minutes double")
+    starts = spark.createDataFrame([("a", 0), ("a", 7), ("b", 3), ("c", 99)], "source string, node int")
+    few, many = ({(r.source, r.node): (r.minutes, r.previous) for r in df.collect()} for df in (G.shortest(table, starts), G.relaxed(W.sound(table), starts)))
+    assert few == many and few["c", 99] == (0.0, None) and few["a", 7] == (0.0, None) and len(few) > 50
+
+
+def test_loads_go_along_ways_with_steps_of_no_time(spark):
+    edges = random_network(12)
+    table = spark.createDataFrame(edges, "u int, v int, minutes double")
+    loads = [(s, t, float(1 + (s * t) % 4)) for s in range(0, 30, 4) for t in range(0, 30, 3)] + [(1, 41, 9.0), (77, 1, 2.0)]
+    got = {(r.u, r.v): r.amount for r in G.carried(table, spark.createDataFrame(loads, "source int, node int, amount double")).collect()}
+    out, in_ = collections.Counter(), collections.Counter()
+    for (u, v), a in got.items():
+        out[u] += a
+        in_[v] += a
+    ways = {s: plain_ways(edges, s) for s in {s for s, _, _ in loads}}
+    sent = [(s, t, a) for s, t, a in loads if t in ways[s] and s != t]
+    for k in range(30):  # what comes in and isn't passed on stays
+        assert in_[k] - out[k] == pytest.approx(sum(a for _, t, a in sent if t == k) - sum(a for s, _, a in sent if s == k))
+    least = {(u, v): min(m for a, b, m in edges if (a, b) == (u, v)) for u, v, _ in edges}
+    assert sum(a * least[e] for e, a in got.items()) == pytest.approx(sum(a * ways[s][t] for s, t, a in sent))
+
+
+def test_checkpoints_forget_the_estimates_of_their_plans(spark):
+    df = spark.range(4).selectExpr("id as a", "id as b")
+    for _ in range(4):
+        df = G.cut_lineage(df.join(df.selectExpr("a as b", "b as c"), "b").select("a", F.col("c").alias("b")))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
