@@ -7,10 +7,15 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from rostrum.operators import ways as W
 
 
+#: Types of nodes that tasks sort as Spark does.
+PLAIN = (IntegralType, StringType)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df behind a reliable checkpoint in the folder that the session names, or one of our own where it names none."""
     context = df.sparkSession.sparkContext
@@ -31,7 +36,11 @@ def unsized(df: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node connected with each node of links (a, b)."""
+    """(node, root): the smallest node connected with each node of links (a, b). Links that a count proves few enough are joined in one
+    task, others, and those of nodes that aren't plain values, in rounds."""
+    links = cut_lineage(links.select("a", "b").where("a is not null and b is not null").distinct())
+    if isinstance(links.schema["a"].dataType, PLAIN) and links.schema["a"].dataType == links.schema["b"].dataType and links.limit(W.MOST_EDGES + 1).count() <= W.MOST_EDGES:
+        return W.all_roots(links)
     both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
     for _ in range(rounds):

@@ -36,15 +36,19 @@ def within(centres: DataFrame, points: DataFrame, radius: float, centre: str, po
 
 def population_near(nodes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """nodes with pop, the sum over points in the radius, zero where there are none."""
-    sums = within(nodes, points, radius, "node_id", "point_id").groupBy("node_id").agg(F.sum("p_pop").alias("pop"))
+    from rostrum.operators.cells import sums_near
+
+    sums = sums_near(nodes, points, radius, "node_id", ["pop"])
     return nodes.join(sums, "node_id", "left").withColumn("pop", F.coalesce("pop", F.lit(0.0)))
 
 
 def counts_near(nodes: DataFrame, points: DataFrame, radius: float, kind: str, kinds: list) -> DataFrame:
     """nodes with a column for each kind: how many points of it are in the radius."""
-    pairs = within(nodes, points, radius, "node_id", "point_id").groupBy("node_id").pivot(f"p_{kind}", kinds).count()
-    out = nodes.select("node_id").join(pairs, "node_id", "left")
-    return out.select("node_id", *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(f"kind_{k}") for k in kinds])
+    from rostrum.operators.cells import sums_near
+
+    of = points.where(F.col(kind).isin(kinds)).select("x", "y", *[(F.col(kind) == k).cast("double").alias(f"kind_{k}") for k in kinds])
+    out = nodes.select("node_id").join(sums_near(nodes, of, radius, "node_id", [f"kind_{k}" for k in kinds]), "node_id", "left")
+    return out.select("node_id", *[F.coalesce(F.col(f"`kind_{k}`").cast("long"), F.lit(0).cast("long")).alias(f"kind_{k}") for k in kinds])
 
 
 def nearest(from_: DataFrame, to: DataFrame, key: str, to_key: str, first: float) -> DataFrame:
@@ -145,15 +149,9 @@ def thin_along(points: DataFrame, line: str, at: str, step: float) -> DataFrame:
 def dbscan(points: DataFrame, eps: float, least: int, key: str = "point_id") -> DataFrame:
     """(key, cluster): cluster is the smallest core point of the cluster, null for noise; a border point belongs to the
     smallest cluster of a core point near it."""
-    from rostrum.operators.graph import components
-
-    pairs = within(points.select(key, "x", "y"), points.select(key, "x", "y"), eps, key, key).select(F.col(key).alias("a"), F.col(f"p_{key}").alias("b"))
-    core = pairs.groupBy("a").count().where(F.col("count") >= least).select(F.col("a").alias("core"))
-    strong = pairs.join(core.withColumnRenamed("core", "a"), "a", "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi")
-    roots = components(strong.where("a <= b"))
-    near = pairs.join(roots.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("root"))
-    own = roots.select(F.col("node").alias("a"), F.col("root").alias("own"))
-    return points.select(F.col(key).alias("a")).join(near, "a", "left").join(own, "a", "left").select(F.col("a").alias(key), F.coalesce("own", "root").alias("cluster"))
+    from rostrum.operators.cells import clusters
+
+    return clusters(points, eps, least, key)
 
 
 def top_places(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

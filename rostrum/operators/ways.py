@@ -205,3 +205,25 @@ def all_loads(edges: DataFrame, loads: DataFrame) -> DataFrame:
 
     parts = dealt(loads, edges, "source", tasks(loads, "source", 1)).applyInArrow(carry, f"u {node}, v {node}, amount double")
     return parts.groupBy("u", "v").agg(F.sum("amount").alias("amount"))
+
+
+def all_roots(links: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b) that one task holds: the smallest node connected with each."""
+
+    def join(held: pa.Table) -> pa.Table:
+        every = pa.chunked_array([*held["a"].chunks, *held["b"].chunks], held.schema.field("a").type).unique()
+        names = every.take(pc.sort_indices(every))
+        a, b = (pc.index_in(held[c], value_set=names).to_numpy().astype(np.int64) for c in "ab")
+        root = np.arange(len(names))
+        while True:
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            apart = low != high
+            if not apart.any():
+                return pa.table({"node": names, "root": names.take(pa.array(root))})
+            np.minimum.at(root, high[apart], low[apart])
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+
+    kind = links.schema["a"].dataType.simpleString()
+    ship_package(links.sparkSession)
+    return links.groupBy(F.lit(0).alias("_all")).applyInArrow(join, f"node {kind}, root {kind}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rostrum.operators import cells as C
 from rostrum.operators import graph as G
 from rostrum.operators import models as Z
 from rostrum.operators import spatial as S
@@ -31,7 +32,7 @@ def j24_near_dupes(s, d):  # J24
 @query("points", """WITH RECURSIVE l AS (SELECT a.point_id AS a, b.point_id AS b FROM points a JOIN points b ON a.kind = b.kind AND a.point_id <> b.point_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 300),
     r AS (SELECT a AS node, b AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a) SELECT node, least(node, min(other)) AS root FROM r GROUP BY node""")
 def g08_components(s, d):  # G08
-    return G.components(S.same_name_pairs(load(s, d, "points").withColumn("name", F.col("kind").cast("string")), "name", "point_id", 300.0))
+    return C.named_components(load(s, d, "points").withColumn("name", F.col("kind").cast("string")), "name", "point_id", 300.0)
 
 
 @query("points nodes", "SELECT p.point_id, n.node_id, round(sqrt((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y)), 6) AS d FROM points p, nodes n QUALIFY row_number() OVER (PARTITION BY p.point_id ORDER BY sqrt((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y)), n.node_id) = 1")
@@ -76,8 +77,8 @@ def a30_bounding_box(s, d):  # A27, A30
 
 @query("points nodes", "SELECT n.node_id, " + ", ".join(f"round(sum(p.pop * exp(-{b} * sqrt((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y)) / 1000)), 6) AS {c}" for c, b in (("mid", 0.333), ("low", 0.45), ("high", 0.25))) + " FROM nodes n, points p WHERE sqrt((n.x - p.x) * (n.x - p.x) + (n.y - p.y) * (n.y - p.y)) <= 2000 GROUP BY 1")
 def a18_decay_catchment(s, d):  # A18
-    near = S.within(load(s, d, "nodes"), load(s, d, "points"), 2000.0, "node_id", "point_id")
-    return near.groupBy("node_id").agg(*[F.round(F.sum(F.col("p_pop") * F.exp(-b * F.col("d") / 1000)), 6).alias(c) for c, b in (("mid", 0.333), ("low", 0.45), ("high", 0.25))])
+    near = C.sums_near(load(s, d, "nodes"), load(s, d, "points"), 2000.0, "node_id", ["pop"], {"mid": 0.333 / 1000, "low": 0.45 / 1000, "high": 0.25 / 1000})
+    return near.select("node_id", *[F.round(c, 6).alias(c) for c in ("mid", "low", "high")])
 
 
 @query("points", """WITH RECURSIVE pr AS (SELECT a.point_id AS a, b.point_id AS b FROM points a JOIN points b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 250), core AS (SELECT a FROM pr GROUP BY 1 HAVING count(*) >= 4),

@@ -384,3 +384,71 @@ def test_checkpoints_forget_the_estimates_of_their_plans(spark):
     for _ in range(4):
         df = G.cut_lineage(df.join(df.selectExpr("a as b", "b as c"), "b").select("a", F.col("c").alias("b")))
     assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+
+
+def crowd(seed, n=260):
+    """Points in clumps and alone, some at one place, and odd ones."""
+    rng = random.Random(seed)
+    places = [(rng.gauss(0, 3), rng.gauss(0, 3)) if k % 3 else (rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(n)]
+    places[5] = places[4] = places[50]
+    return {k: (x, y, ("a", "b")[k % 5 == 0]) for k, (x, y) in enumerate(places)}
+
+
+def plain_roots(links, nodes):
+    root = {k: k for k in nodes}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_components_of_one_name_by_cells(spark, monkeypatch):
+    from rostrum.operators import cells as C
+
+    points = crowd(20)
+    table = spark.createDataFrame([(k, *v) for k, v in points.items()] + [(900, None, 1.0, "a"), (901, 1.0, 1.0, ""), (902, float("nan"), 1.0, "a"), (903, 1.0, 1.0, None)], "id long, x double, y double, name string")
+    for radius in (0.7, 4.0):
+        links = [(a, b) for a, (x, y, n) in points.items() for b, (p, q, m) in points.items() if a != b and n == m and math.sqrt((x - p) ** 2 + (y - q) ** 2) <= radius]
+        linked = {a for a, _ in links}
+        want = {k: r for k, r in plain_roots(links, points).items() if k in linked}
+        assert {r.node: r.root for r in C.named_components(table, "name", "id", radius).collect()} == want
+        monkeypatch.setattr(C, "SMALL_PIECE", 3)  # cells of several pieces
+
+
+def test_clusters_by_cells(spark):
+    from rostrum.operators import spatial as S
+
+    points = crowd(21)
+    near = {a: [b for b, (p, q, _) in points.items() if math.sqrt((x - p) ** 2 + (y - q) ** 2) <= 1.0] for a, (x, y, _) in points.items()}
+    core = {k for k, v in near.items() if len(v) >= 4}
+    root = plain_roots([(a, b) for a in core for b in near[a] if b in core], core)
+    want = {k: root[k] if k in core else min((root[b] for b in near[k] if b in core), default=None) for k in points}
+    table = spark.createDataFrame([(k, x, y) for k, (x, y, _) in points.items()] + [(900, None, 1.0)], "point_id long, x double, y double")
+    assert {r.point_id: r.cluster for r in S.dbscan(table, 1.0, 4).collect()} == want | {900: None} and len(core) > 50 and None in want.values()
+
+
+def test_sums_near_by_pieces(spark, monkeypatch):
+    from rostrum.operators import cells as C
+
+    monkeypatch.setattr(C, "PIECE", 7)
+    monkeypatch.setattr(C, "BLOCK", 20)
+    points, centres = crowd(22), {k: v[:2] for k, v in crowd(23, 80).items()} | {500: (900.0, 900.0)}
+    table = spark.createDataFrame([(k, x, y, 1.0 + k % 7, k % 3) for k, (x, y, _) in points.items()] + [(900, None, 1.0, 1.0, 1)], "id long, x double, y double, w double, kind long")
+    near = {c: [(k, d) for k, (p, q, _) in points.items() if (d := math.sqrt((x - p) ** 2 + (y - q) ** 2)) <= 5] for c, (x, y) in centres.items()}
+    at = spark.createDataFrame([(k, *v) for k, v in centres.items()], "node_id long, x double, y double")
+    got = {r.node_id: (r.a, r.b) for r in C.sums_near(at, table, 5.0, "node_id", ["w"], {"a": 0.1, "b": 0.0}).collect()}
+    assert set(got) == {c for c, v in near.items() if v}
+    assert all(got[c] == pytest.approx((sum((1 + k % 7) * math.exp(-0.1 * d) for k, d in near[c]), sum(1 + k % 7 for k, _ in near[c]))) for c in got)
+    from rostrum.operators import spatial as S
+
+    counts = {r.node_id: (r.kind_0, r.kind_2) for r in S.counts_near(at, table, 5.0, "kind", [0, 2]).collect()}
+    assert counts == {c: (sum(k % 3 == 0 for k, _ in v), sum(k % 3 == 2 for k, _ in v)) for c, v in near.items()} and counts[500] == (0, 0)
+
+
+def test_components_in_a_task_and_in_rounds_are_the_same(spark, monkeypatch):
+    rng = random.Random(24)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(k, k + 1) for k in range(300, 360)]
+    table = spark.createDataFrame(links, "a long, b long")
+    one = {r.node: r.root for r in G.components(table).collect()}
+    monkeypatch.setattr(W, "MOST_EDGES", 0)
+    assert one == {r.node: r.root for r in G.components(table).collect()} == {k: r for k, r in plain_roots(links, {x for e in links for x in e}).items()}
