@@ -7,13 +7,21 @@ small, and a point looks itself up once for each size class there is."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.operators.spatial import segment_distance
+from rostrum.session import ship_package
 
 #: Cells along the longer side of a polygon: from this number to four times of it.
 FINEST = 8
+#: Sides up to which a polygon's points may be tested with all of them: it needs few cells.
+FEW_SIDES = 64
 #: Parts of a cell by which a side is taken to reach beyond itself, against rounding.
 MARGIN = 1e-6
 
@@ -36,13 +44,14 @@ def sides(polygons: DataFrame, keys: list[str]) -> DataFrame:
     return own.select(*keys, pair).select(*keys, *[F.col(f"s.{e}.{c}").cast("double").alias(e + c) for e in "ab" for c in "xy"]).where("ax <> bx or ay <> by")
 
 
-def sized(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """edges with level, the size class of their polygon, and cell, the width of that class's cells."""
+def sized(edges: DataFrame, keys: list[str], few: int = 0) -> DataFrame:
+    """edges with level, the size class of their polygon, and cell, the width of that class's cells: FINEST along the longer side at
+    least, or one where the polygon has at most `few` sides."""
     bounds = [f(g(c)).alias(f"{n}{c[-1]}") for n, f, g in (("lo", F.min, lambda c: F.least(f"a{c}", f"b{c}")), ("hi", F.max, lambda c: F.greatest(f"a{c}", f"b{c}"))) for c in "xy"]
-    boxes = edges.groupBy(*keys).agg(*bounds)
+    boxes = edges.groupBy(*keys).agg(*bounds, F.count(F.lit(1)).alias("_sides"))
     side = F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))
-    level = (F.floor(F.log2(side / FINEST) / 2) * 2).cast("int")
-    return edges.join(boxes.withColumn("level", level).withColumn("cell", F.pow(F.lit(2.0), "level")), keys)
+    level = (F.floor(F.log2(side / F.when(F.col("_sides") <= few, 1).otherwise(FINEST)) / 2) * 2).cast("int")
+    return edges.join(boxes.withColumn("level", level).drop("_sides").withColumn("cell", F.pow(F.lit(2.0), "level")), keys)
 
 
 def reach(low: Column, high: Column, cell: Column, beyond: int = 0) -> Column:
@@ -92,21 +101,24 @@ def located(points: DataFrame, polygons: DataFrame, key: str, by: list[str] | No
     """points (x, y, ...) with the key of each polygon they are in, a row for each; points in none have no row.
 
     by: columns that a point and its polygon have in common. polygons has each key once (with by); points has no column of
-    the key's name. A point in a cell that no side runs through is decided by the cell; others test the sides of their row of
-    cells, so that a polygon of many corners is never looked through whole. A point on a side is in at most one of two
-    polygons that share it. Points without a coordinate and polygons without sides are in no pair."""
+    the key's name. A point tests the sides that reach its row of cells, of the polygons that have its cell in their box; cells are as
+    wide as a polygon of few sides, and narrower for those of many, so that these are never looked through whole. A point on a side is
+    in at most one of two polygons that share it. Points without a coordinate and polygons without sides are in no pair."""
     by = by or []
-    cells, bands = cover(polygons.select(*by, key, "rings"), [*by, key])
-    levels = [r.level for r in cells.select("level").distinct().collect()]  # doublings of size, two a class: a few dozen at most
+    keys = [*by, key]
+    edges = sized(sides(polygons.select(*keys, "rings"), keys), keys, FEW_SIDES)
+    levels = [r.level for r in edges.select("level").distinct().collect()]  # doublings of size, two a class: a few dozen at most
     if not levels:
         return points.join(polygons.select(F.col(key).alias(key)).limit(0), F.lit(False))
+    cell = F.col("cell")
+    rows = edges.withColumn("cy", F.explode(reach(F.least("ay", "by"), F.greatest("ay", "by"), cell)))
+    bands = rows.groupBy(*keys, "level", "cell", "lox", "hix", "cy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("band"))
+    cells = bands.withColumn("cx", F.explode(reach(F.col("lox"), F.col("hix"), cell))).select(*keys, "level", "cx", "cy", "band")
     sound = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     placed = points.where(sound("x") & sound("y")).select(F.struct("*").alias("_p"), *by, F.explode(F.array(*map(F.lit, levels))).alias("level"))
     at = lambda c: F.floor(F.col(f"_p.{c}") / F.pow(F.lit(2.0), "level"))
     met = placed.withColumn("cx", at("x")).withColumn("cy", at("y")).join(cells, [*by, "level", "cx", "cy"])
-    sure = met.where(~F.col("edge")).select("_p.*", key)
-    tested = met.where("edge").join(bands, [*by, key, "cy"]).where(odd_crossings(F.col("band"), F.col("_p.x").cast("double"), F.col("_p.y").cast("double"))).select("_p.*", key)
-    return sure.unionByName(tested)
+    return met.where(odd_crossings(F.col("band"), F.col("_p.x").cast("double"), F.col("_p.y").cast("double"))).select("_p.*", key)
 
 
 def gap(a: list[Column], b: list[Column]) -> Column:
@@ -165,46 +177,110 @@ def near_lines(points: DataFrame, lines: DataFrame, key: str, line: str, distanc
 def dissolved(polygons: DataFrame, group: str, key: str, grain: float = 1e-3) -> DataFrame:
     """(group, ax, ay, bx, by): the outline of the union of each group's polygons, the inside to the left of each piece.
 
-    Sides are split where sides of the group's other polygons cross or touch them. Of the pieces, each taken once, those stay
-    that have the union on one side only: what two parcels share, and what lies inside another, has it on both. Sides are
-    paired by cells, and the places `grain` to the left and right of a piece's middle are located like any point. What is
-    narrower than grain isn't told apart. Equal polygons of a group count once."""
+    Sides are cut at the borders of square tiles, and split where sides of the group's other polygons cross or touch them. Of the
+    pieces, each taken once, those stay that have the union on one side only: what two parcels share, and what lies inside another, has
+    it on both. A tile that a polygon covers has no outline, whatever else lies there; the sides of any other tile, and those to the right
+    of it that decide what is inside, meet as arrays in a task. What is narrower than grain isn't told apart. Equal polygons of a group
+    count once."""
+    ship_package(polygons.sparkSession)
     once = polygons.select(group, key, "rings").where(F.col(group).isNotNull()).groupBy(group, "rings").agg(F.min(key).alias(key))
-    edges = sides(once, [group, key]).withColumn("id", F.xxhash64(group, key, "ax", "ay", "bx", "by"))
+    edges = sides(once, [group, key])
     length = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
-    cells = crossed_cells(edges.join(edges.groupBy(group).agg(F.avg(length).alias("cell")), group)).drop("cell")
-    names = ("ax", "ay", "bx", "by")
-    other = cells.select(group, "cx", "cy", F.col(key).alias("_other"), *[F.col(c).alias(f"o{c}") for c in names])
-    met = cells.join(other, [group, "cx", "cy"]).where(F.col(key) != F.col("_other"))
-    splits = met.select("id", F.explode(touching(*[F.col(c) for c in names], *[F.col(f"o{c}") for c in names])).alias("t")).groupBy("id").agg(F.collect_set("t").alias("t"))
-    cut = edges.join(splits, "id", "left").withColumn("t", F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("t", F.array().cast("array<double>")))))
-    place = lambda a, b: lambda t: F.round(F.col(a) + t * (F.col(b) - F.col(a)), 6)
-    stops = F.transform("t", lambda t: F.struct(place("ax", "bx")(t).alias("x"), place("ay", "by")(t).alias("y")))
-    pieces = cut.select(group, stops.alias("p")).select(group, F.explode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))).alias("s"))
-    low, high = F.least("s.a", "s.b"), F.greatest("s.a", "s.b")
-    pieces = pieces.where("s.a <> s.b").select(group, low.alias("a"), high.alias("b")).distinct()
-    pieces = pieces.select(group, *[F.col(f"{e}.{c}").alias(e + c) for e in "ab" for c in "xy"])
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    norm = F.sqrt(dx * dx + dy * dy)
-    beside = lambda s: F.struct(F.lit(s).alias("side"), ((F.col("ax") + F.col("bx")) / 2 - s * grain * dy / norm).alias("x"), ((F.col("ay") + F.col("by")) / 2 + s * grain * dx / norm).alias("y"))
-    probes = pieces.select(group, *names, F.inline(F.array(beside(1), beside(-1))))
-    held = located(probes, once, key, [group]).groupBy(group, *names).agg(F.collect_set("side").alias("sides")).where(F.size("sides") == 1)
-    left = F.col("sides")[0] == 1
-    return held.select(group, *[F.when(left, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))])
-
-
-def touching(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
-    """Shares of the way from a to b, both ends excluded, where the segment from c to d crosses or touches it, or ends on it."""
+    wide = edges.groupBy(group).agg(F.pow(F.lit(2.0), F.floor(F.log2(F.avg(length) / 2))).alias("cell"))
+    spans = edges.groupBy(group, key).agg(F.min(F.least("ax", "bx")).alias("lox"), F.max(F.greatest("ax", "bx")).alias("hix"))
+    edges = edges.join(spans, [group, key]).join(F.broadcast(wide), group)
+    cell, tile = F.col("cell"), [group, "cx", "cy"]
+    covered = covered_cells(edges, [group, key]).select(*tile).distinct()
+    rows = edges.withColumn("cy", F.explode(reach(F.least("ay", "by") - grain, F.greatest("ay", "by") + grain, cell)))
+    met = rows.withColumn("cx", F.explode(reach(F.col("lox") - grain, F.greatest("ax", "bx") + grain, cell))).join(covered, tile, "left_anti")
+    kind = polygons.schema[group].dataType.simpleString()
+
+    def trace(held: pa.Table) -> pa.Table:
+        box, names = held.slice(0, 1).to_pylist()[0], ("ax", "ay", "bx", "by")
+        low = (box["cx"] * box["cell"], box["cy"] * box["cell"])
+        out = outline_in(*(held[c].to_numpy() for c in names), pc.index_in(held[key], value_set=held[key].unique()).to_numpy(), low, box["cell"], grain)
+        return pa.table([held[group].take(pa.array(np.zeros(len(out), np.int64))), *[pa.array(c) for c in out.T]], names=[group, *names])
+
+    return met.select(*tile, key, "cell", "ax", "ay", "bx", "by").groupBy(*tile).applyInArrow(trace, f"`{group}` {kind}, ax double, ay double, bx double, by double")
+
+
+def covered_cells(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cx, cy) of the cells that lie inside a polygon, no side running through: edges has lox, hix and cell."""
+    cell = F.col("cell")
+    through = crossed_cells(edges).select(*keys, "cx", "cy").distinct()
+    bands = edges.withColumn("cy", F.explode(reach(F.least("ay", "by"), F.greatest("ay", "by"), cell))).groupBy(*keys, "cy", "cell", "lox", "hix").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("band"))
+    whole = bands.withColumn("cx", F.explode(reach(F.col("lox"), F.col("hix"), cell))).join(through, [*keys, "cx", "cy"], "left_anti")
+    return whole.where(odd_crossings(F.col("band"), (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell)).select(*keys, "cx", "cy")
+
+
+#: Pairs that a task holds at once while it traces an outline.
+PAIRS = 1 << 19
+
+
+def outline_in(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, of: np.ndarray, low: tuple[float, float], cell: float, grain: float) -> np.ndarray:
+    """Rows ax, ay, bx, by of the union's outline in the tile whose lower left corner is low, from the sides of polygons `of`."""
+    order = np.argsort(of, kind="stable")
+    ax, ay, bx, by, of = ax[order], ay[order], bx[order], by[order], of[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    start, stop = np.zeros(len(ax)), np.ones(len(ax))
+    for a, b, edge in ((ax, bx, low[0]), (ay, by, low[1])):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            one, two = (edge - a) / (b - a), (edge + cell - a) / (b - a)
+        start, stop = np.where(a == b, start, np.maximum(start, np.minimum(one, two))), np.where(a == b, stop, np.minimum(stop, np.maximum(one, two)))
+    middle = (start + stop) / 2
+    mx, my = ax + middle * (bx - ax), ay + middle * (by - ay)
+    on = np.flatnonzero((stop > start) & (mx >= low[0]) & (mx < low[0] + cell) & (my >= low[1]) & (my < low[1] + cell))
+    if not len(on):
+        return np.empty((0, 4))
+    margin = cell * MARGIN
+    near = np.flatnonzero((np.maximum(ax, bx) >= low[0] - margin) & (np.minimum(ax, bx) <= low[0] + cell + margin) & (np.maximum(ay, by) >= low[1] - margin) & (np.minimum(ay, by) <= low[1] + cell + margin))
+    which, at = [np.arange(len(on)), np.arange(len(on))], [start[on], stop[on]]
+    step = max(1, PAIRS // len(near))
+    for i in range(0, len(on), step):
+        few = on[i : i + step]
+        for t in touched(*(c[few, None] for c in (ax, ay, bx, by)), *(c[near] for c in (ax, ay, bx, by))):
+            k, j = np.nonzero((t > np.maximum(start[few, None], 1e-9)) & (t < np.minimum(stop[few, None], 1 - 1e-9)) & (of[few, None] != of[near]))
+            which.append(k + i)
+            at.append(np.round(t[k, j], 12))
+    which, at = np.concatenate(which), np.concatenate(at)
+    order = np.lexsort((at, which))
+    which, at = which[order], at[order]
+    side = on[which]
+    x, y = np.round(ax[side] + at * (bx[side] - ax[side]), 6), np.round(ay[side] + at * (by[side] - ay[side]), 6)
+    cut = np.flatnonzero((which[1:] == which[:-1]) & ((x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    ends = np.column_stack([x[cut], y[cut], x[cut + 1], y[cut + 1]])
+    turned = (ends[:, 0] > ends[:, 2]) | ((ends[:, 0] == ends[:, 2]) & (ends[:, 1] > ends[:, 3]))
+    ends[turned] = ends[turned][:, [2, 3, 0, 1]]
+    ends = np.unique(ends, axis=0)
+    dx, dy = ends[:, 2] - ends[:, 0], ends[:, 3] - ends[:, 1]
+    norm = np.sqrt(dx * dx + dy * dy)
+    mx, my = (ends[:, 0] + ends[:, 2]) / 2, (ends[:, 1] + ends[:, 3]) / 2
+    held = []
+    flat = np.where(by == ay, 1.0, by - ay)
+    step = max(1, PAIRS // len(ax))
+    for s in (1, -1):
+        px, py, inside = mx - s * grain * dy / norm, my + s * grain * dx / norm, np.zeros(len(mx), bool)
+        for i in range(0, len(mx), step):
+            x, y = px[i : i + step, None], py[i : i + step, None]
+            crossed = ((ay > y) != (by > y)) & (x < ax + (y - ay) * (bx - ax) / flat)
+            inside[i : i + step] = (np.add.reduceat(crossed, first, axis=1, dtype=np.int32) % 2 == 1).any(axis=1)
+        held.append(inside)
+    left, right = held
+    ends[right] = ends[right][:, [2, 3, 0, 1]]
+    return ends[left != right]
+
+
+def touched(ax, ay, bx, by, cx, cy, dx, dy) -> Iterator[np.ndarray]:
+    """Shares of the way from a to b where the segment from c to d crosses or touches it, or ends on it, none where it doesn't."""
     rx, ry, sx, sy, qx, qy = bx - ax, by - ay, dx - cx, dy - cy, cx - ax, cy - ay
-    turn, size = rx * sy - ry * sx, rx * rx + ry * ry
-    small = 1e-9
-    t, u = F.try_divide(qx * sy - qy * sx, turn), F.try_divide(qx * ry - qy * rx, turn)
-    flat = F.abs(turn) <= small * F.sqrt(size * (sx * sx + sy * sy))
-    along = F.abs(qx * ry - qy * rx) <= small * size
-    crossing = F.array(F.when((u >= -small) & (u <= 1 + small), t))
-    ends = F.array((qx * rx + qy * ry) / size, ((dx - ax) * rx + (dy - ay) * ry) / size)
-    every = F.when(~flat, crossing).when(along, ends).otherwise(F.array().cast("array<double>"))
-    return F.transform(F.filter(every, lambda x: (x > small) & (x < 1 - small)), lambda x: F.round(x, 12))
+    turn, size, small = rx * sy - ry * sx, rx * rx + ry * ry, 1e-9
+    flat = np.abs(turn) <= small * np.sqrt(size * (sx * sx + sy * sy))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (qx * sy - qy * sx) / turn, (qx * ry - qy * rx) / turn
+    yield np.where(~flat & (u >= -small) & (u <= 1 + small), t, np.nan)
+    along = flat & (np.abs(qx * ry - qy * rx) <= small * size)
+    yield np.where(along, (qx * rx + qy * ry) / size, np.nan)
+    yield np.where(along, ((dx - ax) * rx + (dy - ay) * ry) / size, np.nan)
 
 
 def outline_area(outline: DataFrame, group: str) -> DataFrame:

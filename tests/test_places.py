@@ -452,3 +452,20 @@ def test_components_in_a_task_and_in_rounds_are_the_same(spark, monkeypatch):
     one = {r.node: r.root for r in G.components(table).collect()}
     monkeypatch.setattr(W, "MOST_EDGES", 0)
     assert one == {r.node: r.root for r in G.components(table).collect()} == {k: r for k, r in plain_roots(links, {x for e in links for x in e}).items()}
+
+
+def test_outline_in_a_tile_takes_blocks_and_skips_covered_tiles(spark, monkeypatch):
+    monkeypatch.setattr(P, "PAIRS", 40)
+    rng = random.Random(25)
+    own = [(rng.randrange(60), rng.randrange(60), rng.randint(5, 25), rng.randint(5, 25)) for _ in range(60)] + [(10, 10, 40, 40)]
+    held = {(x, y) for ox, oy, w, h in own for x in range(ox, ox + w) for y in range(oy, oy + h)}
+    rows = [("a", k, rectangle(*r)) for k, r in enumerate(own)]
+    table = spark.createDataFrame(rows, f"site string, lot int, rings {RINGS}")
+    out = P.dissolved(table, "site", "lot")
+    assert P.outline_area(out, "site").first().area == pytest.approx(float(len(held)))
+    border = sum((x + i, y + j) not in held for x, y in held for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+    assert out.agg(F.sum(F.abs(F.col("ax") - F.col("bx")) + F.abs(F.col("ay") - F.col("by")))).first()[0] == pytest.approx(float(border))
+    edges = P.sides(table, ["site", "lot"]).withColumn("cell", F.lit(4.0))
+    spans = edges.groupBy("site", "lot").agg(F.min(F.least("ax", "bx")).alias("lox"), F.max(F.greatest("ax", "bx")).alias("hix"))
+    covered = {(r.cx, r.cy) for r in P.covered_cells(edges.join(spans, ["site", "lot"]), ["site", "lot"]).collect()}
+    assert len(covered) > 50 and all((4 * i + x, 4 * j + y) in held for i, j in covered for x in range(4) for y in range(4))
