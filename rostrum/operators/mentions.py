@@ -23,22 +23,31 @@ def matches(texts: DataFrame, named: DataFrame, text: str = "text", key: str = "
     equal ones).
 
     Names that a count proves to be at most `most` are broadcast and tested against each text. With more, texts and names
-    meet on five-character pieces: a text that contains a variant contains its first five characters, so no match is lost,
-    and nothing is crossed; what meets is then tested in full."""
+    meet on five-character pieces: a text that contains a variant contains all its pieces, so the one that the fewest texts have loses no
+    match, a beginning that all names share brings nothing together, and nothing is crossed; what meets is then tested in full."""
     low = texts.withColumn("_low", F.lower(text))
     named_in = F.exists("variants", lambda v: F.contains(F.col("_low"), v))
     if named.limit(most + 1).count() <= most:
         both = low.join(F.broadcast(named), named_in)
     else:
-        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - (MIN_VARIANT - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(MIN_VARIANT))))
-        begun = named.select(entity, F.explode(F.array_distinct(F.transform("variants", lambda v: F.left(v, F.lit(MIN_VARIANT))))).alias("_piece"))
-        met = low.where(F.length("_low") >= MIN_VARIANT).select(key, F.explode(pieces).alias("_piece")).join(begun, "_piece").select(key, entity).distinct()
+        met = rarest_pieces(low, named, key, entity)
         both = low.join(met, key).join(named, entity).where(named_in)
     found = F.filter("variants", lambda v: F.contains(F.col("_low"), v))
     longest = F.element_at(F.array_sort(F.transform(found, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), 1)["v"]
     return both.withColumn("variant", longest).drop("_low", "variants")
 
 
+def rarest_pieces(low: DataFrame, named: DataFrame, key: str, entity: str) -> DataFrame:
+    """(key, entity) of the texts that have, of one of an entity's variants, the piece of MIN_VARIANT characters that the fewest texts have."""
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_low") - (MIN_VARIANT - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(MIN_VARIANT))))
+    of_text = low.where(F.length("_low") >= MIN_VARIANT).select(key, F.explode(pieces).alias("_piece"))
+    of_name = named.select(entity, F.explode(F.array_distinct("variants")).alias("_v")).select(entity, "_v", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_v") - (MIN_VARIANT - 1)), lambda i: F.substring(F.col("_v"), i, F.lit(MIN_VARIANT))))).alias("_piece"))
+    asked = of_text.join(of_name.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").count()
+    rarest = of_name.join(asked, "_piece", "left").groupBy(entity, "_v").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "_piece")).alias("r"))
+    begun = rarest.where("r.count > 0").select(entity, "r._piece").distinct()
+    return of_text.join(begun, "_piece").select(key, entity).distinct()
+
+
 def window_of_meetings(meetings: DataFrame, chunks: DataFrame, *, as_of: str | None = None, days: int | None = None, body: str | None = None, n: int | None = None, most: int = 12) -> DataFrame:
     """Meetings with a transcript: the n most recent, or, with days or a body, those in the look-back window, `most` at most."""
     own = meetings.join(chunks.select("meeting_id").distinct(), "meeting_id", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.text import name_key
 from rostrum.operators import mentions as M
 from rostrum.operators import polygons as P
+from rostrum.operators.graph import cut_lineage
 
 SQFT_PER_ACRE = 43_560.0
 
@@ -46,7 +47,7 @@ def resolved_sites(projects: DataFrame, parcels: DataFrame, reviews: DataFrame)
     place = F.coalesce(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("x", "y")), F.when(F.col("geo_x").isNotNull() & F.col("geo_y").isNotNull(), F.struct(F.col("geo_x").alias("x"), F.col("geo_y").alias("y"))))
     places = [projects.select("project", place.alias("at")).where("at is not null").select("project", "at.x", "at.y"), review_places(projects, reviews)]
     tries += [P.located(at, parcels, "pin").select("project", "pin", F.lit(i).alias("rung")) for i, at in enumerate(places, 1)]
-    found = tries[0].unionByName(tries[1]).unionByName(tries[2])
+    found = cut_lineage(tries[0].unionByName(tries[1]).unionByName(tries[2]))  # read twice
     best = found.groupBy("project").agg(F.min("rung").alias("rung"))
     area = parcels.select("pin", P.area_of(F.col("rings")).alias("area"))
     taken = found.join(best, ["project", "rung"]).join(area, "pin")

@@ -277,3 +277,13 @@ def test_pairs_are_drawn_by_weight(spark):
     share = lambda k, c: sum(r[c] == k for r in rows) / len(rows)
     assert len(rows) == 2000 and all(abs(share(k, c) - w) < 0.05 for k, w in ((1, 0.1), (2, 0.3), (3, 0), (4, 0.6)) for c in ("from", "to"))
     assert graph.sampled_pairs(weights.where("weight = 0"), 10).count() == 0
+
+
+def test_names_with_one_beginning_meet_on_their_rarest_piece(spark):
+    texts = spark.range(300).selectExpr("id as chunk_id", "concat('https://x.org/slug-of-', id, '-end') as text")
+    named = spark.range(300).selectExpr("id as entity_id", "array(concat('slug-of-', id, '-end')) as variants")
+    out = M.matches(texts, named, most=0)
+    assert {(r.chunk_id, r.entity_id) for r in out.collect()} == {(k, k) for k in range(300)}
+    met = named.select(F.size("variants").alias("n")).count()
+    pieces = M.rarest_pieces(texts.withColumn("_low", F.lower("text")), named, "chunk_id", "entity_id")
+    assert pieces.count() < 20 * met  # 300 * 300 by the beginning that they share
