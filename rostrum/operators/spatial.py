@@ -52,17 +52,29 @@ def counts_near(nodes: DataFrame, points: DataFrame, radius: float, kind: str, k
 
 
 def nearest(from_: DataFrame, to: DataFrame, key: str, to_key: str, first: float) -> DataFrame:
-    """(key, to_key, d): the nearest of `to`, the smallest key of equal ones. Rows that have one within `first` are done by one join
-    of neighbouring cells; the others look for theirs in a tree of cells. Rows whose place is null have none, nor has any row where
-    `to` has no places."""
+    """(key, to_key, d): the nearest of `to`, the smallest key of equal ones. Rows that have one within `first`, or a shorter way where
+    places lie close, are done by one join of neighbouring cells; the others, and those where a cell holds over CROWD places, look for
+    theirs in a tree of cells. Rows whose place is null have none, nor has any row where `to` has no places."""
     from rostrum.operators.graph import cut_lineage
 
-    best = within(from_, to, first, key, to_key).groupBy(key).agg(F.min(F.struct("d", F.col(f"p_{to_key}").alias(to_key))).alias("b")).select(key, f"b.{to_key}", "b.d")
-    best = cut_lineage(best)
-    left = cut_lineage(from_.where("x is not null and y is not null").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(best.select(key), key, "left_anti"))
+    places = to.where("x is not null and y is not null").groupBy(F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty")).agg(F.min(to_key).alias(to_key))
+    places = cut_lineage(places)
+    n, wide, high = places.agg(F.count(F.lit(1)), F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty")).first()
+    radius = min(first, 1.5 * math.sqrt(max(wide * high, max(wide, high) ** 2 / n, 1e-18) / n)) if n else first
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    around = lambda df: df.withColumn("cx", F.explode(F.array(*[F.col("cx") + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)])))
+    there = places.select("tx", "ty", to_key, cell("tx").alias("cx"), cell("ty").alias("cy"))
+    full = there.groupBy("cx", "cy").count().where(F.col("count") > CROWD).select("cx", "cy")
+    own = from_.where("x is not null and y is not null").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    met = own.select("*", cell("x").alias("cx"), cell("y").alias("cy")).join(around(full).distinct(), ["cx", "cy"], "left_anti").join(around(there), ["cx", "cy"])
+    met = met.select(key, to_key, distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")).alias("d")).where(F.col("d") <= radius)
+    best = cut_lineage(met.groupBy(key).agg(F.min(F.struct("d", to_key)).alias("b")).select(key, f"b.{to_key}", "b.d"))
+    left = cut_lineage(own.join(best.select(key), key, "left_anti"))
     return best.unionByName(nearest_by_tree(left, to, key, to_key)) if left.limit(1).count() else best
 
 
+#: Places of a cell beyond which its neighbours look for theirs in the tree.
+CROWD = 64
 #: Levels of the tree whose cells, 16 times as many each, are few enough to be broadcast: 65,536 in the last.
 BROADCAST_LEVELS = 4
 

@@ -469,3 +469,17 @@ def test_outline_in_a_tile_takes_blocks_and_skips_covered_tiles(spark, monkeypat
     spans = edges.groupBy("site", "lot").agg(F.min(F.least("ax", "bx")).alias("lox"), F.max(F.greatest("ax", "bx")).alias("hix"))
     covered = {(r.cx, r.cy) for r in P.covered_cells(edges.join(spans, ["site", "lot"]), ["site", "lot"]).collect()}
     assert len(covered) > 50 and all((4 * i + x, 4 * j + y) in held for i, j in covered for x in range(4) for y in range(4))
+
+
+def test_nearest_joins_few_places_where_they_lie_close(spark, monkeypatch):
+    from rostrum.operators import spatial as S
+
+    rng = random.Random(26)
+    to = {k: (rng.uniform(0, 100), rng.uniform(0, 100)) for k in range(400)} | {k: (50 + rng.gauss(0, 0.5), 50.0) for k in range(400, 500)}
+    from_ = {k: (rng.uniform(-5, 105), rng.uniform(-5, 105)) for k in range(200)} | {300: (50.0, 50.0)}
+    late = []
+    tree = S.nearest_by_tree
+    monkeypatch.setattr(S, "nearest_by_tree", lambda left, *a: (late.append(left.count()), tree(left, *a))[1])
+    got = {r.id: r.place for r in S.nearest(spark.createDataFrame([(k, *v) for k, v in from_.items()], "id int, x double, y double"), spark.createDataFrame([(k, *v) for k, v in to.items()], "place int, x double, y double"), "id", "place", 1000.0).collect()}
+    assert got == {k: min((math.sqrt((x - a) ** 2 + (y - b) ** 2), n) for n, (a, b) in to.items())[1] for k, (x, y) in from_.items()}
+    assert late and 0 < late[0] < 60  # a radius of 1000 would have joined all with all
