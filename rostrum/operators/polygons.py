@@ -113,12 +113,13 @@ def located(points: DataFrame, polygons: DataFrame, key: str, by: list[str] | No
     cell = F.col("cell")
     rows = edges.withColumn("cy", F.explode(reach(F.least("ay", "by"), F.greatest("ay", "by"), cell)))
     bands = rows.groupBy(*keys, "level", "cell", "lox", "hix", "cy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("band"))
-    cells = bands.withColumn("cx", F.explode(reach(F.col("lox"), F.col("hix"), cell))).select(*keys, "level", "cx", "cy", "band")
+    cells = bands.withColumn("cx", F.explode(reach(F.col("lox"), F.col("hix"), cell))).select(*keys, "level", "cx", "cy", "band", "lox", "hix")
     sound = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     placed = points.where(sound("x") & sound("y")).select(F.struct("*").alias("_p"), *by, F.explode(F.array(*map(F.lit, levels))).alias("level"))
     at = lambda c: F.floor(F.col(f"_p.{c}") / F.pow(F.lit(2.0), "level"))
     met = placed.withColumn("cx", at("x")).withColumn("cy", at("y")).join(cells, [*by, "level", "cx", "cy"])
-    return met.where(odd_crossings(F.col("band"), F.col("_p.x").cast("double"), F.col("_p.y").cast("double"))).select("_p.*", key)
+    x, y = F.col("_p.x").cast("double"), F.col("_p.y").cast("double")
+    return met.where((x >= F.col("lox")) & (x <= F.col("hix")) & odd_crossings(F.col("band"), x, y)).select("_p.*", key)
 
 
 def gap(a: list[Column], b: list[Column]) -> Column:
@@ -135,15 +136,15 @@ def in_band(polygons: DataFrame, lines: DataFrame, key: str, line: str, distance
     """(key, line, d): polygons that reach into the band of `distance` around each of lines (line, path: array of x, y), with
     how far they are from the line; zero where they meet or the line lies inside.
 
-    Sides meet the line's segments by cells at least as wide as the distance. A line that keeps away from all sides of a
+    Sides meet the line's segments by cells as wide as the distance or the shorter of both, and no more than some 64 to the longer. A line that keeps away from all sides of a
     polygon is inside as a whole or not at all, so its first place decides."""
     edges = sides(polygons, [key])
     path = F.col("path")
     pairs = F.explode(F.arrays_zip(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(1))).alias("a"), F.when(F.size(path) > 1, F.slice(path, 2, F.size(path) - 1)).otherwise(path).alias("b")))
     own = lines.where(F.size("path") > 0).select(line, pairs.alias("s")).select(line, *[F.col(f"s.{e}.{c}").cast("double").alias(e + c) for e in "ab" for c in "xy"])
     length = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
-    typical = max(x or 0.0 for t in (edges, own) for x in t.agg(F.avg(length)).first())
-    cell = F.lit(float(max(distance, typical, 1e-9)))
+    typical = [x or 0.0 for t in (edges, own) for x in t.agg(F.avg(length)).first()]
+    cell = F.lit(float(max(distance, min(typical), max(typical) / 64, 1e-9)))
     a = crossed_cells(edges.withColumn("cell", cell)).drop("cell")
     b = crossed_cells(own.withColumn("cell", cell), 1).select(line, "cx", "cy", *[F.col(c).alias(f"l{c}") for c in ("ax", "ay", "bx", "by")])
     apart = gap([F.col(c) for c in ("ax", "ay", "bx", "by")], [F.col(f"l{c}") for c in ("ax", "ay", "bx", "by")])
